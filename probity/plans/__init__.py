@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("fairness",)
+FAMILIES = ("fairness", "data")
 
 
 def load_registry():
