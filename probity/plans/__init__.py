@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("fairness", "data")
+FAMILIES = ("fairness", "data", "privacy")
 
 
 def load_registry():
