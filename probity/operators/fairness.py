@@ -100,6 +100,11 @@ DESCRIPTIONS = {
 }
 
 
+# Undefined metrics are shown as nan.
+def _shown(column):
+    return F.when(F.col(column).isNull(), "nan").otherwise(F.format_string("%.3f", column))
+
+
 def builtin_metrics(groups, thresholds=None, selected=None) -> DataFrame:
     """Built-in metrics in the order asked for; unknown names are ignored.
 
@@ -134,7 +139,7 @@ def builtin_metrics(groups, thresholds=None, selected=None) -> DataFrame:
         .withColumn(
             "description",
             F.concat(
-                "label", F.lit(": "), F.coalesce(F.format_string("%.3f", "value"), F.lit("nan")), F.lit(". "),
+                "label", F.lit(": "), _shown("value"), F.lit(". "),
                 F.when(F.col("passed"), "Passed").otherwise("Failed"),
                 F.when(F.col("metric_name") == "disparate_impact_ratio", " 80% rule").otherwise(""),
                 F.lit(" threshold of "), F.format_string("%.2f", "threshold"), F.lit("."),
@@ -265,7 +270,7 @@ def custom_metrics(groups, rules, thresholds=None, first_position=0) -> DataFram
             ok,
             F.concat(
                 F.format_string("Custom rule '%s': %s(%s) = ", "name", "aggregation", "base_metric"),
-                F.coalesce(F.format_string("%.3f", "value"), F.lit("nan")), F.lit(". "),
+                _shown("value"), F.lit(". "),
                 F.when(F.col("passed"), "Passed").otherwise("Failed"),
                 F.format_string(" threshold %s %.2f.", "comparison", "limit"),
             ),

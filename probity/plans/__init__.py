@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("fairness", "data", "privacy")
+FAMILIES = ("fairness", "data", "privacy", "governance")
 
 
 def load_registry():

@@ -95,7 +95,7 @@ VIEWS = {
         FROM {orders}""",
     "g_results": """
         SELECT 3 * l_orderkey + l_linenumber % 3 AS validation_id,
-               l_partkey * 10 + l_linenumber AS result_no,
+               CAST(ROUND(l_extendedprice * 100) AS BIGINT) * 10 + l_linenumber AS result_no,
                CASE l_linenumber % 3 WHEN 0 THEN 'fairness' WHEN 1 THEN 'transparency' ELSE 'privacy' END AS principle,
                CASE WHEN l_linenumber = 1 THEN 'shap_explanation_coverage'
                     WHEN l_linenumber = 4 THEN 'model_card_generated'
@@ -114,6 +114,16 @@ VIEWS = {
                0.2E0 AS threshold,
                CASE WHEN l_discount >= 0.02 THEN TRUE ELSE FALSE END AS passed
         FROM {lineitem}""",
+    "g_artifacts": """
+        SELECT o_orderkey AS suite_id, 3 * o_orderkey + 2 AS privacy_run, 3 * o_orderkey + 1 AS transparency_run,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 4 ELSE 0 END AS pii_count,
+               CASE WHEN o_totalprice > 250000 THEN TRUE ELSE FALSE END AS satisfies_k,
+               CASE WHEN o_custkey % 3 = 0 THEN TRUE ELSE FALSE END AS satisfies_l,
+               CASE WHEN o_totalprice > 100000 THEN TRUE ELSE FALSE END AS hipaa_passed,
+               CASE WHEN o_custkey % 7 = 0 THEN 'All contributions are zero' END AS warning,
+               o_custkey % 4 AS features,
+               CASE WHEN o_custkey % 11 = 0 THEN FALSE ELSE TRUE END AS readable
+        FROM {orders}""",
     "g_audit": """
         SELECT event_id AS audit_id, ts AS event_time, user_id, event_type AS action,
                CASE event_id % 3 WHEN 0 THEN 'project' WHEN 1 THEN 'dataset' ELSE 'validation' END AS resource_type,
