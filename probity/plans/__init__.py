@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("fairness", "data", "privacy", "governance")
+FAMILIES = ("fairness", "data", "privacy", "governance", "model")
 
 
 def load_registry():
