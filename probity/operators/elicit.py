@@ -55,8 +55,10 @@ def proxy_correlations(df, sensitive) -> DataFrame:
     def facts(c):
         value = F.col(c).cast("double")
         both = code.isNotNull() & value.isNotNull()
-        return F.struct(
-            F.corr(F.when(both, code), F.when(both, value)).alias("r"), F.count_if(both).alias("n")).alias(c)
+        x, y = F.when(both, code), F.when(both, value)
+        # corr itself fails on a constant column; here it has no correlation.
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        return F.struct(r.alias("r"), F.count_if(both).alias("n")).alias(c)
 
     wide = coded.agg(*[facts(c) for c in others])
     rows = wide.select(F.inline(F.array(*[

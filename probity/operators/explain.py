@@ -236,7 +236,8 @@ def fidelity(surrogates, id_column) -> DataFrame:
     """1 - mean distance of model and surrogate, within [0, 1]; 0 when there is nothing to compare."""
     per_row = surrogates.groupBy(id_column).agg(F.first("score").alias("f"), F.first("surrogate").alias("g"))
     distance = F.avg(F.abs(F.col("f") - F.col("g")))
-    return per_row.agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance)), F.lit(0.0)).alias("fidelity"))
+    # least and greatest skip nulls, so the distance must be filled in first.
+    return per_row.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(distance, F.lit(1.0)))).alias("fidelity"))
 
 
 # --- Model card and transparency checks --------------------------------------------------

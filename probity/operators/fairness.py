@@ -395,7 +395,7 @@ def chart_series(groups, report) -> DataFrame:
     radar = report.select(
         F.lit("radar").alias("chart"), F.lit("metric").alias("series"),
         F.col("metric_name").alias("label"),
-        F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0)).alias("value"),
+        F.when(F.col("value").isNotNull(), F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0))).alias("value"),
     )
     return bars.unionByName(line).unionByName(radar)
 

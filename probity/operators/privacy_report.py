@@ -121,7 +121,8 @@ def risk_score(checks) -> DataFrame:
     low = (F.col("check") == "k_anonymity") & (F.col("measured") < LOW_K)
     failed = F.when(~F.col("passed"), 1.0).otherwise(0.0) + F.when(low, 0.5).otherwise(0.0)
     totals = checks.where(counted).agg(F.count(F.lit(1)).alias("total"), F.sum(failed).alias("failed"))
-    score = F.coalesce(F.least(F.lit(100.0), F.floor(F.try_divide("failed", F.col("total")) * 100)), F.lit(0.0))
+    share = F.coalesce(F.try_divide("failed", F.col("total")), F.lit(0.0))
+    score = F.least(F.lit(100.0), F.floor(share * 100))
     return totals.select(score.cast("double").alias("risk_score")).withColumn(
         "risk_level",
         F.when(F.col("risk_score") >= RISK_HIGH, "High").when(F.col("risk_score") >= RISK_MEDIUM, "Medium").otherwise("Low"),

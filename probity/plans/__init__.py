@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("fairness", "data", "privacy", "governance", "model")
+FAMILIES = ("fairness", "data", "privacy", "governance", "model", "suite")
 
 
 def load_registry():
