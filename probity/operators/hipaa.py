@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import constants as C
 from probity.functions.checks import string_columns
-from probity.operators.pii import first_values, text_values
+from probity.operators.pii import first_values, found, text_values
 
 MAX_SAMPLES = 5
 SAMPLE_CHARS = 60
@@ -17,7 +17,14 @@ def _joined(patterns):
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-VALUE_PATTERNS = {h[0]: _joined(h[3]) for h in C.HIPAA_IDENTIFIERS if h[3]}
+VALUE_PATTERNS = {h[0]: h[3] for h in C.HIPAA_IDENTIFIERS if h[3]}
+
+
+def _matches(identifier, digit):
+    hit = F.lit(False)
+    for p in VALUE_PATTERNS[identifier]:
+        hit = hit | found(F.col("value"), identifier, p, digit)
+    return hit
 
 
 def flagged_by_name(columns):
@@ -35,10 +42,10 @@ def flagged_by_value(df, order_by=None, sample_size=None) -> DataFrame:
     texts = string_columns(df)
     values = text_values(df, texts) if sample_size is None else first_values(df, texts, order_by, sample_size)
     hits = F.array(*[
-        F.struct(F.lit(i).alias("identifier"), F.count_if(F.col("value").rlike(p)).alias("hits"))
-        for i, p in VALUE_PATTERNS.items()
+        F.struct(F.lit(i).alias("identifier"), F.count_if(_matches(i, F.col("digit"))).alias("hits"))
+        for i in VALUE_PATTERNS
     ])
-    return values.groupBy("column").agg(hits.alias("found")).select("column", F.inline("found")).where("hits > 0")
+    return values.withColumn("digit", F.col("value").rlike("[0-9]")).groupBy("column").agg(hits.alias("found")).select("column", F.inline("found")).where("hits > 0")
 
 
 def hipaa_report(df, order_by=None, sample_size=None) -> DataFrame:
@@ -61,12 +68,13 @@ def hipaa_report(df, order_by=None, sample_size=None) -> DataFrame:
 def hipaa_samples(df, order_by, limit=MAX_SAMPLES) -> DataFrame:
     """The first flagged values of each category, as ``column: value`` cut short, no text twice."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    kinds = F.array_compact(F.array(*[F.when(F.col("value").rlike(p), F.lit(i)) for i, p in VALUE_PATTERNS.items()]))
-    found = text_values(df, string_columns(df), keys).select(
+    kinds = F.array_compact(F.array(*[F.when(_matches(i, F.col("digit")), F.lit(i)) for i in VALUE_PATTERNS]))
+    values = text_values(df, string_columns(df), keys).withColumn("digit", F.col("value").rlike("[0-9]"))
+    hits = values.select(
         F.explode(kinds).alias("identifier"), "position", *keys,
         F.concat("column", F.lit(": "), F.substring("value", 1, SAMPLE_CHARS)).alias("sample"),
     )
-    firsts = found.groupBy("identifier", "position", "sample").agg(F.min(F.struct(*keys)).alias("key"))
+    firsts = hits.groupBy("identifier", "position", "sample").agg(F.min(F.struct(*keys)).alias("key"))
     order = Window.partitionBy("identifier").orderBy("position", "key", "sample")
     return firsts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
         "identifier", "rank", "sample")

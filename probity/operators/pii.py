@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import constants as C
 from probity.functions.checks import require_columns, string_columns
+from probity.functions.partitioning import spread_small
 
 LONG_TEXT = 64
 GUARD_ROWS = 10
@@ -53,13 +54,30 @@ def columns_by_name(columns, tokens=C.PII_COLUMN_TOKENS) -> DataFrame:
         lambda t: F.contains(F.regexp_replace(F.lower("column"), "[_\\- ]", ""), t)), F.lit(1)))
 
 
-def matches(value, pattern_name, regex):
+# Every text a pattern matches holds this sign, or a digit. The cheap test for it
+# comes first, which saves the pattern on most texts and changes no result.
+MUST_HOLD = {"email": "@", "url": "://", "device": ":"}
+MUST_HAVE_DIGIT = {
+    C.PII_PATTERNS[n] for n in ("phone_us", "ssn", "credit_card", "ip_address", "date_of_birth", "zip_code")
+} | {p for h in C.HIPAA_IDENTIFIERS if h[0] in ("dates", "geographic", "phone", "ssn", "ip_address") for p in h[3]}
+
+
+def found(value, name, regex, digit=None):
+    """Whether a text matches; ``digit`` says whether the text has a digit, if that is known."""
+    if name in MUST_HOLD and (regex == C.PII_PATTERNS.get(name) or any(regex in h[3] for h in C.HIPAA_IDENTIFIERS)):
+        return F.contains(value, F.lit(MUST_HOLD[name])) & value.rlike(regex)
+    if digit is not None and regex in MUST_HAVE_DIGIT:
+        return digit & value.rlike(regex)
+    return value.rlike(regex)
+
+
+def matches(value, pattern_name, regex, digit=None):
     """Whether a text matches; a ZIP must also open with a number in range."""
-    found = value.rlike(regex)
+    hit = found(value, pattern_name, regex, digit)
     if pattern_name != "zip_code":
-        return found
+        return hit
     digits = F.regexp_extract(value, r"^(\d{5})", 1)
-    return found & F.coalesce(digits.try_cast("int").between(*C.ZIP_RANGE), F.lit(False))
+    return hit & F.coalesce(digits.try_cast("int").between(*C.ZIP_RANGE), F.lit(False))
 
 
 def text_values(df, columns, keep=()) -> DataFrame:
@@ -68,7 +86,7 @@ def text_values(df, columns, keep=()) -> DataFrame:
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
         for i, c in enumerate(columns)
     ])
-    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+    return spread_small(df.select(*keep, *[f"`{c}`" for c in columns])).select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def first_values(df, columns, order_by, count) -> DataFrame:
@@ -88,10 +106,10 @@ def first_values(df, columns, order_by, count) -> DataFrame:
 def pattern_counts(values, patterns) -> DataFrame:
     """Per column: present values and an array of (pattern, hits) in pattern order."""
     hits = F.array(*[
-        F.struct(F.lit(name).alias("pattern"), F.count_if(matches(F.col("value"), name, regex)).alias("hits"))
+        F.struct(F.lit(name).alias("pattern"), F.count_if(matches(F.col("value"), name, regex, F.col("digit"))).alias("hits"))
         for name, regex in patterns.items()
     ])
-    return values.groupBy("column").agg(F.count(F.lit(1)).alias("present"), hits.alias("hits"))
+    return values.withColumn("digit", F.col("value").rlike("[0-9]")).groupBy("column").agg(F.count(F.lit(1)).alias("present"), hits.alias("hits"))
 
 
 def looks_like_date(value):
@@ -190,9 +208,9 @@ def pii_samples(df, report, order_by, custom_patterns=None, limit=MAX_SAMPLES) -
     for name, regex in patterns.items():
         hit = hit | ((F.col("pii_type") == name) & matches(F.col("value"), name, regex))
     # One row per flagged column.
-    found = text_values(df, string_columns(df), keys).join(F.broadcast(flagged), "column").where(hit)
+    hits = text_values(df, string_columns(df), keys).join(F.broadcast(flagged), "column").where(hit)
     order = Window.partitionBy("column").orderBy(*keys)
-    return found.select("column", *keys, "pii_type", F.substring("value", 1, SAMPLE_CHARS).alias("sample")).withColumn(
+    return hits.select("column", *keys, "pii_type", F.substring("value", 1, SAMPLE_CHARS).alias("sample")).withColumn(
         "rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("column", "pii_type", "rank", "sample")
 
 

@@ -53,10 +53,10 @@ def encode_first_appearance(df, order_by, columns=None, null_code=-1) -> DataFra
     columns = string_columns(df) if columns is None else columns
     if not columns:
         return df
-    codes = first_appearance_codes(df, columns, order_by)
     out = df
     for c in columns:
-        mine = codes.where(F.col("column") == c).select(
+        # One column at a time, so that each scan reads the key and that column only.
+        mine = first_appearance_codes(df, [c], order_by).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
         out = out.join(mine, F.col(c) == F.col(f"_v_{c}"), "left")
     return out.select(*[

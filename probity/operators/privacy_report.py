@@ -190,8 +190,7 @@ def check_recommendations(df, checks, requirements) -> DataFrame:
         per_column = advice.select(
             order[F.col("column")].alias("position"),
             F.format_string("  → %s: %s - %s", "column", "method", "description").alias("line"))
-        # One row on the left, one per quasi-identifier on the right.
-        out = out.unionByName(failed.where("check = 'k_anonymity'").select("check").join(per_column).select(
+        out = out.unionByName(per_column.withColumn("check", F.lit("k_anonymity")).join(failed, "check", "left_semi").select(
             "check", "position", "line"))
     configs = failed.where(F.col("check").startswith("k_anonymity_config_"))
     out = out.unionByName(configs.select("check", F.lit(0).alias("position"), F.format_string(

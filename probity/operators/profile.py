@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions import checks
+from probity.functions.partitioning import spread_small
 
 NULL_DISPLAY = "<NULL>"
 LIKELY_SENSITIVE_RATIO = 0.7
 SMALL_DOMAIN = 20
-QUANTILE_STEPS = 1000
+QUANTILE_STEPS = 100
+QUANTILE_ACCURACY = 2000
+RANKED_ROWS = 200_000
 
 
 def first_rows(df, order_by, max_rows=10_000) -> DataFrame:
@@ -43,7 +46,7 @@ def value_counts(df, columns=None) -> DataFrame:
     """Rows per (column, value); a null value is kept as null."""
     columns = list(column_kinds(df)) if columns is None else columns
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in columns])
-    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return spread_small(df.select(*columns)).select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_counts(df, approximate=False) -> DataFrame:
@@ -76,61 +79,81 @@ def column_counts(df, approximate=False) -> DataFrame:
     )
 
 
-def _numeric_values(df, columns):
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+def _bracket_facts(df, brackets):
+    """Per column: values below the bracket, values inside it, and quantiles of those inside."""
+    grid = F.array(*[F.lit(i / QUANTILE_STEPS) for i in range(QUANTILE_STEPS + 1)])
+    return df.agg(*[
+        F.struct(
+            F.count_if(_below(c, low)).alias("below"),
+            F.count(_inside(c, low, high)).alias("inside"),
+            F.percentile_approx(_inside(c, low, high), grid, QUANTILE_ACCURACY).alias("quantiles"),
+        ).alias(c) for c, (low, high) in brackets.items()
+    ]).first()
+
+
+def _below(column, low):
+    return F.lit(False) if low is None else F.col(column) < F.lit(low)
+
+
+def _inside(column, low, high):
+    value = F.col(column)
+    for bound, ok in ((low, value >= F.lit(low)), (high, value <= F.lit(high))):
+        if bound is not None:
+            value = F.when(ok, value)
+    return value
+
+
+def _narrowed(bracket, low_rank, high_rank, facts):
+    """The quantiles around the wanted ranks, a step of margin on both sides for their error."""
+    step = QUANTILE_STEPS / facts["inside"]
+    lower = int((low_rank - facts["below"]) * step) - 1
+    upper = int((high_rank - facts["below"]) * step) + 2
+    low, high = bracket
+    return (facts["quantiles"][lower] if lower > 0 else low,
+            facts["quantiles"][upper] if upper < QUANTILE_STEPS else high)
 
 
-def medians(df, columns, levels=1) -> DataFrame:
+def medians(df, columns, ranked_rows=RANKED_ROWS) -> DataFrame:
     """Exact medians without bringing a column into one task.
 
-    Each level brackets the middle ranks between two approximate quantiles a
-    thousandth apart, and only values inside the bracket go on; the last step
-    ranks what is left. Raise ``levels`` for tables beyond some 10^9 rows.
+    A pass counts the values of every column and takes approximate quantiles; the
+    next looks only between the quantiles around the middle, until at most
+    ``ranked_rows`` values of a column are left or a bracket cannot shrink
+    because one value fills it. What is left is counted by value and ranked.
+    Each pass keeps some four percent, so a few passes do for any size; only
+    the bounds, a few numbers per column, come to the driver.
     """
-    values = _numeric_values(df, columns)
-    grid = F.array(*[F.lit(i / QUANTILE_STEPS) for i in range(QUANTILE_STEPS + 1)])
-    state = values.groupBy("column").agg(F.count("value").alias("n")).select(
-        "column", F.floor((F.col("n") - 1) / 2).alias("low_rank"), F.floor(F.col("n") / 2).alias("high_rank"),
-    )
-    for _ in range(levels):
-        quantiles = values.groupBy("column").agg(
-            F.count("value").alias("n"), F.percentile_approx("value", grid, 10_000).alias("q"),
-        )
-        # One step of margin on both sides covers the quantiles' rank error.
-        at = lambda rank: F.col(rank) / F.col("n") * QUANTILE_STEPS
-        lower = F.greatest(F.floor(at("low_rank")) - 1, F.lit(0)).cast("int")
-        upper = F.least(F.ceil(at("high_rank")) + 1, F.lit(QUANTILE_STEPS)).cast("int")
-        bracket = state.join(quantiles, "column").select(
-            "column", "low_rank", "high_rank",
-            F.when(lower > 0, F.col("q")[lower]).alias("from_value"),
-            F.when(upper < QUANTILE_STEPS, F.col("q")[upper]).alias("to_value"),
-        )
-        # One row per column of the table.
-        tagged = values.join(F.broadcast(bracket), "column")
-        below = tagged.groupBy("column").agg(
-            F.count_if(F.col("value") < F.col("from_value")).alias("below"),
-            F.max("low_rank").alias("low_rank"), F.max("high_rank").alias("high_rank"),
-        )
-        state = below.select(
-            "column", (F.col("low_rank") - F.col("below")).alias("low_rank"),
-            (F.col("high_rank") - F.col("below")).alias("high_rank"),
-        )
-        inside = (
-            (F.coalesce(F.col("value") >= F.col("from_value"), F.lit(True)))
-            & (F.coalesce(F.col("value") <= F.col("to_value"), F.lit(True)))
-        )
-        values = tagged.where(inside).select("column", "value")
-    counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = [f"c{i}" for i in range(len(columns))]
+    values = spread_small(df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)]))
+    brackets, ranks = {n: (None, None) for n in names}, None
+    while True:
+        facts = _bracket_facts(values, brackets)
+        if ranks is None:
+            ranks = {n: ((facts[n]["inside"] - 1) // 2, facts[n]["inside"] // 2) for n in names if facts[n]["inside"]}
+        narrowed = {
+            n: _narrowed(brackets[n], *ranks[n], facts[n]) if facts[n]["inside"] > ranked_rows else brackets[n] for n in ranks}
+        if all(narrowed[n] == brackets[n] for n in ranks):
+            break
+        brackets = narrowed
+    spark = df.sparkSession
+    wanted = spark.createDataFrame(
+        [(columns[names.index(n)], low - facts[n]["below"], high - facts[n]["below"]) for n, (low, high) in ranks.items()],
+        "column string, low_rank bigint, high_rank bigint")
+    if not ranks:
+        return wanted.select("column", F.lit(None).cast("double").alias("median"))
+    rows = F.array(*[
+        F.struct(F.lit(columns[names.index(n)]).alias("column"), _inside(n, *brackets[n]).alias("value")) for n in ranks])
+    counted = values.select(F.inline(rows)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(state), "column")
+    ranked = counted.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(wanted), "column")
     first_above = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("value")))
     return ranked.groupBy("column").agg(
         ((first_above("low_rank") + first_above("high_rank")) / 2).alias("median")
     )
 
 
-def numeric_stats(df, columns=None, approximate=False, levels=1) -> DataFrame:
+def numeric_stats(df, columns=None, approximate=False) -> DataFrame:
     """Minimum, maximum, mean, median and sample deviation of numeric columns."""
     columns = checks.numeric_columns(df) if columns is None else columns
     wide = df.agg(*[
@@ -146,7 +169,7 @@ def numeric_stats(df, columns=None, approximate=False, levels=1) -> DataFrame:
         F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`")[f].alias(f) for f in fields]) for c in columns
     ])))
     if not approximate:
-        stats = stats.join(F.broadcast(medians(df, columns, levels)), "column", "left")
+        stats = stats.join(F.broadcast(medians(df, columns)), "column", "left")
     return stats.select("column", "min", "max", "mean", "median", "std")
 
 

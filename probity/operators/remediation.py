@@ -16,7 +16,7 @@ RERUN = {
     "transparency": ("trans-revalidate", "Re-run transparency validation after remediation updates."),
 }
 LINKS = {p: f"/knowledge-base#{p}" for p in RERUN}
-LAST = 1 << 30
+LAST = 1 << 62
 
 
 def _rows(df, principle, step_id, text, position):
@@ -37,9 +37,13 @@ def _metric_steps(suites, results, principle, prefix, ending):
 
 
 def _with_rerun(steps, principle):
+    """Every step brings the closing step along; the copies of a suite are then one."""
     step_id, text = RERUN[principle]
-    closing = steps.select("suite_id").distinct()
-    return steps.unionByName(_rows(closing, principle, F.lit(step_id), F.lit(text), F.lit((1 << 62))))
+    fields = ("position", "step_id", "text")
+    closing = F.struct(F.lit(LAST).alias("position"), F.lit(step_id).alias("step_id"), F.lit(text).alias("text"))
+    both = steps.select("suite_id", "principle", "link", F.inline(F.array(F.struct(*fields), closing)))
+    return both.groupBy("suite_id", "principle", "link", "step_id").agg(
+        F.min("position").alias("position"), F.first("text").alias("text"))
 
 
 def fairness_steps(suites, results) -> DataFrame:
@@ -54,7 +58,7 @@ def transparency_steps(suites, results, artifacts) -> DataFrame:
     warned = slot.join(artifacts.select(F.col("run_id").alias("validation_id"), "facts.warning"), "validation_id").where(
         F.coalesce("warning", F.lit("")) != "")
     warning = _rows(
-        warned, "transparency", F.lit("trans-warning"), say("Address transparency warning: ", F.col("warning")), F.lit((1 << 62) - 1))
+        warned, "transparency", F.lit("trans-warning"), say("Address transparency warning: ", F.col("warning")), F.lit(LAST - 1))
     return _with_rerun(steps.unionByName(warning), "transparency")
 
 

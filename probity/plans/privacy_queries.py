@@ -356,7 +356,7 @@ def anonymised_price_bins(spark, directory):
 def hipaa_sql(source, texts, named=()):
     """Flagged columns per category; ``named`` are (identifier, column) pairs found by name."""
     values = " UNION ALL ".join(
-        f"SELECT '{i}' AS identifier, col FROM ({values_sql(source, texts)}) WHERE REGEXP_MATCHES(value, '{p}') GROUP BY col"
+        f"SELECT '{i}' AS identifier, col FROM ({values_sql(source, texts)}) WHERE REGEXP_MATCHES(value, '{hipaa._joined(p)}') GROUP BY col"
         for i, p in hipaa.VALUE_PATTERNS.items())
     names = "".join(f" UNION ALL SELECT '{i}', '{c}'" for i, c in named)
     listed = ", ".join(f"({n}, '{h[0]}', '{h[1]}')" for n, h in enumerate(C.HIPAA_IDENTIFIERS))
@@ -389,7 +389,7 @@ def hipaa_verdict(spark, directory):
     f"""SELECT identifier, CAST(r AS INTEGER) AS "rank", sample FROM (
         SELECT '{i}' AS identifier, sample, ROW_NUMBER() OVER (ORDER BY k, sample) AS r FROM (
             SELECT 'text: ' || SUBSTRING(text, 1, 60) AS sample, MIN(doc_id) AS k FROM documents
-            WHERE REGEXP_MATCHES(text, '{p}') GROUP BY 1)) WHERE r <= 5"""
+            WHERE REGEXP_MATCHES(text, '{hipaa._joined(p)}') GROUP BY 1)) WHERE r <= 5"""
     for i, p in hipaa.VALUE_PATTERNS.items()))
 def hipaa_samples(spark, directory):
     return hipaa.hipaa_samples(table(spark, directory, "documents"), "doc_id")

@@ -16,6 +16,7 @@ def local_session(app="probity", cpus="*", partitions=8, memory="8g") -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.debug.maxToStringFields", "200")
         .getOrCreate()
     )
