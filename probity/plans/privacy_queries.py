@@ -324,7 +324,13 @@ def dp_noise_scales(spark, directory):
     return noise.noise_scales(table(spark, directory, "orders"), ["o_totalprice", "o_orderstatus"], 0.5)
 
 
-@register("dp_epsilon_after_noise")
+@register("dp_epsilon_after_noise", """
+    WITH draws AS (
+        SELECT o_totalprice, o_orderstatus, (('0x' || SUBSTRING(MD5(o_orderkey || ':o_totalprice:42'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE - 0.5 AS u,
+               (SELECT MAX(o_totalprice) - MIN(o_totalprice) FROM orders) / 0.5::DOUBLE AS b FROM orders),
+    noised AS (SELECT o_totalprice - b * SIGN(u) * LN(1 - 2 * ABS(u)) AS x, o_orderstatus FROM draws),
+    total AS (SELECT (MAX(x) - MIN(x)) / STDDEV_SAMP(x) + COUNT(DISTINCT o_orderstatus)::DOUBLE / COUNT(*) AS e FROM noised)
+    SELECT ROUND(e, 6)::DOUBLE AS measured_epsilon, 1.0::DOUBLE AS target_epsilon, e <= 1 AS budget_satisfied FROM total""")
 def dp_epsilon_after_noise(spark, directory):
     df = table(spark, directory, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     noised = noise.laplace_noise(df, ["o_totalprice", "o_orderstatus"], ["o_orderkey"])
