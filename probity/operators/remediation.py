@@ -1,13 +1,19 @@
-"""Remediation steps for failed checks and the checklists made of them."""
+"""Remediation steps for failed checks and the checklists made of them.
 
-from pyspark.sql import DataFrame, Window
+The steps of a suite and principle are built as one array: there is one latest
+result per metric, so the array has as many steps as a validation has metrics.
+"""
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.messages import fixed, say
 from probity.operators.trace import latest_results, suite_validations
 
 NAMED_COLUMNS = 5
-STEP = "array<struct<id: string, text: string, link: string, done: boolean>>"
+STEPS = "array<struct<id:string,text:string,link:string,done:boolean>>"
 
 # Closing step and help link per principle.
 RERUN = {
@@ -16,94 +22,102 @@ RERUN = {
     "transparency": ("trans-revalidate", "Re-run transparency validation after remediation updates."),
 }
 LINKS = {p: f"/knowledge-base#{p}" for p in RERUN}
-LAST = 1 << 62
 
 
-def _rows(df, principle, step_id, text, position):
-    return df.select(
-        "suite_id", F.lit(principle).alias("principle"), position.cast("bigint").alias("position"),
-        step_id.alias("step_id"), text.alias("text"), F.lit(LINKS[principle]).alias("link"))
+def _step(step_id, text, link):
+    return F.struct(
+        (F.lit(step_id) if isinstance(step_id, str) else step_id).alias("id"),
+        (F.lit(text) if isinstance(text, str) else text).alias("text"),
+        F.lit(link).alias("link"), F.lit(False).alias("done"))
+
 
+def _closed(df, principle, steps):
+    """(suite, principle, steps) with the closing step; suites without steps have no row."""
+    step_id, text = RERUN[principle]
+    # Exploding an array of one makes the steps be built once, not again in the filter.
+    known = F.explode(F.array(F.coalesce(steps, F.array().cast(STEPS))))
+    return df.select("suite_id", F.lit(principle).alias("principle"), known.alias("steps")).where(
+        F.size("steps") > 0).withColumn("steps", F.concat("steps", F.array(_step(step_id, text, LINKS[principle]))))
 
-def _metric_steps(suites, results, principle, prefix, ending):
-    """One step per failed latest result of the suites' validations of a principle."""
-    slot = suite_validations(suites).where(F.col("principle") == principle).select("suite_id", "validation_id")
-    failed = latest_results(results.select(
-        "validation_id", "metric_name", "result_no", "metric_value", "threshold", "passed")).where(~F.col("passed"))
-    joined = slot.join(failed, "validation_id")
-    text = say(f"Fix failed {principle} metric '" if principle == "fairness" else f"Fix {principle} metric '",
-               F.col("metric_name"), "' (value=", fixed(F.col("metric_value")), ", threshold=", fixed(F.col("threshold")), "); ", ending)
-    return _rows(joined, principle, F.concat(F.lit(f"{prefix}-"), F.col("metric_name")), text, F.col("result_no"))
 
+def _slot(suites, principle):
+    return suite_validations(suites).where(F.col("principle") == principle).select("suite_id", "validation_id")
 
-def _with_rerun(steps, principle):
-    """Every step brings the closing step along; the copies of a suite are then one."""
-    step_id, text = RERUN[principle]
-    fields = ("position", "step_id", "text")
-    closing = F.struct(F.lit(LAST).alias("position"), F.lit(step_id).alias("step_id"), F.lit(text).alias("text"))
-    both = steps.select("suite_id", "principle", "link", F.inline(F.array(F.struct(*fields), closing)))
-    return both.groupBy("suite_id", "principle", "link", "step_id").agg(
-        F.min("position").alias("position"), F.first("text").alias("text"))
+
+def _failed_metrics(results):
+    """The failed latest results of each validation in result order."""
+    latest = latest_results(results.select(
+        "validation_id", "metric_name", "result_no", "metric_value", "threshold", "passed"))
+    item = F.struct("result_no", "metric_name", "metric_value", "threshold")
+    return latest.where(~F.col("passed")).groupBy("validation_id").agg(
+        F.array_sort(F.collect_list(item)).alias("failed"))
+
+
+def _metric_steps(prefix, opening, ending, link):
+    return F.transform("failed", lambda f: _step(
+        F.concat(F.lit(f"{prefix}-"), f["metric_name"]),
+        say(opening, f["metric_name"], "' (value=", fixed(f["metric_value"]), ", threshold=", fixed(f["threshold"]), "); ", ending),
+        link))
 
 
 def fairness_steps(suites, results) -> DataFrame:
-    steps = _metric_steps(suites, results, "fairness", "fair", "apply bias mitigation and reassess group impacts.")
-    return _with_rerun(steps, "fairness")
+    steps = _metric_steps(
+        "fair", "Fix failed fairness metric '", "apply bias mitigation and reassess group impacts.", LINKS["fairness"])
+    return _closed(_slot(suites, "fairness").join(_failed_metrics(results), "validation_id"), "fairness", steps)
 
 
 def transparency_steps(suites, results, artifacts) -> DataFrame:
-    steps = _metric_steps(
-        suites, results, "transparency", "trans", "improve explainability artifacts/model-card quality.")
-    slot = suite_validations(suites).where(F.col("principle") == "transparency").select("suite_id", "validation_id")
-    warned = slot.join(artifacts.select(F.col("run_id").alias("validation_id"), "facts.warning"), "validation_id").where(
-        F.coalesce("warning", F.lit("")) != "")
-    warning = _rows(
-        warned, "transparency", F.lit("trans-warning"), say("Address transparency warning: ", F.col("warning")), F.lit(LAST - 1))
-    return _with_rerun(steps.unionByName(warning), "transparency")
+    steps = F.coalesce(_metric_steps(
+        "trans", "Fix transparency metric '", "improve explainability artifacts/model-card quality.", LINKS["transparency"],
+    ), F.array().cast(STEPS))
+    warning = F.when(F.coalesce("warning", F.lit("")) != "", F.array(_step(
+        "trans-warning", say("Address transparency warning: ", F.col("warning")), LINKS["transparency"]))).otherwise(
+        F.array().cast(STEPS))
+    warnings = artifacts.select(F.col("run_id").alias("validation_id"), "facts.warning").where("warning IS NOT NULL")
+    joined = _slot(suites, "transparency").join(_failed_metrics(results), "validation_id", "left").join(
+        warnings, "validation_id", "left")
+    return _closed(joined, "transparency", F.concat(steps, warning))
 
 
 def privacy_steps(suites, artifacts) -> DataFrame:
     """Steps from the privacy report of each suite; ``artifacts`` as in ``reports.sections`` plus measured values."""
-    slot = suite_validations(suites).where(F.col("principle") == "privacy").select("suite_id", "validation_id")
-    facts = slot.join(artifacts.select(F.col("run_id").alias("validation_id"), "facts.*"), "validation_id")
-    fields = set(facts.columns)
-    k, l = F.col("k_anonymity"), F.col("l_diversity")  # noqa: E741
+    facts = _slot(suites, "privacy").join(
+        artifacts.select(F.col("run_id").alias("validation_id"), "facts.*"), "validation_id")
+    kinds = {f.name: f.dataType for f in facts.schema.fields}
+    k, l, link = F.col("k_anonymity"), F.col("l_diversity"), LINKS["privacy"]  # noqa: E741
 
     def part(struct, name):
-        kind = facts.schema[struct].dataType
-        return F.col(struct)[name] if name in kind.fieldNames() else F.lit(None).cast("double")
+        return F.col(struct)[name] if name in kinds[struct].fieldNames() else F.lit(None).cast("double")
+
+    def missed(struct, flag):
+        return F.col(struct).isNotNull() & ~F.coalesce(F.col(struct)[flag], F.lit(False))
 
     offers = [
-        F.when(F.size("pii_detected") > 0, F.struct(F.lit("priv-pii").alias("step_id"), say(
-            "Mask/remove detected PII columns: ", F.array_join(F.slice("pii_detected", 1, NAMED_COLUMNS), ", "), ".").alias("text"))),
-        F.when(k.isNotNull() & ~F.coalesce(k["satisfies_k"], F.lit(False)), F.struct(F.lit("priv-k-anonymity").alias("step_id"), say(
+        F.when(F.size("pii_detected") > 0, _step("priv-pii", say(
+            "Mask/remove detected PII columns: ", F.array_join(F.slice("pii_detected", 1, NAMED_COLUMNS), ", "), "."), link)),
+        F.when(missed("k_anonymity", "satisfies_k"), _step("priv-k-anonymity", say(
             "Increase k-anonymity: actual min k=", fixed(part("k_anonymity", "actual_min_k"), 0), ", required k=",
-            fixed(k["k_value"], 0), ".").alias("text"))),
-        F.when(l.isNotNull() & ~F.coalesce(l["satisfies_l"], F.lit(False)), F.struct(F.lit("priv-l-diversity").alias("step_id"), say(
+            fixed(k["k_value"], 0), "."), link)),
+        F.when(missed("l_diversity", "satisfies_l"), _step("priv-l-diversity", say(
             "Increase l-diversity: actual min l=", fixed(part("l_diversity", "actual_min_l"), 0), ", required l=",
-            fixed(l["l_value"], 0), ".").alias("text"))),
+            fixed(l["l_value"], 0), "."), link)),
     ]
-    if "differential_privacy" in fields:
+    if "differential_privacy" in kinds:
         dp = F.col("differential_privacy")
-        offers.append(F.when(dp.isNotNull() & ~F.coalesce(dp["budget_satisfied"], F.lit(False)), F.struct(
-            F.lit("priv-dp").alias("step_id"), say(
-                "Mitigate DP budget issue: measured ε=", fixed(dp["measured_epsilon"], 4), " exceeds target ε=",
-                fixed(dp["target_epsilon"], 4), ".").alias("text"))))
-    hipaa = F.col("hipaa")
+        offers.append(F.when(missed("differential_privacy", "budget_satisfied"), _step("priv-dp", say(
+            "Mitigate DP budget issue: measured ε=", fixed(dp["measured_epsilon"], 4), " exceeds target ε=",
+            fixed(dp["target_epsilon"], 4), "."), link)))
     names = F.lit("")
-    if "failed_identifiers" in facts.schema["hipaa"].dataType.fieldNames():
-        listed = F.slice(hipaa["failed_identifiers"], 1, NAMED_COLUMNS)
+    if "failed_identifiers" in kinds["hipaa"].fieldNames():
+        listed = F.slice(F.col("hipaa")["failed_identifiers"], 1, NAMED_COLUMNS)
         names = F.when(F.size(listed) > 0, say(" Failed checks: ", F.array_join(listed, ", "), ".")).otherwise("")
-    offers.append(F.when(hipaa.isNotNull() & ~F.coalesce(hipaa["overall_passed"], F.lit(False)), F.struct(
-        F.lit("priv-hipaa").alias("step_id"),
-        say("Resolve HIPAA Safe Harbor violations by de-identifying flagged identifiers.", names).alias("text"))))
-    exploded = facts.select("suite_id", F.posexplode(F.array_compact(F.array(*offers))).alias("position", "offer"))
-    steps = _rows(exploded, "privacy", F.col("offer")["step_id"], F.col("offer")["text"], F.col("position"))
-    return _with_rerun(steps, "privacy")
+    offers.append(F.when(missed("hipaa", "overall_passed"), _step("priv-hipaa", say(
+        "Resolve HIPAA Safe Harbor violations by de-identifying flagged identifiers.", names), link)))
+    return _closed(facts, "privacy", F.array_compact(F.array(*offers)))
 
 
-def all_steps(suites, results, artifacts, principles=None) -> DataFrame:
-    """The steps of the principles asked for; a suite without failures has none."""
+def step_lists(suites, results, artifacts, principles=None) -> DataFrame:
+    """(suite, principle, steps) of the principles asked for; a suite without failures has none."""
     wanted = set(principles or RERUN)
     builders = {
         "fairness": lambda: fairness_steps(suites, results),
@@ -113,24 +127,19 @@ def all_steps(suites, results, artifacts, principles=None) -> DataFrame:
     chosen = [builders[p]() for p in RERUN if p in wanted]
     if not chosen:
         raise ValueError(f"choose principles from {list(RERUN)}")
-    out = chosen[0]
-    for part in chosen[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(lambda a, b: a.unionByName(b), chosen)
 
 
-def number_steps(steps) -> DataFrame:
-    """Steps numbered 1.. per suite and principle."""
-    order = Window.partitionBy("suite_id", "principle").orderBy("position", "step_id")
-    return steps.withColumn("number", F.row_number().over(order)).drop("position")
+def numbered_steps(lists) -> DataFrame:
+    """One row per step, numbered from 1 per suite and principle."""
+    rows = lists.select("suite_id", "principle", F.posexplode("steps").alias("position", "step"))
+    return rows.select(
+        "suite_id", "principle", (F.col("position") + 1).alias("number"), F.col("step.id").alias("step_id"), "step.text", "step.link")
 
 
-def checklists(steps, user_id) -> DataFrame:
-    """One checklist per suite and principle with its steps in order; a suite has few of them."""
-    step = F.struct("position", F.col("step_id").alias("id"), "text", "link", F.lit(False).alias("done"))
-    return steps.groupBy("suite_id", "principle").agg(
-        F.transform(F.array_sort(F.collect_list(step)), lambda s: s.dropFields("position")).alias("steps")
-    ).select(F.lit(user_id).alias("user_id"), "suite_id", "principle", "steps")
+def checklists(lists, user_id) -> DataFrame:
+    """The step lists as a user's checklists."""
+    return lists.select(F.lit(user_id).alias("user_id"), "suite_id", "principle", "steps")
 
 
 def refresh_checklists(existing, fresh) -> DataFrame:

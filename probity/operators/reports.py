@@ -4,7 +4,7 @@ A section is one row per suite and principle; every text is built from the
 sections of a suite, so reports for all suites are one plan.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.messages import fixed, say
@@ -31,17 +31,24 @@ def sections(suites, validations, results, artifacts) -> DataFrame:
     """
     parts = suite_validations(suites).select("suite_id", F.col("principle").alias("section"), "validation_id")
     latest = latest_results(results.select("validation_id", "metric_name", "result_no", "metric_value", "threshold", "passed"))
+    # One latest result per metric, so the lists below have as many entries as a
+    # validation has metrics. Plain numbers keep the rest a hash aggregate.
     failed = F.when(~F.col("passed"), F.struct("result_no", "metric_name"))
+    shown = ("demographic_parity_ratio", "equalized_odds_ratio")
+    of = lambda m, c: F.max(F.when(F.col("metric_name") == m, F.col(c)))
     outcome = latest.groupBy("validation_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("passed")).alias("failed"),
-        F.min(failed).alias("first"),
-        *[F.max(F.when(F.col("metric_name") == m, F.struct("metric_value", "threshold", "passed"))).alias(m)
-          for m in ("demographic_parity_ratio", "equalized_odds_ratio")],
+        F.array_sort(F.collect_list(failed)).alias("failures"),
+        *[of(m, c).alias(f"{m}_{c}") for m in shown for c in ("metric_value", "threshold", "passed")],
+    ).select(
+        "validation_id", "total", "failed",
+        F.transform(F.slice("failures", 1, NAMED_METRICS), lambda x: x["metric_name"]).alias("failed_names"),
+        *[F.when(F.col(f"{m}_passed").isNotNull(), F.struct(*[
+            F.col(f"{m}_{c}").alias(c) for c in ("metric_value", "threshold", "passed")])).alias(m) for m in shown],
     )
-    names = _first_failed(latest)
     joined = (
         parts.join(validations.select("validation_id", "status"), "validation_id", "left")
-        .join(outcome, "validation_id", "left").join(names, "validation_id", "left")
+        .join(outcome, "validation_id", "left")
         .join(artifacts.select(F.col("run_id").alias("validation_id"), "facts"), "validation_id", "left")
     )
     body = F.struct(
@@ -55,15 +62,6 @@ def sections(suites, validations, results, artifacts) -> DataFrame:
     return suites.select("suite_id", "model_id", "dataset_id", "overall_passed", "started_at").join(wide, "suite_id", "left")
 
 
-def _first_failed(latest):
-    """The first failed metric names of a validation in result order."""
-    order = Window.partitionBy("validation_id").orderBy("result_no", "metric_name")
-    few = latest.where(~F.col("passed")).select(
-        "validation_id", "metric_name", F.row_number().over(order).alias("rank")).where(F.col("rank") <= NAMED_METRICS)
-    return few.groupBy("validation_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "metric_name"))), lambda x: x["metric_name"]).alias("failed_names"))
-
-
 def _status(section):
     return F.coalesce(F.col(section)["status"], F.lit("not_run"))
 

@@ -543,20 +543,20 @@ STEPS_SQL = SLOTS_SQL + f""", {LATEST_SQL},
 
 def steps_of(spark, directory, principles=None):
     suites, results = views(spark, directory, "g_suites", "g_results")
-    return remediation.all_steps(suites, results, artifacts_of(spark, directory), principles)
+    return remediation.step_lists(suites, results, artifacts_of(spark, directory), principles)
 
 
 @register("remediation_steps", with_views("", "g_suites", "g_results", "g_artifacts") + STEPS_SQL + """
     SELECT suite_id, principle, step_id, text, '/knowledge-base#' || principle AS link,
            CAST(ROW_NUMBER() OVER (PARTITION BY suite_id, principle ORDER BY o, step_id) AS INTEGER) AS number FROM with_rerun""")
 def remediation_steps(spark, directory):
-    return remediation.number_steps(steps_of(spark, directory))
+    return remediation.numbered_steps(steps_of(spark, directory))
 
 
 @register("remediation_chosen_principles", with_views("", "g_suites", "g_results", "g_artifacts") + STEPS_SQL + """
     SELECT principle, COUNT(*) AS steps, COUNT(DISTINCT suite_id) AS suites FROM with_rerun WHERE principle <> 'transparency' GROUP BY principle""")
 def remediation_chosen_principles(spark, directory):
-    steps = steps_of(spark, directory, ["privacy", "fairness"])
+    steps = remediation.numbered_steps(steps_of(spark, directory, ["privacy", "fairness"]))
     return steps.groupBy("principle").agg(
         F.count(F.lit(1)).alias("steps"), F.count_distinct("suite_id").alias("suites"))
 

@@ -35,8 +35,13 @@ def read_artifacts(spark, path, kind) -> DataFrame:
 
 
 def parsed(artifacts, schema, column="payload") -> DataFrame:
-    """Rows with ``facts`` parsed from the payload; what cannot be read is empty."""
-    return artifacts.withColumn("facts", F.from_json(column, schema)).drop(column)
+    """Rows with ``facts`` parsed from the payload; what cannot be read is empty.
+
+    Exploding an array of one makes each payload be parsed once, however many
+    of its fields later steps and filters use.
+    """
+    rest = [c for c in artifacts.columns if c != column]
+    return artifacts.select(*rest, F.explode(F.array(F.from_json(column, schema))).alias("facts"))
 
 
 def payload_or_default(runs, artifacts, default="{}") -> DataFrame:

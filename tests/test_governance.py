@@ -180,13 +180,13 @@ def test_remediation(spark, tables):
     artifacts = spark.createDataFrame([(101, '{"pii_detected":["a"],"hipaa":{"overall_passed":false}}')], "run_id int, payload string")
     parsed = artifacts.withColumn("facts", F.from_json("payload", reports.ARTIFACT_FIELDS)).drop("payload")
     failing = tables["results"].where("NOT (result_no = 2 AND validation_id = 100)")
-    steps = remediation.number_steps(remediation.all_steps(tables["suites"], failing, parsed)).orderBy("principle", "number").collect()
+    steps = remediation.numbered_steps(remediation.step_lists(tables["suites"], failing, parsed)).orderBy("principle", "number").collect()
     assert [s["step_id"] for s in steps] == [
         "fair-demographic_parity_ratio", "fair-revalidate", "priv-pii", "priv-hipaa", "priv-revalidate"]
     assert steps[0]["text"] == (
         "Fix failed fairness metric 'demographic_parity_ratio' (value=0.700, threshold=0.800); "
         "apply bias mitigation and reassess group impacts.")
-    fresh = remediation.checklists(remediation.all_steps(tables["suites"], failing, parsed, ["fairness"]), "u")
+    fresh = remediation.checklists(remediation.step_lists(tables["suites"], failing, parsed, ["fairness"]), "u")
     old = fresh.withColumn("principle", F.lit("privacy")).unionByName(fresh.withColumn("suite_id", F.lit(77)))
     out = {(r["suite_id"], r["principle"]): r["change"] for r in remediation.refresh_checklists(old, fresh).collect()}
     assert out == {(50, "fairness"): "inserted", (77, "fairness"): "kept"}
