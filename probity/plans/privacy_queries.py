@@ -478,7 +478,12 @@ def privacy_metric_rows(spark, directory):
     UNION ALL SELECT 'k_anonymity', 3, '  → c_nationkey: binning - Group into ranges (e.g., ' || (SELECT MIN(c_nationkey)::DOUBLE FROM customer) || '-'
         || (SELECT MAX(c_nationkey)::DOUBLE FROM customer) || ' into 5-10 bins)' FROM checks WHERE "check" = 'k_anonymity' AND NOT passed
     UNION ALL SELECT "check", 0, 'k-anonymity config #' || RIGHT("check", 1) || ' failed (k=' || required::INTEGER || ', min group size=' || measured::INTEGER || ')'
-    FROM checks WHERE "check" LIKE 'k_anonymity_config%' AND NOT passed""")
+    FROM checks WHERE "check" LIKE 'k_anonymity_config%' AND NOT passed
+    UNION ALL SELECT "check", 0, 'Dataset fails 3-diversity for ''c_mktsegment'' (minimum diversity: ' || measured::INTEGER || ')'
+    FROM checks WHERE "check" = 'l_diversity' AND NOT passed
+    UNION ALL SELECT "check", 1, '  → Some groups have insufficient diversity in sensitive attribute' FROM checks WHERE "check" = 'l_diversity' AND NOT passed
+    UNION ALL SELECT "check", 2, '  → Consider: (1) Further generalizing quasi-identifiers, (2) Suppressing low-diversity groups, or (3) Adding synthetic records'
+    FROM checks WHERE "check" = 'l_diversity' AND NOT passed""")
 def privacy_recommendations(spark, directory):
     return privacy_report.check_recommendations(
         table(spark, directory, "customer"), audit(spark, directory), AUDIT)
