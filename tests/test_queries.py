@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from probity.plans import load_registry
 from oracle import compare, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_registry().QUERIES, load_registry().ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,7 @@ def test_entry_gives_the_six_metrics(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
     assert len(QUERIES) >= 150
 
 
