@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, token_files
+from . import chat, decontaminate, language, quality, shards, token_files
 from .registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -39,3 +39,18 @@ def op10_token_files(spark, directory):
 @register("op4_decontamination")
 def op4_decontamination(spark, directory):
     return decontaminate.digests(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@register("op2_sharding")
+def op2_sharding(spark, directory):
+    return shards.sharded(table(spark, directory, "documents"), shards=40)
+
+
+#: The contract's extra conversation.
+EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@register("op6_chat_formatting")
+def op6_chat_formatting(spark, directory):
+    turns = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.written_digests(turns.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")))

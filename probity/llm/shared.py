@@ -7,6 +7,14 @@ import pyarrow as pa
 
 from probity.session import ensure_checkpoint_dir
 
+def literal_rows(spark, rows, schema):
+    """A few rows of numbers (or None) as a table that is part of the plan; ``schema`` as in "a int, b long"."""
+    fields = [f.split() for f in schema.split(",")]
+    values = ", ".join("(" + ", ".join("NULL" if v is None else f"{v}" for v in row) + ")" for row in rows)
+    casts = ", ".join(f"CAST({name} AS {'bigint' if kind == 'long' else kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})")
+
+
 #: Values of an array that travel in one row when arrays of all tasks are added up.
 PIECE = 8192
 
