@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, quality, shards, token_files
+from . import chat, decontaminate, language, quality, shards, token_files, vectors
 from .registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -54,3 +54,8 @@ EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 def op6_chat_formatting(spark, directory):
     turns = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
     return chat.written_digests(turns.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")))
+
+
+@register("op9_embedding_neighbours")
+def op9_embedding_neighbours(spark, directory):
+    return vectors.near_vectors(table(spark, directory, "embeddings"))
