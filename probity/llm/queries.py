@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, quality, shards, token_files, vectors
+from . import chat, decontaminate, language, near, quality, shards, token_files, vectors
 from .registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -59,3 +59,8 @@ def op6_chat_formatting(spark, directory):
 @register("op9_embedding_neighbours")
 def op9_embedding_neighbours(spark, directory):
     return vectors.near_vectors(table(spark, directory, "embeddings"))
+
+
+@register("op8_minhash_near_duplicates")
+def op8_minhash_near_duplicates(spark, directory):
+    return near.near_groups(table(spark, directory, "documents"))
