@@ -1,5 +1,6 @@
 """Connected components by alternating stars; every step is a join or an aggregate."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from probity.session import ensure_checkpoint_dir
@@ -49,3 +50,19 @@ def components(links):
     roots = found.select(F.col("component").alias("node")).distinct()
     return found.select(F.col("a").alias("node"), "component").unionAll(
         roots.select("node", F.col("node").alias("component")))
+
+
+def stars(a, b, size):
+    """(node, root) of a spanning forest of the links a-b; a root is the smallest node of its part."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    node = np.flatnonzero(label != np.arange(size))
+    return node, label[node]

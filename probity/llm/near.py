@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, stars
 from .shared import PIECES, pieces, stored, summed
 from .spans import TEXT, blocks, mixed, words
 
@@ -24,6 +24,9 @@ RARITY = 0.05
 #: Entries of the tables that the samples' random numbers are drawn from.
 DRAWS = 1 << 16
 SHINGLE_BITS = 44
+#: Texts that one task compares with as many others, and most texts connected through bands that are blocked together.
+BLOCK = 1024
+COMPONENT = 8 * BLOCK
 
 
 def shingles(data, offsets, size=WORDS):
@@ -173,22 +176,40 @@ def weighted_jaccard(first, first_weights, second, second_weights):
     return low / whole if whole else 0.0
 
 
-def verified(pairs, sets, similarity):
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, with it."""
-    def compared(batches):
-        for batch in batches:
-            kept = []
-            for k in range(batch.num_rows):
-                parts = [np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in ((2, "<u8"), (3, "<f4"), (4, "<u8"), (5, "<f4"))]
-                value = weighted_jaccard(*parts)
-                if value >= similarity:
-                    kept.append((k, value))
-            at = pa.array([k for k, _ in kept], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([v for _, v in kept], pa.float64())], ["a", "b", "similarity"])
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s1"), F.col("weights").alias("w1"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s2"), F.col("weights").alias("w2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s1", "w1", "s2", "w2").mapInArrow(compared, "a long, b long, similarity double")
+def _flat(column, kind):
+    """(values, ends) of a column of bytes that hold numbers."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
+def compared(table, similarity):
+    """Star-shaped links (a, b) between the texts of two blocks that share a band and are similar enough."""
+    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+    table = table.sort_by("rep")
+    rep, block = table.column("rep").to_numpy(), table.column("block").to_numpy()
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    shingle, ends = _flat(table.column("shingles"), "<u8")
+    weight = _flat(table.column("weights"), "<f4")[0].astype(np.float64)
+    sizes = np.diff(ends, prepend=0)
+    column, total = np.unique(shingle, return_inverse=True)[1], np.add.reduceat(weight, ends - sizes)
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    own, a, b = np.zeros(len(shingle)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        others = right[right > i] if first == second else right
+        others = others[(bands[others] == bands[i]).any(axis=1)]
+        if not len(others):
+            continue
+        mine = slice(ends[i] - sizes[i], ends[i])
+        own[column[mine]] = weight[mine]
+        cuts = np.cumsum(sizes[others]) - sizes[others]
+        at = np.repeat(ends[others] - sizes[others] - cuts, sizes[others]) + np.arange(sizes[others].sum())
+        low = np.add.reduceat(np.minimum(weight[at], own[column[at]]), cuts)
+        own[column[mine]] = 0
+        hit = others[low / (total[i] + total[others] - low) >= similarity]
+        a.append(np.full(len(hit), i))
+        b.append(hit)
+    node, root = stars(np.concatenate(a), np.concatenate(b), len(rep))
+    return pa.table({"a": pa.array(rep[node], pa.int64()), "b": pa.array(rep[root], pa.int64())})
 
 
 def near_groups(docs, similarity=SIMILARITY, size=WORDS, bands=BANDS, rows=ROWS):
@@ -197,40 +218,40 @@ def near_groups(docs, similarity=SIMILARITY, size=WORDS, bands=BANDS, rows=ROWS)
     group_id is the smallest doc_id of the documents joined by links of the
     similarity or more; kept is true for that document. Texts of equal weighted
     sets (case and punctuation aside) are copies; one of them stands for all.
-    Within a band's bucket every text is compared with the bucket's smallest;
-    then, so that no link is lost, every two texts of a bucket that are not yet
-    in one group. Rows with a null text or doc_id are their own group and kept; repeated
-    rows have one answer each. Columns other than doc_id and text are not read.
+    All different texts that share a band are compared, in pairs of blocks of a
+    bounded size: blocks of all texts connected through bands or, if these are
+    very many, blocks of one band's bucket. Only links travel, no pairs. Rows
+    with a null text or doc_id are their own group and kept; repeated rows have
+    one answer each; different texts of one id are one document. Columns other
+    than doc_id and text are not read.
     """
     weights = rarity(docs.where(F.col("text").isNotNull()), size)
     known = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stored(signatures(known, weights, bands, rows, size), "near-signatures")
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("set1").isNotNull())
-    sets = usable.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    members = stored(sets, "near-sets")
+    members = stored(usable.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-members")
     buckets = members.select("rep", F.posexplode("bands").alias("band", "hash"))
     leaders = buckets.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     crowded = stored(buckets.join(leaders.select("band", "hash", "leader"), ["band", "hash"]), "near-buckets")
-    needed = crowded.select(F.col("rep").alias("doc_id")).distinct()
-    # The texts that are anyone's candidates; ids are hashed, texts are not sorted.
+    tied = stored(components(crowded.select(F.col("rep").alias("a"), F.col("leader").alias("b"))), "near-candidates")
+    sizes = tied.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    place = tied.join(sizes, "component").select(F.col("node").alias("rep"), "component", (F.col("n") > COMPONENT).alias("large"))
+    small = place.where(~F.col("large")).select("rep", F.col("component").alias("key"), F.lit(-1).alias("part"))
+    large = crowded.join(place.where("large"), "rep").select("rep", F.col("hash").alias("key"), F.col("band").alias("part"))
+    spread = stored(small.unionAll(large), "near-blocks")
+    counts = spread.groupBy("key", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cut = spread.join(counts.where(F.col("blocks") > 1), ["key", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("rep", F.lit(43)), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "part", "rep", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    # The texts that are anyone's candidates: the side of the ids is hashed, the texts are not sorted.
+    needed = tied.select(F.col("node").alias("doc_id"))
     sets = weighted_sets(known.join(needed.hint("shuffle_hash"), "doc_id", "left_semi"), weights, size)
-    # One set for an id: repeated rows would repeat its pairs.
-    sets = stored(sets.groupBy("doc_id").agg(F.min(F.struct("shingles", "weights")).alias("own")).select("doc_id", "own.*"), "near-weights")
-    pairs = crowded.where(F.col("rep") != F.col("leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = stored(verified(pairs, sets, similarity), "near-links")
-    groups = stored(components(links), "near-groups")
-    of = crowded.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "hash", "rep", "leader", F.coalesce("component", "rep").alias("part"))
-    mixed_buckets = of.groupBy("band", "hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(
-        F.col("low") != F.col("high")).select("band", "hash")
-    open_rows = stored(of.join(mixed_buckets, ["band", "hash"]), "near-open")
-    other = open_rows.select("band", "hash", F.col("rep").alias("rep2"), F.col("part").alias("part2"))
-    rest = open_rows.join(other, ["band", "hash"]).where(
-        (F.col("part") < F.col("part2")) & (F.col("rep") != F.col("leader")) & (F.col("rep2") != F.col("leader"))).select(
-        F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    more = verified(rest, sets, similarity)
-    links = stored(links.unionAll(more), "near-all-links")
-    groups = components(links)
+    sets = sets.groupBy("doc_id").agg(F.min(F.struct("shingles", "weights")).alias("own")).select(F.col("doc_id").alias("rep"), "own.*")
+    one = members.groupBy("rep").agg(F.min("bands").alias("bands"))
+    links = met.join(sets, "rep").join(one, "rep").groupBy("key", "part", "first", "second").applyInArrow(
+        lambda table: compared(table, similarity), "a long, b long")
+    groups = components(stored(links, "near-links"))
     found = members.select("set1", "set2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set1", "set2", F.coalesce("component", "rep").alias("group_id"))
     # Rows without a set of their own must not meet in one task.
@@ -240,4 +261,3 @@ def near_groups(docs, similarity=SIMILARITY, size=WORDS, bands=BANDS, rows=ROWS)
     alone = keyed.where(~able).select("doc_id", F.col("doc_id").alias("group_id"))
     return told.select("doc_id", "group_id").unionAll(alone).select(
         "doc_id", "group_id", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)).alias("kept"))
-

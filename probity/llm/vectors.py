@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, stars
 from .shared import stored
 
 #: Different vectors that a leaf should hold, and most that one task compares with as many others.
@@ -74,22 +74,6 @@ def leaves(rows, forest):
     return row[order], leaf[order]
 
 
-def _stars(a, b, size):
-    """(node, root) of a spanning forest of the links a-b; a root is the smallest node of its part."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    node = np.flatnonzero(label != np.arange(size))
-    return node, label[node]
-
-
 def _compared(table, threshold):
     """Numbers of links and star-shaped links of one pair of blocks."""
     leaf, first, second = (table.column(c)[0].as_py() for c in ("leaf", "first", "second"))
@@ -120,7 +104,7 @@ def _compared(table, threshold):
             links += np.bincount(x, n[y], len(uid)).astype(np.int64) + np.bincount(y, n[x], len(uid)).astype(np.int64)
             a.append(x)
             b.append(y)
-    node, root = _stars(np.concatenate(a), np.concatenate(b), len(uid))
+    node, root = stars(np.concatenate(a), np.concatenate(b), len(uid))
     linked = np.flatnonzero(links)
     return pa.table({
         "uid": pa.array(np.concatenate([uid[linked], uid[node]])),
