@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, near, quality, shards, token_files, vectors
+from . import chat, decontaminate, language, mixing, near, quality, shards, token_files, vectors
 from .registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,3 +64,13 @@ def op9_embedding_neighbours(spark, directory):
 @register("op8_minhash_near_duplicates")
 def op8_minhash_near_duplicates(spark, directory):
     return near.near_groups(table(spark, directory, "documents"))
+
+
+#: Shares of the tokens that the languages are mixed to.
+MIX = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+@register("op7_source_mixing")
+def op7_source_mixing(spark, directory):
+    docs = table(spark, directory, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    return mixing.mixed(docs, docs, MIX)
