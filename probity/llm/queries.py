@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near, quality, shards, token_files, vectors
+from . import chat, decontaminate, language, mixing, near, quality, repeats, shards, token_files, vectors
 from .registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,3 +74,8 @@ MIX = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 def op7_source_mixing(spark, directory):
     docs = table(spark, directory, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
     return mixing.mixed(docs, docs, MIX)
+
+
+@register("op3_suffix_array_dedup")
+def op3_suffix_array_dedup(spark, directory):
+    return repeats.without_repeats(table(spark, directory, "documents"))
