@@ -67,7 +67,7 @@ def _band(counts):
     return np.log2(1 + counts.sum(axis=1)).astype(np.int64).clip(0, 31)
 
 
-def fit(labelled, clusters=4, rows_per_language=400, most_languages=200, slack=0.5):
+def fit(labelled, clusters=4, rows_per_language=250, most_languages=200, slack=0.5):
     """Learn centroids from ``labelled`` (doc_id, text, lang).
 
     Document frequencies cover every labelled row. The centroids come from a
@@ -107,15 +107,15 @@ def fit(labelled, clusters=4, rows_per_language=400, most_languages=200, slack=0
     def counted(batches):
         for batch in batches:
             for row, data, offsets in blocks(batch.column(1)):
-                sent = [c.astype(np.uint16 if c.max(initial=0) < 65536 else np.uint32).astype(np.uint32) for c in gram_counts(data, offsets)]
+                sent = [c.astype("<u2" if c.max(initial=0) < 65536 else "<u4") for c in gram_counts(data, offsets)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(sent)), pa.array([c.tobytes() for c in sent], pa.binary())], ["lang", "counts"])
 
     rows = sample.mapInArrow(counted, "lang string, counts binary").collect()
     languages, centres, owner, floors = sorted({r["lang"] for r in rows}), [], [], {}
     for k, language in enumerate(languages):
-        counts = np.array(sorted(r["counts"] for r in rows if r["lang"] == language), dtype=object)
-        counts = np.array([np.frombuffer(c, np.uint32) for c in counts], np.float32)
+        counts = sorted(r["counts"] for r in rows if r["lang"] == language)
+        counts = np.array([np.frombuffer(c, "<u2" if len(c) == 2 * BUCKETS else "<u4") for c in counts], np.float32)
         vectors = _vectors(counts, idf)
         own = _clustered(vectors[vectors.any(axis=1)], clusters) if vectors.any() else np.zeros((0, BUCKETS), np.float32)
         centres.append(own)

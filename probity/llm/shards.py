@@ -116,6 +116,7 @@ def assign(rows, shards, tolerance_share=0.01):
         columns = [c for c in rows.columns if c != "cell"]
         rows = rows.join(F.broadcast(plan), "cell", "left").select(
             *columns, F.when(F.coalesce(right, F.lit(False)), F.col("right")).otherwise(F.col("cell")).alias("cell"))
+        rows = stored(rows, "shard-cells")  # a level reads the cells of the one before, not all cuts so far
         state = {s: n for c, k in state.items() for s, n in ([(c, k)] if k == 1 else [(c, k // 2), (c + k // 2, k - k // 2)])}
     return rows.withColumnRenamed("cell", "shard")
 
@@ -156,6 +157,6 @@ def sharded(docs, shards=None, target_bytes=None, dimensions=None):
     rows = stored(sized(docs, dimensions), "shard-rows")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).head()
     shards = shards or shards_for(whole["weight"], target_bytes)
-    leaves = stored(assign(rows, shards), "shard-leaves")
+    leaves = assign(rows, shards)
     return slots(leaves, whole["n"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
