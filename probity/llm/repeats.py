@@ -37,7 +37,10 @@ def suffix_array(values):
     start = np.arange(n + (n % 3 == 1))  # one more suffix at the end, so that the halves of the sample don't run together
     sampled = np.concatenate([start[start % 3 == 1], start[start % 3 == 2]])
     a, b, c = padded[sampled], padded[sampled + 1], padded[sampled + 2]
-    order = np.lexsort((c, b, a))
+    if padded.max() < 1 << 21:  # a triple fits into one number
+        order = np.argsort((a << 42) | (b << 21) | c)
+    else:
+        order = np.lexsort((c, b, a))
     new = np.ones(len(order), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1])
     names = np.empty(len(order), np.int64)
@@ -50,7 +53,7 @@ def suffix_array(values):
     ranked = ranked[ranked < n]
     rest = start[(start % 3 == 0) & (start < n)]
     base = np.int64(len(rank) + 1)
-    rest = rest[np.lexsort((rank[rest + 1], padded[rest]))]
+    rest = rest[np.argsort(padded[rest] * base + rank[rest + 1])]
     one, two = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
     below = np.searchsorted(padded[one] * base + rank[one + 1], padded[rest] * base + rank[rest + 1])
     # Two characters and a rank in one number: the pairs of characters are named first.
@@ -89,46 +92,58 @@ def anchors(data, offsets, length=LENGTH, gram=GRAM):
     chosen = (least[:windows][whole] & np.uint64((1 << 30) - 1)).astype(np.int64)
     chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
     chosen = np.unique(chosen)
-    return chosen, hashes[chosen] >> np.uint64(24)
+    return chosen, hashes[chosen] >> np.uint64(64 - HASH_BITS)
 
 
-def _anchored(docs):
+#: Bits of a place in a text, beside HASH_BITS of an anchor's hash: texts of up to a quarter of a gigabyte.
+PLACE_BITS, HASH_BITS = 28, 35
+
+
+def _anchored(known):
+    """(anchor, key): hash and place of every anchor in one number. """
     def found(batches):
         for batch in batches:
-            for first, data, offsets in blocks(batch.column(2)):
+            texts = pa.array([zlib.decompress(x) for x in batch.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            for first, data, offsets in blocks(texts):
+                if np.diff(offsets).max(initial=0) >> PLACE_BITS:
+                    raise ValueError("a text is longer than a place can tell")
                 at, hashes = anchors(data, offsets)
                 row = np.searchsorted(offsets, at, "right") - 1
-                take = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.astype(np.int64)), batch.column(0).take(take), pa.array((at - offsets[row]).astype(np.int32))], ["hash", "key", "at"])
+                numbers = (hashes << np.uint64(PLACE_BITS)) | (at - offsets[row]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), batch.column(0).take(pa.array(first + row))], ["anchor", "key"])
 
-    return docs.select("key", "ord", "text").mapInArrow(found, "hash long, key long, at int")
+    return known.select("key", "packed").mapInArrow(found, "anchor long, key long")
 
 
 def _shared(anchored):
-    """(key, at, hash) of the anchors that are in two or more documents; each task reads its anchors in order, a batch at a time."""
+    """(key, anchor) of the anchors that are in two or more documents; each task reads its anchors in order, a batch at a time."""
     def told(batches):
         left = None
         for batch in batches:
-            hashes, keys, at = (batch.column(c).to_numpy() for c in range(3))
+            numbers, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if left is not None:
-                hashes, keys, at = (np.concatenate(x) for x in zip(left, (hashes, keys, at), strict=True))
-            # The last hash may go on in the next batch. Of one that has proved shared only the last row waits.
+                numbers, keys = (np.concatenate(x) for x in zip(left, (numbers, keys), strict=True))
+            hashes = numbers >> PLACE_BITS
+            # The last hash may go on in the next batch.
             cut = int(np.searchsorted(hashes, hashes[-1]))
-            several = np.zeros(len(hashes), bool)
-            same = (hashes[1:] == hashes[:-1]) & (keys[1:] != keys[:-1])
-            edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            group = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]]))
-            many = np.zeros(len(edges), bool)
-            many[group[1:][same]] = True
-            several = many[group]
+            several = _several(hashes, keys)
             several[cut:] = False
-            yield pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(at[several]), pa.array(hashes[several])], ["key", "at", "hash"])
-            left = hashes[cut:], keys[cut:], at[cut:]
-        if left is not None and len(np.unique(left[1])) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(left[1]), pa.array(left[2]), pa.array(left[0])], ["key", "at", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(numbers[several])], ["key", "anchor"])
+            left = numbers[cut:], keys[cut:]
+        if left is not None:
+            several = _several(left[0] >> PLACE_BITS, left[1])
+            yield pa.RecordBatch.from_arrays([pa.array(left[1][several]), pa.array(left[0][several])], ["key", "anchor"])
+
+    hashed = F.shiftright("anchor", PLACE_BITS)
+    return anchored.repartition(hashed).sortWithinPartitions("anchor").mapInArrow(told, "key long, anchor long")
 
-    return anchored.repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(told, "key long, at int, hash long")
+
+def _several(hashes, keys):
+    """True where a hash is that of two or more documents; hashes sorted."""
+    cuts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(hashes)))
+    many = np.minimum.reduceat(keys, cuts) != np.maximum.reduceat(keys, cuts) if len(cuts) else np.zeros(0, bool)
+    return np.repeat(many, sizes)
 
 
 def _around(rows, length=LENGTH, gram=GRAM):
@@ -137,13 +152,14 @@ def _around(rows, length=LENGTH, gram=GRAM):
         for batch in batches:
             for row in batch.to_pylist():
                 raw = zlib.decompress(row["packed"])
-                lows = [max(0, at - (length - gram)) for at in row["at"]]
+                places = [x & ((1 << PLACE_BITS) - 1) for x in row["anchors"]]
+                lows = [max(0, at - (length - gram)) for at in places]
                 yield pa.RecordBatch.from_pydict({
-                    "hash": pa.array(row["hash"], pa.int64()), "ord": pa.array([row["ord"]] * len(lows), pa.int64()), "key": pa.array([row["key"]] * len(lows), pa.int64()),
-                    "at": pa.array(row["at"], pa.int32()), "left": pa.array([at - low for at, low in zip(row["at"], lows, strict=True)], pa.int32()),
-                    "around": pa.array([raw[low:at + length] for at, low in zip(row["at"], lows, strict=True)], pa.binary())})
+                    "hash": pa.array([x >> PLACE_BITS for x in row["anchors"]], pa.int64()), "ord": pa.array([row["ord"]] * len(lows), pa.int64()), "key": pa.array([row["key"]] * len(lows), pa.int64()),
+                    "at": pa.array(places, pa.int32()), "left": pa.array([at - low for at, low in zip(places, lows, strict=True)], pa.int32()),
+                    "around": pa.array([raw[low:at + length] for at, low in zip(places, lows, strict=True)], pa.binary())})
 
-    return rows.select("key", "ord", "packed", "at", "hash").mapInArrow(cut, "hash long, ord long, key long, at int, left int, around binary")
+    return rows.select("key", "ord", "packed", "anchors").mapInArrow(cut, "hash long, ord long, key long, at int, left int, around binary")
 
 
 def _repeats(rows, length):
@@ -242,22 +258,21 @@ def without_repeats(docs):
 
     A null text is empty. Documents of a null id come after all others; rows of
     one doc_id take nothing from each other; repeated rows have equal answers.
+    Texts of more than 2 ** PLACE_BITS bytes are an error.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
-                       F.xxhash64("doc_id", text).alias("key"))
-    at = _shared(_anchored(rows)).groupBy("key").agg(F.collect_list(F.struct("at", "hash")).alias("found"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
+        F.monotonically_increasing_id().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def packed(batches):
         for batch in batches:
-            out = [(r["doc_id"], r["ord"], r["key"], zlib.compress(r["text"].encode(), 6), [f["at"] for f in r["found"] or []], [f["hash"] for f in r["found"] or []])
-                   for r in batch.to_pylist()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "ord", "key", "packed", "at", "hash"])
-
-    known = stored(rows.join(at.hint("shuffle_hash"), "key", "left").select("doc_id", "ord", "key", "text", "found").mapInArrow(
-        packed, "doc_id long, ord long, key long, packed binary, at array<int>, hash array<long>"), "repeat-documents")
-    marks = _marks(_around(known.where(F.size("at") > 0).dropDuplicates(["key"])))
+            sent = pa.array([zlib.compress(t.encode(), 6) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sent], ["doc_id", "ord", "key", "packed"])
+
+    # Keys are given once and kept; texts travel and wait compressed.
+    known = stored(rows.mapInArrow(packed, "doc_id long, ord long, key long, packed binary"), "repeat-documents")
+    found = stored(_shared(_anchored(known)).groupBy("key").agg(F.collect_list("anchor").alias("anchors")), "repeat-anchors")
+    marks = _marks(_around(known.join(found.hint("shuffle_hash"), "key")))
     marks = marks.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def told(batches):
@@ -268,7 +283,4 @@ def without_repeats(docs):
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    columns = ["doc_id", "packed", "spans"]
-    # Documents without a shared anchor are told where they are.
-    plain = known.where(F.size("at") == 0).select("doc_id", "packed", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
-    return known.where(F.size("at") > 0).join(marks, "key", "left").select(*columns).mapInArrow(told, fields).unionAll(plain.mapInArrow(told, fields))
+    return known.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "spans").mapInArrow(told, fields)
