@@ -1,6 +1,6 @@
 """Chat formatting by columns: all turns of a batch are written into one Arrow buffer.
 
-A turn is written as ``<|role|>``, line break, text, ``</s>``, line break. Inside
+A turn is written as ``<|turn role|>``, line break, text, ``</s>``, line break. Inside
 texts and roles, every ``<``, ``[`` and ``|`` is followed by a backslash, so that
 no control string of this or another common template (``<|...|>``, ``<s>``,
 ``[INST]``, ``<<SYS>>``) is left in them; reading takes these backslashes away, and
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import new_path
 from .spans import BLOCK_BYTES, column_bytes
 
-OPEN, CLOSE_ROLE, END = b"<|", b"|>\n", b"</s>\n"
+OPEN, CLOSE_ROLE, END = b"<|turn ", b"|>\n", b"</s>\n"
 SCORED_ROLE = "assistant"
 
 TURNS = "conv_id long, turn long, formatted string, loss_start int, loss_chars int"
