@@ -10,7 +10,6 @@ from probity.operators.prep import encode_alphabetical
 
 PROXY_CORRELATION = 0.5
 PROXY_ROWS = 10
-MAX_ATTRIBUTES = 3
 CHECK_SCHEMA = "position int, check_id string, status string, value double, threshold double, reason string"
 
 
@@ -92,14 +91,14 @@ def _limit_check(rows, position, check_id, value, threshold, over, over_reason,
         limit.alias("threshold"), reason.alias("reason"))
 
 
-def dataset_checks(df, sensitive_attributes=(), mode=None) -> DataFrame:
+def dataset_checks(df, sensitive_attributes=(), mode=None, most_attributes=None) -> DataFrame:
     """The elicitation checks of a dataset in order."""
     spark, limits = df.sparkSession, mode_limits(mode)
     pii = pii_name_columns(df.columns)
     out = _literal(
         spark, 0, "dataset_pii_detection", "triggered" if pii else "not_triggered", len(pii), None,
         f"Detected potential PII columns: {', '.join(pii)}" if pii else "No PII-like column names detected.")
-    chosen = list(sensitive_attributes)[:MAX_ATTRIBUTES]
+    chosen = list(sensitive_attributes)[:most_attributes]
     if not chosen:
         out = out.unionByName(_literal(
             spark, 1, "dataset_sensitive_attributes_available", "skipped",
@@ -182,7 +181,7 @@ def disparate_impacts(rates) -> DataFrame:
         F.when(F.max("rate") > 0, F.min("rate") / F.max("rate")).otherwise(F.lit(1.0)).alias("disparate_impact"))
 
 
-def model_checks(scored, features, sensitive_attributes=(), mode=None, prediction="prediction") -> DataFrame:
+def model_checks(scored, features, sensitive_attributes=(), mode=None, prediction="prediction", most_attributes=None) -> DataFrame:
     """The elicitation checks of a model's predictions in order."""
     spark, limits = scored.sparkSession, mode_limits(mode)
     gap_limit, impact_limit = limits["prediction_imbalance_threshold"], limits["disparate_impact_threshold"]
@@ -192,7 +191,7 @@ def model_checks(scored, features, sensitive_attributes=(), mode=None, predictio
         F.format_string(f"Prediction imbalance %.2f exceeded threshold {gap_limit:.2f}.", gap),
         F.format_string(f"Prediction imbalance %.2f is within threshold {gap_limit:.2f}.", gap),
         F.col("classes") < 2, "Predictions contain fewer than 2 classes, imbalance check skipped.")
-    chosen = list(sensitive_attributes)[:MAX_ATTRIBUTES]
+    chosen = list(sensitive_attributes)[:most_attributes]
     present = [a for a in chosen if a in scored.columns]
     for i, a in enumerate(chosen):
         if a not in present:

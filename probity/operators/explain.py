@@ -12,9 +12,6 @@ from probity.operators.prep import sample_rows
 from probity.operators.scoring import evaluation
 
 BACKGROUND_ROWS = 100
-GLOBAL_ROWS = 200
-EXACT_FEATURES = 12
-SAMPLED_COALITIONS = 2048
 ZERO = 1e-12
 ZERO_WARNING = "All contributions are zero — model may be constant or feature mismatch detected"
 MIN_DOCUMENTED = 5
@@ -43,14 +40,14 @@ def feature_means(rows, features) -> DataFrame:
     return rows.agg(*[F.avg(f).alias(f) for f in features])
 
 
-def coalitions(count, samples=SAMPLED_COALITIONS, seed=42):
+def coalitions(count, samples=None, seed=42):
     """(masks, coefficients): the value of feature j is the sum over masks of coefficient[mask, j] * v(mask).
 
-    Up to twelve features every mask is used with its Shapley weight. Beyond
-    that masks are sampled and the coefficients solve the weighted least squares
-    that keeps the values adding up to f(x) - base.
+    Without ``samples`` every mask is used with its Shapley weight, 2 ** count
+    of them. With it so many masks are sampled, and the coefficients solve the
+    weighted least squares that keeps the values adding up to f(x) - base.
     """
-    if count <= EXACT_FEATURES:
+    if samples is None:
         masks = [[s in chosen for s in range(count)]
                  for size in range(count + 1) for chosen in map(set, combinations(range(count), size))]
         total = factorial(count)
@@ -97,38 +94,40 @@ def _sampled_coalitions(count, samples, seed):
     return masks + [[False] * count, [True] * count], block.tolist()
 
 
-def shapley_values(df, id_column, features, sample, scorer, samples=SAMPLED_COALITIONS, seed=42) -> DataFrame:
+def shapley_values(df, id_column, features, sample, scorer, samples=None, seed=42) -> DataFrame:
     """Shapley values of any model, one row per input row.
 
     ``scorer`` adds a ``score`` column to a DataFrame with the features (a Column
     expression, a Spark ML model or ``score_with``). Every row is expanded with
     the coalitions and the background sample inside its task, and all of it is
-    added up before the shuffle, so only one row per input row is sent.
+    added up before the shuffle, so only one row per input row is sent. Values
+    are exact unless ``samples`` asks for so many coalitions; ``method`` says which.
     """
     features = list(features)
     require_columns(df, [id_column, *features])
     spark = df.sparkSession
     masks, weights = coalitions(len(features), samples, seed)
+    # Rows carry the number of their coalition; what is in it is looked up where it is needed.
     plan = spark.createDataFrame(
-        [(m, [float(x) for x in w]) for m, w in zip(masks, weights)], "inside array<boolean>, weight array<double>")
-    # Both lists are small by construction: the coalitions and the background rows.
-    plan_list = plan.agg(F.collect_list(F.struct("inside", "weight"))).scalar()
-    sample_list = sample.limit(BACKGROUND_ROWS * 10).agg(
+        [([list(m) for m in masks], [[float(x) for x in w] for w in weights], [sum(m) for m in masks])],
+        "inside array<array<boolean>>, weight array<array<double>>, size array<int>")
+    inside, weight, sizes = (plan.select(c).scalar() for c in plan.columns)
+    sample_list = sample.agg(
         F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))).scalar()
     expanded = (
         df.select(id_column, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
-        .select("*", F.explode(plan_list).alias("_c")).select("*", F.explode(sample_list).alias("_b"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("_c")).select("*", F.explode(sample_list).alias("_b"))
     )
     mixed = expanded.select(id_column, "_c", *[
-        F.when(F.col("_c")["inside"][j], F.col(f"_x_{f}")).otherwise(F.col("_b")[f]).alias(f) for j, f in enumerate(features)])
-    size = F.size(F.filter(F.col("_c")["inside"], lambda x: x))
+        F.when(inside[F.col("_c")][j], F.col(f"_x_{f}")).otherwise(F.col("_b")[f]).alias(f) for j, f in enumerate(features)])
+    size = sizes[F.col("_c")]
     scored = scorer(mixed)
     rows = F.count_if(size == 0)
     return scored.groupBy(id_column).agg(
         F.avg(F.when(size == 0, F.col("score"))).alias("base_value"),
         F.avg(F.when(size == len(features), F.col("score"))).alias("score"),
-        *[(F.sum(F.col("score") * F.col("_c")["weight"][j]) / rows).alias(f"phi_{f}") for j, f in enumerate(features)],
-    )
+        *[(F.sum(F.col("score") * weight[F.col("_c")][j]) / rows).alias(f"phi_{f}") for j, f in enumerate(features)],
+    ).withColumn("method", F.lit("exact" if samples is None else f"sampled {samples}"))
 
 
 def long_values(values, id_column, features) -> DataFrame:
@@ -270,20 +269,24 @@ def transparency_checks(importance, local_values, card, surrogates=None, min_doc
     return out.unionByName(present(card, "model_card", "Model card generated successfully"))
 
 
-def transparency_report(df, id_column, features, scorer, y_true=None, y_pred="prediction", rows=GLOBAL_ROWS,
-                        with_surrogates=False, seed=42):
-    """The transparency audit as DataFrames by name; without a target it is skipped and counts as passed."""
+def transparency_report(df, id_column, features, scorer, y_true=None, y_pred="prediction", rows=None,
+                        with_surrogates=False, surrogate_rows=5, seed=42, training=None):
+    """The transparency audit as DataFrames by name; without a target it is skipped and counts as passed.
+
+    All rows are explained unless ``rows`` asks for so many. ``training`` is the
+    data the model was trained on, if the caller keeps it apart.
+    """
     if y_true is None or y_true not in df.columns:
         return {"status": "cancelled", "passed": True}
     sample = background(df, id_column, features, seed=seed)
-    chosen = sample_rows(df, id_column, rows, seed + 1)
+    chosen = df if rows is None else sample_rows(df, id_column, rows, seed + 1)
     values = shapley_values(chosen, id_column, features, sample, scorer)
     importance = global_importance(values, features)
-    card = model_card(df, df, features, y_true, y_pred)
+    card = model_card(df if training is None else training, df, features, y_true, y_pred)
     surrogates = None
     if with_surrogates:
         spread = df.agg(*[F.stddev_samp(f).alias(f) for f in features])
-        surrogates = local_surrogates(sample_rows(df, id_column, 5, seed), id_column, features, spread, scorer)
+        surrogates = local_surrogates(sample_rows(df, id_column, surrogate_rows, seed), id_column, features, spread, scorer)
     return {
         "status": "completed", "values": values, "importance": importance, "card": card, "surrogates": surrogates,
         "checks": transparency_checks(importance, values, card, surrogates),

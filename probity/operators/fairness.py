@@ -16,7 +16,6 @@ from probity.functions import rates as R
 from probity.functions.checks import require_columns
 
 REPORT_COLUMNS = ("position", "metric_name", "value", "threshold", "comparison", "passed", "description")
-MAX_GROUPS_IN_DETAILS = 1000
 
 
 def prepare_predictions(df, y_pred, sensitive, y_true=None) -> DataFrame:
@@ -274,7 +273,7 @@ def custom_metrics(groups, rules, thresholds=None, first_position=0) -> DataFram
                 F.when(F.col("passed"), "Passed").otherwise("Failed"),
                 F.format_string(" threshold %s %.2f.", "comparison", "limit"),
             ),
-        ).otherwise(F.concat(F.lit("Custom rule error: "), F.substring("error", 1, 200))).alias("description"),
+        ).otherwise(F.concat(F.lit("Custom rule error: "), "error")).alias("description"),
     )
 
 
@@ -325,44 +324,16 @@ def by_group(groups) -> DataFrame:
     return groups.select("group", F.inline(F.array(*rows)))
 
 
-def result_rows(validation_id, report, groups, max_groups=MAX_GROUPS_IN_DETAILS) -> DataFrame:
-    """Stored result rows: one per metric plus one, always passed, with the matrices.
+def result_rows(validation_id, report, groups) -> DataFrame:
+    """Stored result rows: one per metric plus one, always passed, for the matrices.
 
-    Details carry the group values as JSON while the number of groups is at most
-    ``max_groups`` (counted first); beyond it they hold the description only and
-    ``by_group`` is the place to read them from.
+    Details hold the description and the number of groups. The values and
+    matrices of the groups are rows of their own (``group_value_rows``), so any
+    number of groups is stored whole.
     """
-    small = groups.limit(max_groups + 1).count() <= max_groups
-    base = report.select("metric_name", "value", "threshold", "passed", "description")
-    if small:
-        # Odds metrics carry {tpr, fpr} per group, the others one number.
-        values = by_group(groups).groupBy("metric_name", "group").agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("part", "value")))).alias("parts"),
-            F.first("value").alias("single"),
-        ).groupBy("metric_name").agg(F.when(
-            F.max(F.size("parts")) > 1,
-            F.to_json(F.map_from_entries(F.collect_list(F.struct("group", "parts")))),
-        ).otherwise(
-            F.to_json(F.map_from_entries(F.collect_list(F.struct("group", "single"))))
-        ).alias("by_group"))
-        base = base.join(values, "metric_name", "left")
-        matrices = groups.agg(F.to_json(F.struct(
-            F.sort_array(F.collect_list(F.struct(*confusion_matrices(groups).columns))).alias("matrices")
-        )).alias("details"))
-    else:
-        base = base.withColumn("by_group", F.lit(None).cast("string"))
-        matrices = groups.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("groups"))).alias("details"))
-    metrics = base.select(
-        "metric_name",
-        F.col("value").alias("metric_value"),
-        "threshold",
-        "passed",
-        F.concat(
-            F.lit('{"by_group":'), F.coalesce("by_group", F.lit("{}")), F.lit(","),
-            F.ltrim(F.to_json(F.struct("description")), F.lit("{")),
-        ).alias("details"),
-    )
-    matrix_row = matrices.select(
+    metrics = report.select(
+        "metric_name", F.col("value").alias("metric_value"), "threshold", "passed", F.to_json(F.struct("description")).alias("details"))
+    matrix_row = groups.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("groups"))).alias("details")).select(
         F.lit("group_confusion_matrices").alias("metric_name"),
         F.lit(None).cast("double").alias("metric_value"),
         F.lit(None).cast("double").alias("threshold"),
@@ -374,6 +345,14 @@ def result_rows(validation_id, report, groups, max_groups=MAX_GROUPS_IN_DETAILS)
     )
 
 
+def group_value_rows(validation_id, groups) -> DataFrame:
+    """What is stored beside the result rows: (validation_id, metric_name, part, group, value) of every group, matrices included."""
+    cells = [F.struct(F.lit("group_confusion_matrices").alias("metric_name"), F.lit(c).alias("part"), F.col(c).cast("double").alias("value"))
+             for c in ("tn", "fp", "fn", "tp")]
+    matrices = groups.select("group", F.inline(F.array(*cells)))
+    return by_group(groups).unionByName(matrices).select(F.lit(validation_id).alias("validation_id"), "metric_name", "part", "group", "value")
+
+
 def chart_series(groups, report) -> DataFrame:
     """Long rows (chart, series, label, value) for the usual fairness charts."""
     def bar(chart, series, value):

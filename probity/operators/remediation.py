@@ -142,9 +142,12 @@ def checklists(lists, user_id) -> DataFrame:
     return lists.select(F.lit(user_id).alias("user_id"), "suite_id", "principle", "steps")
 
 
-def refresh_checklists(existing, fresh) -> DataFrame:
-    """Fresh checklists replace a user's own for the suites they cover; stale principles go."""
-    covered = fresh.select("user_id", "suite_id").distinct()
+def refresh_checklists(existing, fresh, refreshed) -> DataFrame:
+    """Fresh checklists replace a user's own for the ``refreshed`` (user_id, suite_id).
+
+    A refreshed suite keeps no list of a principle without steps left, also if it has none at all.
+    """
+    covered = refreshed.select("user_id", "suite_id").distinct()
     untouched = existing.join(covered, ["user_id", "suite_id"], "left_anti")
     old = existing.select("user_id", "suite_id", "principle", F.lit(True).alias("existed"))
     renewed = fresh.join(old, ["user_id", "suite_id", "principle"], "left").withColumn(

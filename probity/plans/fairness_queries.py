@@ -222,17 +222,37 @@ def fairness_by_group(spark, directory):
 @register("fairness_result_rows", sql_over(
     "predictions",
     """SELECT 'run-1' AS validation_id, 'fairness' AS principle, metric_name, ROUND(value, 6) AS metric_value,
-              threshold, passed, (SELECT COUNT(*)::INTEGER FROM groups) AS detail_groups FROM report
+              threshold, passed, CAST(NULL AS INTEGER) AS detail_groups FROM report
        UNION ALL SELECT 'run-1', 'fairness', 'group_confusion_matrices', NULL, NULL, TRUE,
               (SELECT COUNT(*)::INTEGER FROM groups)""",
     REPORT_SQL))
 def fairness_result_rows(spark, directory):
     groups = groups_of(spark, directory)
     rows = fair.result_rows("run-1", fair.fairness_report(groups), groups)
-    matrices = F.json_array_length(F.get_json_object("details", "$.matrices"))
-    by_group = F.size(F.json_object_keys(F.get_json_object("details", "$.by_group")))
-    return rounded(
-        rows.withColumn("detail_groups", F.coalesce(matrices, by_group)).drop("details"), "metric_value")
+    return rounded(rows.withColumn("detail_groups", F.get_json_object("details", "$.groups").cast("int")).drop("details"), "metric_value")
+
+
+@register("fairness_group_value_rows", """
+    WITH groups AS (
+        SELECT CAST(o_custkey AS VARCHAR) AS grp, COUNT(*) FILTER (WHERE y AND p) AS tp, COUNT(*) FILTER (WHERE NOT y AND p) AS fp,
+               COUNT(*) FILTER (WHERE y AND NOT p) AS fn, COUNT(*) FILTER (WHERE NOT y AND NOT p) AS tn, COUNT(*) AS n
+        FROM (SELECT o_custkey, o_orderstatus = 'F' AS y, o_totalprice > 250000 AS p FROM orders) GROUP BY o_custkey),
+    rates AS (
+        SELECT *, (tp + fp) / n AS selection_rate, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS tpr,
+               CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END AS fpr FROM groups),
+    named AS (
+        SELECT * FROM (VALUES ('demographic_parity_ratio', 'selection_rate'), ('demographic_parity_difference', 'selection_rate'),
+            ('equalized_odds_ratio', 'tpr'), ('equalized_odds_ratio', 'fpr'), ('equalized_odds_difference', 'tpr'), ('equalized_odds_difference', 'fpr'),
+            ('equal_opportunity_difference', 'tpr'), ('disparate_impact_ratio', 'selection_rate'), ('group_confusion_matrices', 'tn'),
+            ('group_confusion_matrices', 'fp'), ('group_confusion_matrices', 'fn'), ('group_confusion_matrices', 'tp')) t(metric_name, part))
+    SELECT 'run-1' AS validation_id, metric_name, part, grp AS "group", ROUND(CAST(CASE part WHEN 'selection_rate' THEN selection_rate
+           WHEN 'tpr' THEN tpr WHEN 'fpr' THEN fpr WHEN 'tn' THEN tn WHEN 'fp' THEN fp WHEN 'fn' THEN fn ELSE tp END AS DOUBLE), 6) AS value
+    FROM rates, named""")
+def fairness_group_value_rows(spark, directory):
+    """Every customer is a group: more than a thousand of them."""
+    orders = spark.read.parquet(f"{directory}/orders.parquet").select(
+        F.col("o_custkey").alias("sensitive"), (F.col("o_orderstatus") == "F").cast("int").alias("y_true"), (F.col("o_totalprice") > 250000).cast("int").alias("y_pred"))
+    return rounded(fair.group_value_rows("run-1", fair.group_metrics(orders)), "value")
 
 
 @register("fairness_chart_series", sql_over(

@@ -562,12 +562,11 @@ def remediation_chosen_principles(spark, directory):
 
 
 @register("remediation_checklists", with_views("", "g_suites", "g_results", "g_artifacts") + STEPS_SQL + """,
-    fresh AS (SELECT suite_id, principle, COUNT(*) AS n, BOOL_AND(step_id IN ('fair-revalidate', 'priv-revalidate')) AS all_done
-              FROM with_rerun GROUP BY suite_id, principle),
+    fresh AS (SELECT suite_id, principle, COUNT(*) AS n FROM with_rerun WHERE suite_id % 3 <> 0 GROUP BY suite_id, principle),
     existing AS (SELECT suite_id, 'fairness' AS principle FROM g_suites UNION ALL SELECT suite_id, 'accountability' FROM g_suites)
     SELECT f.suite_id, f.principle, CASE WHEN e.suite_id IS NOT NULL THEN 'replaced' ELSE 'inserted' END AS change, n::INTEGER AS steps
     FROM fresh f LEFT JOIN existing e ON f.suite_id = e.suite_id AND f.principle = e.principle
-    UNION ALL SELECT suite_id, principle, 'kept', 1 FROM existing WHERE suite_id NOT IN (SELECT suite_id FROM fresh)""")
+    UNION ALL SELECT suite_id, principle, 'kept', 1 FROM existing WHERE suite_id % 3 = 0""")
 def remediation_checklists(spark, directory):
     suites = view(spark, directory, "g_suites")
     old_step = F.array(F.struct(
@@ -575,8 +574,10 @@ def remediation_checklists(spark, directory):
     existing = suites.select(
         F.lit("u1").alias("user_id"), "suite_id",
         F.explode(F.array(F.lit("fairness"), F.lit("accountability"))).alias("principle"), old_step.alias("steps"))
-    fresh = remediation.checklists(steps_of(spark, directory), "u1")
-    out = remediation.refresh_checklists(existing, fresh)
+    # Two of three suites are refreshed, whether they have steps left or not.
+    refreshed = suites.where("suite_id % 3 <> 0").select(F.lit("u1").alias("user_id"), "suite_id")
+    fresh = remediation.checklists(steps_of(spark, directory), "u1").join(refreshed.select("suite_id"), "suite_id", "left_semi")
+    out = remediation.refresh_checklists(existing, fresh, refreshed)
     return out.select("suite_id", "principle", "change", F.size("steps").alias("steps"))
 
 

@@ -133,7 +133,7 @@ def shap_linear_importance(spark, directory):
 
 
 GAME_SQL = loans_sql(BG_SQL + """
-    , chosen AS (SELECT row_id, price, balance, nation FROM loans ORDER BY MD5(row_id || ':43'), row_id LIMIT 200),
+    , chosen AS (SELECT row_id, price, balance, nation FROM loans),
     games AS (
         SELECT c.row_id, m.mask, (m.mask & 1) + ((m.mask >> 1) & 1) + ((m.mask >> 2) & 1) AS size,
                1 / (1 + EXP(-(-1.0::DOUBLE + 0.4 * CASE WHEN m.mask & 1 = 1 THEN c.price ELSE b.price END
@@ -152,16 +152,15 @@ GAME_SQL = loans_sql(BG_SQL + """
 def game_values(spark, directory):
     df = loans(spark, directory)
     sample = explain.background(df, "row_id", FEATURES)
-    chosen = sample_rows(df, "row_id", explain.GLOBAL_ROWS, seed=43)
-    return explain.shapley_values(chosen, "row_id", FEATURES, sample, probability)
+    return explain.shapley_values(df, "row_id", FEATURES, sample, probability)
 
 
 @register("shap_any_model", GAME_SQL + """
     SELECT row_id, ROUND(base_value, 6)::DOUBLE AS base_value, ROUND(score, 6)::DOUBLE AS score, ROUND(phi_price, 6)::DOUBLE AS phi_price,
-           ROUND(phi_balance, 6)::DOUBLE AS phi_balance, ROUND(phi_nation, 6)::DOUBLE AS phi_nation FROM phi""")
+           ROUND(phi_balance, 6)::DOUBLE AS phi_balance, ROUND(phi_nation, 6)::DOUBLE AS phi_nation, 'exact' AS method FROM phi""")
 def shap_any_model(spark, directory):
     out = game_values(spark, directory)
-    return out.select("row_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "row_id"])
+    return out.select("row_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("row_id", "method")], "method")
 
 
 @register("shap_global_importance", GAME_SQL + """

@@ -6,7 +6,7 @@ from probity.plans.fairness_queries import REPORT_SQL, GROUPS_SQL
 from probity.plans.model_queries import FEATURES, SCORED_SQL, probability, scored_loans
 from probity.plans.registry import register
 from probity.plans.suite import SuiteConfig, audit_suite
-from probity.sources.tables import with_views
+from probity.sources.tables import view, with_views
 
 QIS = ["segment", "priority", "nation"]
 
@@ -24,7 +24,7 @@ SUITE_SQL = with_views("", "loans") + SCORED_SQL + """,
 def suite_of(spark, directory, validators):
     config = SuiteConfig(
         suite_id="suite-1", id_column="row_id", y_pred="prediction", sensitive="segment", y_true="y_true", features=FEATURES,
-        scorer=probability, validators=validators,
+        scorer=probability, validators=validators, runs=view(spark, directory, "g_runs"),
         privacy={"pii_detection": False, "k_anonymity": {"k": 5, "quasi_identifiers": QIS}})
     return audit_suite(scored_loans(spark, directory), config)
 

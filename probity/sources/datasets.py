@@ -10,16 +10,18 @@ from probity.operators.anonymize import anonymise
 from probity.operators.trace import trace_export
 
 
-def read_dataset(spark, path, schema=None, order_by=None, max_rows=None) -> DataFrame:
+def read_dataset(spark, path, schema=None, order_by=None, max_rows=None, multi_line=False) -> DataFrame:
     """A CSV or Parquet dataset; CSV types are inferred unless a schema is given.
 
     Give the schema for large CSV files: inferring it reads them twice.
-    ``max_rows`` keeps the first rows by ``order_by``.
+    ``max_rows`` keeps the first rows by ``order_by``. ``multi_line``: quoted
+    cells may hold line breaks (a file is then read by one task); without it a
+    record torn by one is an error, never two rows.
     """
     if str(path).rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "FAILFAST")
         df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if max_rows is None:
         return df
@@ -40,18 +42,18 @@ def check_dataset(df, target=None, sensitive=()):
     return df
 
 
-def normalise(df, path, as_csv=False, mode="overwrite"):
-    """Writes the copy later stages read: Parquet, or CSV if wanted."""
+def normalise(df, path, as_csv=False, mode="overwrite", for_spreadsheet=False):
+    """Writes the copy later stages read: Parquet, or CSV if wanted; values change only ``for_spreadsheet`` (formula guard)."""
     if as_csv:
-        guard_cells(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+        (guard_cells(df) if for_spreadsheet else df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode(mode).parquet(path)
 
 
-def export_anonymised(df, strategies, path, mode="overwrite") -> DataFrame:
-    """Writes the anonymised rows as CSV and returns them."""
+def export_anonymised(df, strategies, path, mode="overwrite", for_spreadsheet=False) -> DataFrame:
+    """Writes the anonymised rows as CSV and returns them; cells are guarded only ``for_spreadsheet``."""
     out = anonymise(df, strategies)
-    guard_cells(out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (guard_cells(out) if for_spreadsheet else out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return out
 
 

@@ -91,14 +91,15 @@ def test_custom_rules_and_their_errors(spark):
         "Custom rule 'acc': min_ratio(accuracy_score) = 0.500. Failed threshold >= 0.90.")
 
 
-def test_result_rows_have_details_and_a_matrix_row(spark):
+def test_result_rows_and_their_group_rows(spark):
     groups = groups_of(spark, [("a", 1, 1), ("a", 0, 0), ("b", 1, 1)])
     rows = {r["metric_name"]: r for r in fair.result_rows("v", fair.fairness_report(groups), groups).collect()}
     assert len(rows) == 7 and rows["group_confusion_matrices"]["passed"]
-    assert json.loads(rows["demographic_parity_ratio"]["details"])["by_group"] == {"a": 0.5, "b": 1.0}
-    assert json.loads(rows["equalized_odds_ratio"]["details"])["by_group"]["a"] == {"tpr": 1.0, "fpr": 0.0}
-    many = {r["metric_name"]: r for r in fair.result_rows("v", fair.fairness_report(groups), groups, max_groups=1).collect()}
-    assert json.loads(many["demographic_parity_ratio"]["details"])["by_group"] == {}
+    assert json.loads(rows["group_confusion_matrices"]["details"]) == {"groups": 2}
+    values = {(r["metric_name"], r["part"], r["group"]): r["value"] for r in fair.group_value_rows("v", groups).collect()}
+    assert values["demographic_parity_ratio", "selection_rate", "a"] == 0.5 and values["demographic_parity_ratio", "selection_rate", "b"] == 1.0
+    assert values["equalized_odds_ratio", "tpr", "a"] == 1.0 and values["group_confusion_matrices", "tn", "a"] == 1.0
+    assert len(values) == 2 * 12
 
 
 def test_stored_rules_apply_when_none_are_given(spark):

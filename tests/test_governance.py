@@ -188,8 +188,10 @@ def test_remediation(spark, tables):
         "apply bias mitigation and reassess group impacts.")
     fresh = remediation.checklists(remediation.step_lists(tables["suites"], failing, parsed, ["fairness"]), "u")
     old = fresh.withColumn("principle", F.lit("privacy")).unionByName(fresh.withColumn("suite_id", F.lit(77)))
-    out = {(r["suite_id"], r["principle"]): r["change"] for r in remediation.refresh_checklists(old, fresh).collect()}
+    out = {(r["suite_id"], r["principle"]): r["change"] for r in remediation.refresh_checklists(old, fresh, fresh).collect()}
     assert out == {(50, "fairness"): "inserted", (77, "fairness"): "kept"}
+    gone = remediation.refresh_checklists(old, fresh.limit(0), old).count()  # refreshed, and nothing left to do
+    assert gone == 0
     done = remediation.set_step(remediation.set_step(fresh, "fair-revalidate"), "fair-demographic_parity_ratio")
     assert remediation.with_all_done(done).first()["all_done"] and not remediation.with_all_done(fresh).first()["all_done"]
 

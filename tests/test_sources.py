@@ -31,7 +31,18 @@ def test_normalised_copies_read_back(spark, tmp_path):
     assert datasets.read_dataset(spark, str(tmp_path / "copy.parquet")).exceptAll(df).count() == 0
     datasets.normalise(df, str(tmp_path / "copy"), as_csv=True)
     back = datasets.read_dataset(spark, str(tmp_path / "copy"), "k int, s string").orderBy("k").collect()
-    assert [r["s"] for r in back] == ["'=x", None]
+    assert [r["s"] for r in back] == ["=x", None]  # later stages read what was there
+    datasets.normalise(df, str(tmp_path / "sheet"), as_csv=True, for_spreadsheet=True)
+    sheet = datasets.read_dataset(spark, str(tmp_path / "sheet"), "k int, s string").orderBy("k").collect()
+    assert [r["s"] for r in sheet] == ["'=x", None]
+
+
+def test_quoted_line_breaks_are_read_or_refused_but_never_torn(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('k,s\n1,"a\nb"\n2,c\n')
+    whole = datasets.read_dataset(spark, str(tmp_path / "f.csv"), "k int, s string", multi_line=True)
+    assert sorted(map(tuple, whole.collect())) == [(1, "a\nb"), (2, "c")]
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        datasets.read_dataset(spark, str(tmp_path / "f.csv"), "k int, s string").collect()
 
 
 def test_dataset_checks(spark):
