@@ -3,11 +3,14 @@
 A suffix array over every byte of a corpus would be many times its size, so the
 corpus is first cut to where repeats can be: every string of LENGTH bytes holds
 an anchor (the least hash of the k-grams in it), and equal strings hold equal
-anchors. Only anchors of two or more documents are kept; texts around one anchor
-meet in one task. There the suffix array of the different texts is built by the
-difference cover modulo 3 - sort the sampled triples, recurse on their names,
-merge the other suffixes - and neighbours with a common prefix of LENGTH bytes
-are repeats. All repeats are found, since any two equal strings share an anchor.
+anchors. The strings that hold an anchor lie in the bytes around it. Of equal
+bytes around equal anchors all but those of the smallest doc_id are removed
+whole, so only one text of each kind has to be compared: told by a 64-bit hash
+beside the anchor's, before any text travels. Different texts around one anchor
+meet in one task. There their suffix array is built by the difference cover
+modulo 3 - sort the sampled triples, recurse on their names, merge the other
+suffixes - and neighbours with a common prefix of LENGTH bytes are repeats. All
+repeats are found, since any two equal strings share an anchor.
 """
 
 import hashlib
@@ -21,9 +24,11 @@ from .shared import stored
 from .spans import blocks, mixed, powers
 
 LENGTH = 50
-GRAM = 26
+GRAM = 20
 #: Bytes of texts around anchors that one suffix array is built over; a single anchor's texts are never parted.
 ARRAY_BYTES = 1 << 21
+#: Bytes of text whose anchors meet in one bucket, on average; the number of buckets grows with the corpus.
+BUCKET_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 
 
@@ -70,10 +75,13 @@ def suffix_array(values):
 
 
 def anchors(data, offsets, length=LENGTH, gram=GRAM):
-    """(position, hash) of the least k-gram of every window of ``length`` bytes, once each; windows never cross texts."""
+    """(position, row, hash, hash of the bytes around) of the least k-gram of every window of ``length`` bytes, once each.
+
+    Windows never cross texts; the bytes around are those that windows with the anchor reach.
+    """
     windows = len(data) - length + 1
     if windows < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     power, inverse = powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64, out=prefix[1:])
@@ -92,74 +100,128 @@ def anchors(data, offsets, length=LENGTH, gram=GRAM):
     chosen = (least[:windows][whole] & np.uint64((1 << 30) - 1)).astype(np.int64)
     chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
     chosen = np.unique(chosen)
-    return chosen, hashes[chosen] >> np.uint64(64 - HASH_BITS)
+    row = np.searchsorted(offsets, chosen, "right") - 1
+    low, high = np.maximum(offsets[row], chosen - (length - gram)), np.minimum(offsets[row + 1], chosen + length)
+    shape = ((chosen - low) * (2 * length) + high - low).astype(np.uint64)
+    around = mixed(mixed((prefix[high] - prefix[low]) * inverse[low]) + shape)
+    return chosen, row, hashes[chosen] >> np.uint64(64 - HASH_BITS), around
 
 
 #: Bits of a place in a text, beside HASH_BITS of an anchor's hash: texts of up to a quarter of a gigabyte.
 PLACE_BITS, HASH_BITS = 28, 35
 
 
-def _anchored(known):
-    """(anchor, key): hash and place of every anchor in one number. """
+def _planes(values):
+    """Bytes of an array of numbers, all first bytes, then all second bytes and so on: they pack better so."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplaned(raw, kind):
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).tobytes(), kind)
+
+
+def _packed_anchors(hashes, around, places, keys, ords):
+    """Columns of one bucket's anchors, sorted by hash, as the fields of a row."""
+    order = np.argsort(hashes)
+    who, first, own = np.unique(keys[order], return_index=True, return_inverse=True)
+    steps = np.diff(hashes[order], prepend=hashes.dtype.type(0))
+    told = [zlib.compress(_planes(x), 1) for x in (steps, places[order].astype(np.int32), own.astype(np.int32), who, ords[order][first])]
+    return [around[order].tobytes(), *told]
+
+
+def _unpacked_anchors(row):
+    around, steps, places, own, who, ords = row
+    kinds = (np.uint64, np.int32, np.int32, np.int64, np.int64)
+    steps, places, own, who, ords = (_unplaned(zlib.decompress(x), k) for x, k in zip((steps, places, own, who, ords), kinds, strict=True))
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(around, np.uint64), places, who[own], ords[own]
+
+
+COLUMNS = ["around", "steps", "places", "own", "who", "ords"]
+
+
+def _anchored(known, bits):
+    """Anchors of all texts in 2 ** ``bits`` buckets by hash: a row for every bucket of a batch, its columns packed."""
     def found(batches):
         for batch in batches:
-            texts = pa.array([zlib.decompress(x) for x in batch.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            key, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = pa.array([zlib.decompress(x) for x in batch.column(2).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            parts = []
             for first, data, offsets in blocks(texts):
                 if np.diff(offsets).max(initial=0) >> PLACE_BITS:
                     raise ValueError("a text is longer than a place can tell")
-                at, hashes = anchors(data, offsets)
-                row = np.searchsorted(offsets, at, "right") - 1
-                numbers = (hashes << np.uint64(PLACE_BITS)) | (at - offsets[row]).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), batch.column(0).take(pa.array(first + row))], ["anchor", "key"])
-
-    return known.select("key", "packed").mapInArrow(found, "anchor long, key long")
+                at, row, hashes, around = anchors(data, offsets)
+                parts.append((hashes, around, at - offsets[row], key[first + row], order[first + row]))
+            if not parts:
+                continue
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            bucket = columns[0] >> np.uint64(HASH_BITS - bits)
+            by = np.argsort(bucket, kind="stable")
+            numbers, cuts = np.unique(bucket[by], return_index=True)
+            rows = [_packed_anchors(*(c[own] for c in columns)) for own in np.split(by, cuts[1:])] if len(by) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers.astype(np.int64)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(len(COLUMNS)))], ["bucket", *COLUMNS])
+
+    fields = ", ".join(f"{c} binary" for c in COLUMNS)
+    return known.select("key", "ord", "packed").mapInArrow(found, f"bucket long, {fields}")
+
+
+def _decided(hashes, around, places, keys, ords):
+    """(key, done, open) of the anchors of a bucket that are in two or more documents.
+
+    done is the place of an anchor with the same bytes around it as a document of
+    a smaller doc_id has: all of them are removed. open is hash and place of one
+    that stands for its kind, where other kinds of texts hold the anchor too.
+    """
+    order = np.lexsort((ords, around, hashes))
+    hashes, around, places, keys, ords = (x[order] for x in (hashes, around, places, keys, ords))
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    kind = new | np.concatenate([[True], around[1:] != around[:-1]])
+    cuts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    shared = (np.minimum.reduceat(keys, cuts) != np.maximum.reduceat(keys, cuts))[group]
+    several = (np.add.reduceat(kind.astype(np.int64), cuts) > 1)[group]
+    later = ords > ords[np.flatnonzero(kind)][np.cumsum(kind) - 1]
+    done, undecided = shared & later, shared & ~later & several
+    numbers = (hashes.astype(np.int64) << PLACE_BITS) | places
+    told = np.concatenate([keys[done], keys[undecided]])
+    nones, nulls = np.zeros(undecided.sum(), np.int32), np.arange(len(told)) >= done.sum()
+    return pa.RecordBatch.from_arrays([
+        pa.array(told), pa.array(np.concatenate([places[done], nones]).astype(np.int32), mask=nulls),
+        pa.array(np.concatenate([np.zeros(done.sum(), np.int64), numbers[undecided]]), mask=~nulls)], ["key", "done", "open"])
 
 
 def _shared(anchored):
-    """(key, anchor) of the anchors that are in two or more documents; each task reads its anchors in order, a batch at a time."""
+    """(key, done, open) as ``_decided`` tells; each task takes one bucket after the other."""
     def told(batches):
-        left = None
+        held, bucket = [], None
         for batch in batches:
-            numbers, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if left is not None:
-                numbers, keys = (np.concatenate(x) for x in zip(left, (numbers, keys), strict=True))
-            hashes = numbers >> PLACE_BITS
-            # The last hash may go on in the next batch.
-            cut = int(np.searchsorted(hashes, hashes[-1]))
-            several = _several(hashes, keys)
-            several[cut:] = False
-            yield pa.RecordBatch.from_arrays([pa.array(keys[several]), pa.array(numbers[several])], ["key", "anchor"])
-            left = numbers[cut:], keys[cut:]
-        if left is not None:
-            several = _several(left[0] >> PLACE_BITS, left[1])
-            yield pa.RecordBatch.from_arrays([pa.array(left[1][several]), pa.array(left[0][several])], ["key", "anchor"])
-
-    hashed = F.shiftright("anchor", PLACE_BITS)
-    return anchored.repartition(hashed).sortWithinPartitions("anchor").mapInArrow(told, "key long, anchor long")
-
-
-def _several(hashes, keys):
-    """True where a hash is that of two or more documents; hashes sorted."""
-    cuts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(cuts, len(hashes)))
-    many = np.minimum.reduceat(keys, cuts) != np.maximum.reduceat(keys, cuts) if len(cuts) else np.zeros(0, bool)
-    return np.repeat(many, sizes)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != bucket:
+                    yield _decided(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                bucket = row[0]
+                held.append(_unpacked_anchors(row[1:]))
+        if held:
+            yield _decided(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return anchored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(told, "key long, done int, open long")
 
 
 def _around(rows, length=LENGTH, gram=GRAM):
-    """(hash, ord, key, at, left, text): the bytes around every shared anchor that strings with it can reach."""
+    """(hash, ord, key, at, left, around): the bytes around every open anchor that strings with it can reach."""
     def cut(batches):
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 raw = zlib.decompress(row["packed"])
-                places = [x & ((1 << PLACE_BITS) - 1) for x in row["anchors"]]
-                lows = [max(0, at - (length - gram)) for at in places]
-                yield pa.RecordBatch.from_pydict({
-                    "hash": pa.array([x >> PLACE_BITS for x in row["anchors"]], pa.int64()), "ord": pa.array([row["ord"]] * len(lows), pa.int64()), "key": pa.array([row["key"]] * len(lows), pa.int64()),
-                    "at": pa.array(places, pa.int32()), "left": pa.array([at - low for at, low in zip(places, lows, strict=True)], pa.int32()),
-                    "around": pa.array([raw[low:at + length] for at, low in zip(places, lows, strict=True)], pa.binary())})
+                for number in row["open"]:
+                    at = number & ((1 << PLACE_BITS) - 1)
+                    low = max(0, at - (length - gram))
+                    out.append((number >> PLACE_BITS, row["ord"], row["key"], at, at - low, raw[low:at + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
+                                             ["hash", "ord", "key", "at", "left", "around"])
 
-    return rows.select("key", "ord", "packed", "anchors").mapInArrow(cut, "hash long, ord long, key long, at int, left int, around binary")
+    return rows.select("key", "ord", "packed", "open").mapInArrow(cut, "hash long, ord long, key long, at int, left int, around binary")
 
 
 def _repeats(rows, length):
@@ -237,10 +299,11 @@ def _marks(contexts, length=LENGTH):
     return contexts.repartition("hash").sortWithinPartitions("hash", "ord", "key", "at").mapInArrow(compared, "key long, s int, e int")
 
 
-def _told(raw, spans):
-    """(bytes, removed bytes, maximal removed runs, digest of the rest)."""
+def _told(raw, spans, done, length=LENGTH, gram=GRAM):
+    """(bytes, removed bytes, maximal removed runs, digest of the rest); all bytes around the anchors at ``done`` are removed."""
     merged = []
-    for s, e in sorted(spans):
+    whole = [(max(0, at - (length - gram)), min(at + length, len(raw))) for at in done]
+    for s, e in sorted(spans + whole):
         if merged and s <= merged[-1][1]:
             merged[-1][1] = max(e, merged[-1][1])
         else:
@@ -266,21 +329,28 @@ def without_repeats(docs):
 
     def packed(batches):
         for batch in batches:
-            sent = pa.array([zlib.compress(t.encode(), 6) for t in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sent], ["doc_id", "ord", "key", "packed"])
+            texts = [t.encode() for t in batch.column(3).to_pylist()]
+            sent = pa.array([zlib.compress(t, 6) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), sent], ["doc_id", "ord", "key", "size", "packed"])
 
     # Keys are given once and kept; texts travel and wait compressed.
-    known = stored(rows.mapInArrow(packed, "doc_id long, ord long, key long, packed binary"), "repeat-documents")
-    found = stored(_shared(_anchored(known)).groupBy("key").agg(F.collect_list("anchor").alias("anchors")), "repeat-anchors")
-    marks = _marks(_around(known.join(found.hint("shuffle_hash"), "key")))
+    known = stored(rows.mapInArrow(packed, "doc_id long, ord long, key long, size long, packed binary"), "repeat-documents")
+    size = known.agg(F.sum("size").alias("size")).first()["size"] or 0
+    bits = min(HASH_BITS - 1, max(1, (size // BUCKET_BYTES).bit_length()))
+    found = stored(_shared(_anchored(known, bits)).groupBy("key").agg(
+        F.collect_list("done").alias("done"), F.collect_list("open").alias("open")), "repeat-anchors")
+    undecided = found.where(F.size("open") > 0).select("key", "open")
+    marks = _marks(_around(known.join(undecided.hint("shuffle_hash"), "key")))
     marks = marks.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def told(batches):
         for batch in batches:
-            out = [(r["doc_id"], *_told(zlib.decompress(r["packed"]), [(x["s"], x["e"]) for x in r["spans"] or []])) for r in batch.to_pylist()]
+            out = [(r["doc_id"], *_told(zlib.decompress(r["packed"]), [(x["s"], x["e"]) for x in r["spans"] or []], r["done"] or [])) for r in batch.to_pylist()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return known.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "spans").mapInArrow(told, fields)
+    marked = known.join(found.select("key", "done").hint("shuffle_hash"), "key", "left").join(marks.hint("shuffle_hash"), "key", "left")
+    return marked.select("doc_id", "packed", "spans", "done").mapInArrow(told, fields)
