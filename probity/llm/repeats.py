@@ -29,6 +29,8 @@ GRAM = 20
 ARRAY_BYTES = 1 << 21
 #: Bytes of text whose anchors meet in one bucket, on average; the number of buckets grows with the corpus.
 BUCKET_BYTES = 4 << 20
+#: Bytes of texts whose anchors are packed together.
+TEXT_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 
 
@@ -104,7 +106,8 @@ def anchors(data, offsets, length=LENGTH, gram=GRAM):
     low, high = np.maximum(offsets[row], chosen - (length - gram)), np.minimum(offsets[row + 1], chosen + length)
     shape = ((chosen - low) * (2 * length) + high - low).astype(np.uint64)
     around = mixed(mixed((prefix[high] - prefix[low]) * inverse[low]) + shape)
-    return chosen, row, hashes[chosen] >> np.uint64(64 - HASH_BITS), around
+    # Anchors are least hashes, so their first bits are mostly 0: mixed once more, they fill all buckets alike.
+    return chosen, row, mixed(hashes[chosen] + np.uint64(1)) >> np.uint64(64 - HASH_BITS), around
 
 
 #: Bits of a place in a text, beside HASH_BITS of an anchor's hash: texts of up to a quarter of a gigabyte.
@@ -130,10 +133,10 @@ def _packed_anchors(hashes, around, places, keys, ords):
 
 
 def _unpacked_anchors(row):
-    around, steps, places, own, who, ords = row
+    around, *row = row
     kinds = (np.uint64, np.int32, np.int32, np.int64, np.int64)
-    steps, places, own, who, ords = (_unplaned(zlib.decompress(x), k) for x, k in zip((steps, places, own, who, ords), kinds, strict=True))
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(around, np.uint64), places, who[own], ords[own]
+    steps, places, own, who, ords = (_unplaned(zlib.decompress(x), k) for x, k in zip(row, kinds, strict=True))
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(around, np.uint64).copy(), places, who[own], ords[own]
 
 
 COLUMNS = ["around", "steps", "places", "own", "who", "ords"]
@@ -143,26 +146,33 @@ def _anchored(known, bits):
     """Anchors of all texts in 2 ** ``bits`` buckets by hash: a row for every bucket of a batch, its columns packed."""
     def found(batches):
         for batch in batches:
-            key, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = pa.array([zlib.decompress(x) for x in batch.column(2).to_pylist()], pa.large_binary()).cast(pa.large_string())
-            parts = []
-            for first, data, offsets in blocks(texts):
-                if np.diff(offsets).max(initial=0) >> PLACE_BITS:
-                    raise ValueError("a text is longer than a place can tell")
-                at, row, hashes, around = anchors(data, offsets)
-                parts.append((hashes, around, at - offsets[row], key[first + row], order[first + row]))
-            if not parts:
-                continue
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            bucket = columns[0] >> np.uint64(HASH_BITS - bits)
-            by = np.argsort(bucket, kind="stable")
-            numbers, cuts = np.unique(bucket[by], return_index=True)
-            rows = [_packed_anchors(*(c[own] for c in columns)) for own in np.split(by, cuts[1:])] if len(by) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers.astype(np.int64)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(len(COLUMNS)))], ["bucket", *COLUMNS])
+            sizes = np.cumsum(batch.column(2).to_numpy())
+            # Some megabytes of texts at once, whole texts.
+            edges = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, TEXT_BYTES), "left"))
+            for low, high in zip(edges, [*edges[1:], len(sizes)], strict=True):
+                yield from told(batch.slice(low, high - low))
+
+    def told(batch):
+        key, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts = pa.array([zlib.decompress(x.as_buffer()) for x in batch.column(3)], pa.large_binary()).cast(pa.large_string())
+        parts = []
+        for first, data, offsets in blocks(texts):
+            if np.diff(offsets).max(initial=0) >> PLACE_BITS:
+                raise ValueError("a text is longer than a place can tell")
+            at, row, hashes, around = anchors(data, offsets)
+            parts.append((hashes, around, at - offsets[row], key[first + row], order[first + row]))
+        if not parts:
+            return
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        bucket = columns[0] >> np.uint64(HASH_BITS - bits)
+        by = np.argsort(bucket, kind="stable")
+        numbers, cuts = np.unique(bucket[by], return_index=True)
+        rows = [_packed_anchors(*(c[own] for c in columns)) for own in np.split(by, cuts[1:])] if len(by) else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(numbers.astype(np.int64)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(len(COLUMNS)))], ["bucket", *COLUMNS])
 
     fields = ", ".join(f"{c} binary" for c in COLUMNS)
-    return known.select("key", "ord", "packed").mapInArrow(found, f"bucket long, {fields}")
+    return known.select("key", "ord", "size", "packed").mapInArrow(found, f"bucket long, {fields}")
 
 
 def _decided(hashes, around, places, keys, ords):
@@ -194,16 +204,18 @@ def _shared(anchored):
     def told(batches):
         held, bucket = [], None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != bucket:
+            for number, *row in zip(*batch.columns, strict=True):
+                if held and number.as_py() != bucket:
                     yield _decided(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                bucket = row[0]
-                held.append(_unpacked_anchors(row[1:]))
+                bucket = number.as_py()
+                held.append(_unpacked_anchors([x.as_buffer() for x in row]))
         if held:
             yield _decided(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return anchored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(told, "key long, done int, open long")
+    # A number of partitions that is asked for is not made smaller, so that no task gets a great many bytes at once.
+    partitions = int(anchored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return anchored.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(told, "key long, done int, open long")
 
 
 def _around(rows, length=LENGTH, gram=GRAM):
