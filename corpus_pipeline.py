@@ -42,7 +42,7 @@ def decontamination_stage(spark, docs, directory):
 
 
 def mixing_stage(spark, docs, directory):
-    """Documents repeated so that the languages' tokens have the target shares; no language shrinks."""
+    """Documents repeated so that the languages' tokens have the target shares; every document stays."""
     labelled = docs.select("doc_id", "text", F.col("lang").alias("domain"))
     there = {r["domain"] for r in labelled.where(F.col("domain").isin(list(MIX))).select("domain").distinct().collect()}
     if not there:  # nothing to learn from: nothing to mix

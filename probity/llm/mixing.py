@@ -80,10 +80,13 @@ def fitted(members, weights, budget=None, keep_all=False, steps=STEPS, close=CLO
     """``members`` (n_tokens, p0, ...) with the column rate, and what the fit reached.
 
     Rates start at 1 and stay at 0 or more. Targets are ``weights`` (in the
-    domains' order) of ``budget`` tokens: by default as many as there are, with
-    ``keep_all`` as many as it takes for no domain to shrink. Steps are gradient
-    steps in the metric of the domains' token products; one that brings the
-    totals no nearer is taken back and replaced by a plain gradient step.
+    domains' order) of ``budget`` tokens, by default as many as there are. With
+    ``keep_all`` rates stay at 1 or more, so that no row is lost, and without a
+    budget it grows with every step to the one nearest to the totals: as many
+    tokens as it takes. Domains of weight 0 then have no target but keep what
+    they have. Steps are gradient steps in the metric of the domains' token
+    products; one that brings the totals no nearer is taken back and replaced by
+    a plain gradient step.
     """
     n = len(weights)
     sums = [F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
@@ -93,22 +96,28 @@ def fitted(members, weights, budget=None, keep_all=False, steps=STEPS, close=CLO
     weights = np.array(weights, float) / sum(weights)
     if not now.sum():
         return members.withColumn("rate", F.lit(1.0)), {"targets": now, "reached": now, "steps": 0}
-    if budget is None:
-        budget = max(now[weights > 0] / weights[weights > 0]) if keep_all else now.sum()
-    targets = weights * budget
+    if budget is None and not keep_all:
+        budget = now.sum()
+    lowest, free = (1.0, weights == 0) if keep_all else (0.0, np.zeros(n, bool))
+
+    def aims(totals):
+        own = weights @ totals / (weights @ weights) if budget is None else budget
+        return np.where(free, totals, weights * own)
+
+    targets = aims(now)
     inverse, plain = np.linalg.pinv(gram, rcond=1e-9), 1 / np.linalg.eigvalsh(gram)[-1]
     rates = members.withColumn("rate", F.lit(1.0))
     taken, safe = 0, False
-    while taken < steps and np.abs(now - targets).max() > close * budget:
+    while taken < steps and np.abs(now - targets).max() > close * targets.sum():
         step = (now - targets) * plain if safe else inverse @ (now - targets)
-        tried = rates.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - _dot(step)))
+        tried = rates.withColumn("rate", F.greatest(F.lit(lowest), F.col("rate") - _dot(step)))
         row = tried.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{k}") * F.col("rate")).alias(f"t{k}") for k in range(n)]).head()
         reached = np.array([row[f"t{k}"] for k in range(n)])
         taken += 1
-        if not safe and np.linalg.norm(reached - targets) >= 0.98 * np.linalg.norm(now - targets):
+        if not safe and np.linalg.norm(reached - aims(reached)) >= 0.98 * np.linalg.norm(now - targets):
             safe = True
             continue
-        rates, now, safe = tried, reached, False
+        rates, now, targets, safe = tried, reached, aims(reached), False
         if taken % 8 == 0:  # keeps the plan short
             rates = stored(rates, "mixing-rates")
     return rates, {"targets": targets, "reached": now, "steps": taken}
@@ -119,7 +128,7 @@ def mixed(docs, labelled, targets, budget=None, keep_all=False, most_rows=20_000
 
     ``labelled``: (doc_id, text, domain). ``targets``: {domain: weight};
     a domain not named has the weight 0, a named one without labelled rows is
-    an error. ``copies``: the rate rounded down or up by a hash of doc_id and
+    an error. With ``keep_all`` every row has one copy at least. ``copies``: the rate rounded down or up by a hash of doc_id and
     text, so that copies average the rate. Null texts have no tokens and the
     domains' priors; rows that repeat have equal rates. Columns beyond doc_id and
     text are not read. An empty table gives no rows; no labels are an error.

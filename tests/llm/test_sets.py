@@ -105,6 +105,22 @@ def test_mixing_edge_cases(spark, odd, nothing):
         mixing.mixed(odd, labelled, {"xx": 1})
 
 
+def test_mixing_with_keep_all_loses_no_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = docs.select("doc_id", "text", F.col("lang").alias("domain"))
+    plan = mixing.mixed(docs, labelled, {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}, keep_all=True)
+    got = plan.toPandas()
+    assert (got.rate >= 1).all() and (got.copies >= 1).all()
+    totals = (np.array(got.posterior.tolist()) * (got.rate * got.n_tokens).to_numpy()[:, None]).sum(axis=0)
+    assert np.allclose(totals / totals.sum(), [0.2, 0.4, 0.2, 0.2], atol=1e-3)
+    after = corpus_pipeline.mixing_stage(spark, docs, "/root/testdata/sf0.01")
+    assert docs.select("doc_id").exceptAll(after.select("doc_id").distinct()).count() == 0
+    two = mixing.mixed(docs, labelled, {"de": 0.5, "es": 0.5}, keep_all=True).toPandas()  # unnamed domains stay, too
+    assert (two.copies >= 1).all()
+    shares = (np.array(two.posterior.tolist()) * (two.rate * two.n_tokens).to_numpy()[:, None]).sum(axis=0)
+    assert shares[0] == pytest.approx(shares[2], rel=2e-3)
+
+
 def plain_groups(rows, weights):
     sets, first, links = [], {}, []
     for k, (doc, text) in enumerate(rows):
