@@ -33,12 +33,15 @@ def near_duplicate_stage(spark, docs, directory):
 
 
 def decontamination_stage(spark, docs, directory):
-    """Without the documents that hold a window of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, directory, "benchmark"))
-    # Few rows: those with a hit and an id.
-    hit = found.where((F.col("n_hit") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.col("doc_id").cast("long")).join(hit.hint("shuffle_hash"), "__id", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """Without the documents that hold a window of the benchmark.
+
+    Texts are judged, not ids: rows without an id like others, rows of one id apart.
+    """
+    told = docs.withColumn("__hash", F.xxhash64("text"))
+    found = decontaminate.contamination(told.select(F.col("__hash").alias("doc_id"), "text"), table(spark, directory, "benchmark"))
+    # Few rows: the hashes of texts with a hit.
+    hit = found.where(F.col("n_hit") > 0).select(F.col("doc_id").alias("__hash")).distinct()
+    return told.join(hit.hint("shuffle_hash"), "__hash", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark, docs, directory):

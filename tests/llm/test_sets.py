@@ -268,6 +268,14 @@ def test_pipeline_stages(spark, odd, nothing):
             assert stage(spark, nothing, directory).count() == 0
 
 
+def test_decontamination_stage_judges_every_row_by_its_text(spark):
+    directory = "/root/testdata/sf0.001"
+    passage = spark.read.parquet(f"{directory}/benchmark.parquet").orderBy(F.length("text").desc()).head()["text"]
+    docs = spark.createDataFrame([(None, f"before {passage} after"), (None, "clean"), (1, "clean, too"), (1, passage), (2, None)], "doc_id long, text string")
+    got = corpus_pipeline.decontamination_stage(spark, docs, directory).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.where("text is null or text like 'clean%'").collect())
+
+
 def test_spans_never_cross_rows():
     data = np.frombuffer(b"aabb", np.uint8)
     starts, ends, row = spans.runs(np.ones(4, bool), np.array([0, 2, 2, 4]))
