@@ -7,7 +7,7 @@ anchors. The strings that hold an anchor lie in the bytes around it. Of equal
 bytes around equal anchors all but those of the smallest doc_id are removed
 whole, so only one text of each kind has to be compared: told by a 64-bit hash
 beside the anchor's, before any text travels. Different texts around one anchor
-meet in one task. There their suffix array is built by the difference cover
+meet in one task, unless they are very many (see HOT_KINDS). There their suffix array is built by the difference cover
 modulo 3 - sort the sampled triples, recurse on their names, merge the other
 suffixes - and neighbours with a common prefix of LENGTH bytes are repeats. All
 repeats are found, since any two equal strings share an anchor.
@@ -25,8 +25,12 @@ from .spans import blocks, mixed, powers
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of texts around anchors that one suffix array is built over; a single anchor's texts are never parted.
+#: Bytes of texts around anchors that one suffix array is built over; an anchor of up to HOT_KINDS kinds is not parted.
 ARRAY_BYTES = 1 << 21
+#: An anchor of more kinds of texts is not compared in one task: windows that hold it are grouped by their hashes instead.
+HOT_KINDS = ARRAY_BYTES // (2 * LENGTH - GRAM)
+#: Kinds of texts around one anchor among TEXT_BYTES of texts from which they are dealt out by the texts, not by the anchor.
+HOT_HERE = 32
 #: Bytes of text whose anchors meet in one bucket, on average; the number of buckets grows with the corpus.
 BUCKET_BYTES = 4 << 20
 #: Bytes of texts whose anchors are packed together.
@@ -142,8 +146,15 @@ def _unpacked_anchors(row):
 COLUMNS = ["around", "steps", "places", "own", "who", "ords"]
 
 
-def _anchored(known, bits):
-    """Anchors of all texts in 2 ** ``bits`` buckets by hash: a row for every bucket of a batch, its columns packed."""
+def _anchored(known, bits, here=HOT_HERE):
+    """Anchors of all texts in 2 ** ``bits`` buckets by hash: a row for every bucket of a batch, its columns packed.
+
+    What a batch can tell alone is told at once: anchors of texts that a smaller
+    doc_id of the batch has as well go to negative buckets, as places to remove.
+    An anchor with ``here`` kinds or more in a batch is dealt to buckets from
+    2 ** ``bits`` on, by the bytes around it; a row with the place -1 tells so in
+    its own bucket, so that its kinds from other batches stay open.
+    """
     def found(batches):
         for batch in batches:
             sizes = np.cumsum(batch.column(2).to_numpy())
@@ -163,8 +174,21 @@ def _anchored(known, bits):
             parts.append((hashes, around, at - offsets[row], key[first + row], order[first + row]))
         if not parts:
             return
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        bucket = columns[0] >> np.uint64(HASH_BITS - bits)
+        hashes, around, places, keys, ords = columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        by = np.lexsort((ords, around, hashes))
+        kind = np.concatenate([[True], (hashes[by][1:] != hashes[by][:-1]) | (around[by][1:] != around[by][:-1])]) if len(by) else np.zeros(0, bool)
+        later = ords[by] > ords[by][np.flatnonzero(kind)][np.cumsum(kind) - 1]
+        gone, (hashes, around, places, keys, ords) = by[later], [c[by[~later]] for c in columns]
+        values, own, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        hot = counts >= here
+        bucket = np.where(hot[own], np.uint64(1 << bits) + (around >> np.uint64(64 - bits)), hashes >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+        marks, n = values[hot], int(hot.sum())
+        own_bucket = int(mixed(key[:1].astype(np.uint64))[0] & np.uint64((1 << bits) - 1))  # another one for each batch
+        removed = [np.zeros(len(gone), np.uint64)] * 2 + [c[gone] for c in columns[2:]]
+        columns = [np.concatenate(x) for x in zip(
+            (hashes, around, places, keys, ords),
+            (marks, np.zeros(n, np.uint64), np.full(n, -1), np.full(n, -1), np.full(n, LAST)), removed, strict=True)]
+        bucket = np.concatenate([bucket, (marks >> np.uint64(HASH_BITS - bits)).astype(np.int64), np.full(len(gone), -1 - own_bucket)])
         by = np.argsort(bucket, kind="stable")
         numbers, cuts = np.unique(bucket[by], return_index=True)
         rows = [_packed_anchors(*(c[own] for c in columns)) for own in np.split(by, cuts[1:])] if len(by) else []
@@ -175,12 +199,18 @@ def _anchored(known, bits):
     return known.select("key", "ord", "size", "packed").mapInArrow(found, f"bucket long, {fields}")
 
 
-def _decided(hashes, around, places, keys, ords):
+def _removed(hashes, around, places, keys, ords):
+    """Rows as of ``_decided``: all the places are to be removed."""
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places.astype(np.int32)), pa.nulls(len(keys), pa.int64())], ["key", "done", "open"])
+
+
+def _decided(hashes, around, places, keys, ords, hot=False):
     """(key, done, open) of the anchors of a bucket that are in two or more documents.
 
     done is the place of an anchor with the same bytes around it as a document of
     a smaller doc_id has: all of them are removed. open is hash and place of one
-    that stands for its kind, where other kinds of texts hold the anchor too.
+    that stands for its kind, where other kinds of texts hold the anchor too;
+    of ``hot`` anchors other kinds are always elsewhere.
     """
     order = np.lexsort((ords, around, hashes))
     hashes, around, places, keys, ords = (x[order] for x in (hashes, around, places, keys, ords))
@@ -190,7 +220,8 @@ def _decided(hashes, around, places, keys, ords):
     shared = (np.minimum.reduceat(keys, cuts) != np.maximum.reduceat(keys, cuts))[group]
     several = (np.add.reduceat(kind.astype(np.int64), cuts) > 1)[group]
     later = ords > ords[np.flatnonzero(kind)][np.cumsum(kind) - 1]
-    done, undecided = shared & later, shared & ~later & several
+    real = places >= 0
+    done, undecided = later & real & (shared | hot), real & ~later & (hot | shared & several)
     numbers = (hashes.astype(np.int64) << PLACE_BITS) | places
     told = np.concatenate([keys[done], keys[undecided]])
     nones, nulls = np.zeros(undecided.sum(), np.int32), np.arange(len(told)) >= done.sum()
@@ -199,33 +230,42 @@ def _decided(hashes, around, places, keys, ords):
         pa.array(np.concatenate([np.zeros(done.sum(), np.int64), numbers[undecided]]), mask=~nulls)], ["key", "done", "open"])
 
 
-def _shared(anchored):
+def _shared(anchored, bits):
     """(key, done, open) as ``_decided`` tells; each task takes one bucket after the other."""
     def told(batches):
         held, bucket = [], None
+
+        def decided():
+            return _decided(*(np.concatenate(x) for x in zip(*held, strict=True)), hot=bucket >> bits > 0)
+
         for batch in batches:
             for number, *row in zip(*batch.columns, strict=True):
+                row = _unpacked_anchors([x.as_buffer() for x in row])
+                if number.as_py() < 0:
+                    yield _removed(*row)
+                    continue
                 if held and number.as_py() != bucket:
-                    yield _decided(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield decided()
                     held = []
                 bucket = number.as_py()
-                held.append(_unpacked_anchors([x.as_buffer() for x in row]))
+                held.append(row)
         if held:
-            yield _decided(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield decided()
 
     # A number of partitions that is asked for is not made smaller, so that no task gets a great many bytes at once.
     partitions = int(anchored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return anchored.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(told, "key long, done int, open long")
 
 
-def _around(rows, length=LENGTH, gram=GRAM):
-    """(hash, ord, key, at, left, around): the bytes around every open anchor that strings with it can reach."""
+def _around(rows, hot, wanted, length=LENGTH, gram=GRAM):
+    """(hash, ord, key, at, left, around): the bytes around every open anchor that strings with it can reach; ``wanted``: of those in ``hot``, else of others."""
     def cut(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                raw = zlib.decompress(row["packed"])
-                for number in row["open"]:
+                own = [number for number in row["open"] if (number >> PLACE_BITS in hot) == wanted]
+                raw = zlib.decompress(row["packed"]) if own else b""
+                for number in own:
                     at = number & ((1 << PLACE_BITS) - 1)
                     low = max(0, at - (length - gram))
                     out.append((number >> PLACE_BITS, row["ord"], row["key"], at, at - low, raw[low:at + length]))
@@ -311,6 +351,33 @@ def _marks(contexts, length=LENGTH):
     return contexts.repartition("hash").sortWithinPartitions("hash", "ord", "key", "at").mapInArrow(compared, "key long, s int, e int")
 
 
+def _hot_marks(contexts, length=LENGTH):
+    """(key, s, e) as of ``_marks``, of anchors with very many kinds: windows with an anchor are equal if their hashes are.
+
+    The least doc_id of a window is found in every task before the shuffle.
+    """
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(5).to_pylist()
+            at, left, sizes = batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.array([len(t) for t in texts], np.int64)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            power, inverse = powers(len(data) + 1)
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+            counts = np.minimum(left, sizes - length) + 1
+            own = np.repeat(np.arange(len(texts)), counts)
+            start = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+            place = (np.cumsum(sizes) - sizes)[own] + start
+            window = mixed((prefix[place + length] - prefix[place]) * inverse[place]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(own)), pa.array(window), *(batch.column(k).take(pa.array(own)) for k in (1, 2)),
+                 pa.array((at - left)[own] + start, pa.int32())], ["hash", "window", "ord", "key", "s"])
+
+    windows = contexts.select("hash", "ord", "key", "at", "left", "around").mapInArrow(cut, "hash long, window long, ord long, key long, s int")
+    least = windows.groupBy("hash", "window").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").drop("most")
+    found = windows.join(least.hint("shuffle_hash"), ["hash", "window"]).where("ord > least")
+    return found.select("key", "s", (F.col("s") + length).cast("int").alias("e"))
+
+
 def _told(raw, spans, done, length=LENGTH, gram=GRAM):
     """(bytes, removed bytes, maximal removed runs, digest of the rest); all bytes around the anchors at ``done`` are removed."""
     merged = []
@@ -328,7 +395,7 @@ def _told(raw, spans, done, length=LENGTH, gram=GRAM):
     return len(raw), sum(e - s for s, e in merged), len(merged), digest.hexdigest()
 
 
-def without_repeats(docs):
+def without_repeats(docs, hot_kinds=HOT_KINDS, hot_here=HOT_HERE):
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
 
     A null text is empty. Documents of a null id come after all others; rows of
@@ -350,10 +417,16 @@ def without_repeats(docs):
     known = stored(rows.mapInArrow(packed, "doc_id long, ord long, key long, size long, packed binary"), "repeat-documents")
     size = known.agg(F.sum("size").alias("size")).first()["size"] or 0
     bits = min(HASH_BITS - 1, max(1, (size // BUCKET_BYTES).bit_length()))
-    found = stored(_shared(_anchored(known, bits)).groupBy("key").agg(
+    found = stored(_shared(_anchored(known, bits, hot_here), bits).groupBy("key").agg(
         F.collect_list("done").alias("done"), F.collect_list("open").alias("open")), "repeat-anchors")
     undecided = found.where(F.size("open") > 0).select("key", "open")
-    marks = _marks(_around(known.join(undecided.hint("shuffle_hash"), "key")))
+    kinds = undecided.select(F.explode("open").alias("number")).groupBy(F.shiftright("number", PLACE_BITS).alias("hash")).count()
+    # At most one of hot_kinds open anchors.
+    hot = frozenset(r["hash"] for r in kinds.where(F.col("count") > hot_kinds).collect())
+    rows = known.join(undecided.hint("shuffle_hash"), "key")
+    marks = _marks(_around(rows, hot, False))
+    if hot:
+        marks = marks.unionAll(_hot_marks(stored(_around(rows, hot, True), "repeat-hot")))
     marks = marks.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def told(batches):

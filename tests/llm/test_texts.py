@@ -165,6 +165,25 @@ def test_repeats_against_brute_force(spark):
     assert sorted(tuple(r) for r in repeats.without_repeats(docs).collect()) == plain_repeats(rows)
 
 
+def test_hot_anchors_are_split_and_give_the_same_answers(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    footer = "".join(draw.choice(list("abcdefgh "), 58))
+    rows = [(k, "".join(draw.choice(list("abcdefgh "), int(draw.integers(0, 60)))) + footer[int(draw.integers(0, 5)):] + str(k)) for k in range(90)]
+    rows += [(k + 100, text) for k, text in rows[:9]] + [(3, rows[4][1]), (3, rows[3][1]), (200, None), (201, footer)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    largest, plain = [], repeats._marks
+
+    def watched(contexts, *args):
+        largest.append(contexts.groupBy("hash").count().agg(F.max("count")).head()[0] or 0)
+        return plain(contexts, *args)
+
+    monkeypatch.setattr(repeats, "_marks", watched)
+    wanted = plain_repeats(rows)
+    for kinds, here in ((5, 4), (5, 1), (5, 25), (1000, 4)):
+        got = sorted(tuple(r) for r in repeats.without_repeats(docs, kinds, here).collect())
+        assert got == wanted and (largest.pop() <= 5) == (kinds == 5)
+
+
 def test_repeats_edge_cases(odd, nothing):
     got = repeats.without_repeats(odd).collect()
     assert len(got) == odd.count()
