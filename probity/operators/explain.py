@@ -270,10 +270,10 @@ def transparency_checks(importance, local_values, card, surrogates=None, min_doc
 
 
 def transparency_report(df, id_column, features, scorer, y_true=None, y_pred="prediction", rows=None,
-                        with_surrogates=False, surrogate_rows=5, seed=42, training=None):
+                        with_surrogates=False, surrogate_rows=None, seed=42, training=None):
     """The transparency audit as DataFrames by name; without a target it is skipped and counts as passed.
 
-    All rows are explained unless ``rows`` asks for so many. ``training`` is the
+    All rows are explained unless ``rows`` or ``surrogate_rows`` ask for so many. ``training`` is the
     data the model was trained on, if the caller keeps it apart.
     """
     if y_true is None or y_true not in df.columns:
@@ -286,7 +286,8 @@ def transparency_report(df, id_column, features, scorer, y_true=None, y_pred="pr
     surrogates = None
     if with_surrogates:
         spread = df.agg(*[F.stddev_samp(f).alias(f) for f in features])
-        surrogates = local_surrogates(sample_rows(df, id_column, surrogate_rows, seed), id_column, features, spread, scorer)
+        near = df if surrogate_rows is None else sample_rows(df, id_column, surrogate_rows, seed)
+        surrogates = local_surrogates(near, id_column, features, spread, scorer)
     return {
         "status": "completed", "values": values, "importance": importance, "card": card, "surrogates": surrogates,
         "checks": transparency_checks(importance, values, card, surrogates),

@@ -11,7 +11,7 @@ from probity.operators.prep import stratified_split
 from probity.operators.scoring import evaluation, score_pipeline
 
 
-def estimators(features, label="label", seed=42, trees=200, boosting_rounds=20):
+def estimators(features, label="label", seed=42, trees=200, boosting_rounds=100):
     """The pipelines by name: scaled logistic regression, random forest, boosted trees."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
@@ -25,7 +25,7 @@ def estimators(features, label="label", seed=42, trees=200, boosting_rounds=20):
     }
 
 
-def train_zoo(df, features, label, id_column, seed=42, trees=200, boosting_rounds=20, names=None):
+def train_zoo(df, features, label, id_column, seed=42, trees=200, boosting_rounds=100, names=None):
     """Fits every model on a stratified 80 % and evaluates it on both parts.
 
     Returns (models by name, evaluation rows, failures by name). A target with

@@ -97,7 +97,7 @@ def class_balance(spark, directory):
 @register("train_model_zoo")
 def train_model_zoo(spark, directory):
     df = loans(spark, directory).select("row_id", "y_true", *FEATURES)
-    _, quality, _ = training.train_zoo(df, FEATURES, "y_true", "row_id", trees=20, boosting_rounds=5)
+    _, quality, _ = training.train_zoo(df, FEATURES, "y_true", "row_id")
     return quality
 
 
@@ -215,15 +215,12 @@ def explain_local_surrogates(spark, directory):
 def surrogates_of(spark, directory):
     df = loans(spark, directory)
     spread = df.agg(*[F.stddev_samp(f).alias(f) for f in FEATURES])
-    return explain.local_surrogates(sample_rows(df, "row_id", 5), "row_id", FEATURES, spread, probability)
+    return explain.local_surrogates(df, "row_id", FEATURES, spread, probability)
 
 
 @register("explain_fidelity")
 def explain_fidelity(spark, directory):
-    df = loans(spark, directory)
-    spread = df.agg(*[F.stddev_samp(f).alias(f) for f in FEATURES])
-    twenty = sample_rows(df, "row_id", 20)
-    return explain.fidelity(explain.local_surrogates(twenty, "row_id", FEATURES, spread, probability), "row_id")
+    return explain.fidelity(surrogates_of(spark, directory), "row_id")
 
 
 @register("explain_model_card", loans_sql("""

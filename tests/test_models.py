@@ -89,6 +89,35 @@ def test_zoo(spark, data):
     assert training.train_zoo(df.withColumn("y", F.lit(1)), FEATURES, "y", "id")[0] == {}
 
 
+def test_registered_model_queries_do_their_whole_job(spark, small, monkeypatch):
+    from inspect import signature
+
+    from probity.plans import model_queries
+
+    asked, explained = [], []
+    plain, own = signature(training.train_zoo), explain.local_surrogates
+
+    def zoo(*args, **kwargs):
+        call = plain.bind(*args, **kwargs)
+        call.apply_defaults()
+        asked.append((call.arguments["trees"], call.arguments["boosting_rounds"]))
+        return {}, None, {}
+
+    def surrogates(df, *args, **kwargs):
+        explained.append(df.count())
+        return own(df, *args, **kwargs)
+
+    monkeypatch.setattr(training, "train_zoo", zoo)
+    monkeypatch.setattr(explain, "local_surrogates", surrogates)
+    model_queries.train_model_zoo(spark, small)
+    assert asked == [(200, 100)]
+    rows = model_queries.loans(spark, small).count()
+    values = model_queries.explain_local_surrogates(spark, small)
+    assert values.select("row_id").distinct().count() == rows
+    model_queries.explain_fidelity(spark, small)
+    assert explained == [rows, rows]
+
+
 def test_probabilities(spark):
     df = spark.createDataFrame([([1.0, 2.0, 1000.0], 2)], "s array<double>, y int")
     row = df.select(scoring.softmax(F.col("s")).alias("p"), scoring.one_hot(F.col("y"), 4).alias("h")).first()
