@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near, quality, repeats, shards, token_files, vectors
+from . import (
+    audit_sql, byte_pairs, chat, codes, decontaminate, filter_audit, language, mixing, near, quality, repeats, shards, token_files, vectors,
+)
 from .registry import ORACLES, QUERIES, register, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -79,3 +81,20 @@ def op7_source_mixing(spark, directory):
 @register("op3_suffix_array_dedup")
 def op3_suffix_array_dedup(spark, directory):
     return repeats.without_repeats(table(spark, directory, "documents"))
+
+
+@register("op11_byte_pair_tokens")
+def op11_byte_pair_tokens(spark, directory):
+    import public_tokenizers
+
+    return byte_pairs.digests(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@register("op12_vector_codes", audit_sql.CODES)
+def op12_vector_codes(spark, directory):
+    return codes.compressed(table(spark, directory, "embeddings"))
+
+
+@register("op13_filter_audit", audit_sql.FILTERS)
+def op13_filter_audit(spark, directory):
+    return filter_audit.audited(table(spark, directory, "documents"), table(spark, directory, "labels"))
