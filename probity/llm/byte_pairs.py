@@ -25,9 +25,10 @@ from .spans import TEXT, blocks, mixed, span_hashes
 MOST_BYTES = 64 << 20
 #: Slots for each key that is still without a place, per level of the perfect hash.
 SLOTS_PER_KEY = 2
-#: Token ids and bytes of merged pre-tokens that a worker remembers before it starts anew.
+#: Bytes of merged pre-tokens that a worker remembers, with their ids, before it starts anew.
 POOL = 1 << 22
-BLOCK = 1 << 20
+#: Bytes of text that are worked on at once.
+BLOCK = 1 << 18
 #: Bytes of a pre-token from which the links are kept in arrays.
 LONG = 1 << 14
 
@@ -125,7 +126,7 @@ class Vocabulary:
         self._forget()
 
     def _forget(self):
-        self._at, self._pool, self._bytes = {}, array("i"), 0
+        self._known, self._bytes = {}, 0
 
     # --- encoding -----------------------------------------------------------------
 
@@ -184,27 +185,22 @@ class Vocabulary:
         rest = np.ones(len(starts), bool)
         rest[whole] = False
         rest = np.flatnonzero(rest)
-        if self._bytes > POOL or len(self._pool) > POOL:
+        if self._bytes > POOL:
             self._forget()
         found = [self._merged(raw[a:b]) for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
-        at = np.array(found, np.int64).reshape(-1, 2)
-        pool = np.frombuffer(self._pool, np.int32) if len(self._pool) else np.zeros(0, np.int32)
-        sizes[rest] = at[:, 1]
+        sizes[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
         total = np.cumsum(sizes)
         ids = np.empty(total[-1] if len(total) else 0, np.int32)
         ids[(total - sizes)[whole]] = self.ids[number[whole]]
-        ids[index_of_ranges((total - sizes)[rest], sizes[rest])] = pool[index_of_ranges(at[:, 0], at[:, 1])]
-        del pool  # the array can't grow while numpy looks at it
+        ids[index_of_ranges((total - sizes)[rest], sizes[rest])] = np.frombuffer(b"".join(found), np.int32)
         before = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
         return ids, np.diff(before)
 
     def _merged(self, piece):
-        """(place, count) of the ids of a pre-token among those remembered."""
-        known = self._at.get(piece)
+        """The ids of a pre-token, four bytes each."""
+        known = self._known.get(piece)
         if known is None:
-            ids = merged(piece, self._ranks, self.longest)
-            known = self._at[piece] = (len(self._pool), len(ids))
-            self._pool.extend(ids)
+            known = self._known[piece] = array("i", merged(piece, self._ranks, self.longest)).tobytes()
             self._bytes += len(piece)
         return known
 
@@ -278,27 +274,31 @@ def _others(df, names, keep):
     return [c for c in kept if c.lower() not in {n.lower() for n in names}]
 
 
-def encode(docs, vocabulary, into="token_ids", text="text", keep=None):
-    """``docs`` with the column ``into``: each whole text's token ids.
+def encode(docs, vocabulary, into="token_ids", text="text", keep=None, decoded=None):
+    """``docs`` with the column ``into``: each whole text's token ids; ``decoded`` names a column for what they decode to.
 
     Row by row, without a shuffle. A null or empty text has no ids (an empty
     array); repeated rows are encoded each; a null in any other column stays.
     An empty table gives none. Texts of any length are whole: one is one block. A column already
-    called ``into`` (in any case) is replaced; ``keep`` names the other columns to return (all).
+    called like a new one (in any case) is replaced; ``keep`` names the other columns to return (all).
     Special tokens are ordinary text.
     """
-    others = _others(docs, [into], keep)
+    names = [into] if decoded is None else [into, decoded]
+    others = _others(docs, names, keep)
     source = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias(TEXT))
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = StructType([*source.schema.fields[:-1], StructField(into, ArrayType(IntegerType(), False), False)])
+    schema = StructType([*source.schema.fields[:-1], StructField(into, ArrayType(IntegerType(), False), False), *[
+        StructField(n, BinaryType(), False) for n in names[1:]]])
 
     def work(batches):
         for batch in batches:
             for part in slices(batch):
                 ids, counts = sent.value.encode(part.column(part.num_columns - 1))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], into])
+                new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+                if decoded is not None:
+                    new.append(_binary(*sent.value.decode(ids, counts)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], *names])
 
     return source.mapInArrow(work, schema)
 
@@ -326,9 +326,7 @@ def decode(tokens, vocabulary, ids="token_ids", into="decoded", keep=None):
                 if lists.null_count:
                     counts = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, counts)
                 data, sizes = sent.value.decode(flat.to_numpy(), counts)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                values = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                values = values.cast(pa.binary())
+                values = _binary(data, sizes)
                 if lists.null_count:
                     values = pa.array([None if n else v.as_py() for n, v in zip(lists.is_null().to_pylist(), values, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], [*part.schema.names[:-1], into])
@@ -336,6 +334,12 @@ def decode(tokens, vocabulary, ids="token_ids", into="decoded", keep=None):
     return source.mapInArrow(work, schema)
 
 
+def _binary(data, sizes):
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    values = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return values.cast(pa.binary())
+
+
 def slices(batch, most=8 * BLOCK):
     """Runs of whole rows of some megabytes, so that what is made of them stays small too."""
     rows = max(1, min(batch.num_rows, batch.num_rows * most // max(1, batch.column(batch.num_columns - 1).nbytes)))
@@ -344,10 +348,10 @@ def slices(batch, most=8 * BLOCK):
 
 
 def digests(docs, path, pattern=None):
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded by ``encode``, decoded by ``decode``, digests of both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded by ``encode``, digests of both."""
     vocabulary = Vocabulary.read(path, pattern)
-    tokens = encode(docs, vocabulary, keep=["doc_id"])
-    return decode(tokens, vocabulary).select(
+    # One pass of Python: what is decoded are the ids, where they are made.
+    return encode(docs, vocabulary, keep=["doc_id"], decoded="decoded").select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
