@@ -26,7 +26,7 @@ MOST_BYTES = 64 << 20
 #: Slots for each key that is still without a place, per level of the perfect hash.
 SLOTS_PER_KEY = 2
 #: Bytes of merged pre-tokens that a worker remembers, with their ids, before it starts anew.
-POOL = 1 << 22
+POOL = 1 << 20
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 18
 #: Bytes of a pre-token from which the links are kept in arrays.
