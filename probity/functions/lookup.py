@@ -33,3 +33,33 @@ def looked_up(df, values, keys, rows="rows", share=HEAVY):
     done = told.where(F.col(_FOUND) | unknown)
     rest = told.where(F.col(_FOUND).isNull() & ~unknown).drop(*new)
     return done.drop(_FOUND).unionByName(rest.drop(_FOUND).join(light, keys, "left").select(*[f"`{c}`" for c in df.columns], *new))
+
+
+def looked_up_all(df, tables, spread_by, rows="rows", share=HEAVY):
+    """``df`` with each column of ``tables`` looked up in its own table, in one pass.
+
+    ``tables`` is {column: (values, new column)}; ``values`` has the column's
+    different values, the new column and ``rows``. All heavy values are found in
+    the first pass over the rows, without a shuffle. Only rows that have a rare
+    value in some column go on to the shuffled joins; there a column that is null
+    or already found joins with nothing, under keys dealt out by ``spread_by``.
+    """
+    told = df
+    light = {}
+    for c, (values, new) in tables.items():
+        named = values.select(F.col(c).alias(f"_k_{c}"), F.col(new).alias(f"_n_{c}"), F.col(rows).alias("_rows"))
+        heavy = heavy_keys(named, "_rows", share).drop("_rows")
+        light[c] = named.join(F.broadcast(heavy.select(f"_k_{c}")), f"_k_{c}", "left_anti").drop("_rows").withColumn(f"_s_{c}", F.lit(0).cast("bigint"))
+        told = told.join(F.broadcast(heavy), F.col(c) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
+    open_ = {c: F.col(c).isNotNull() & F.col(f"_n_{c}").isNull() for c in tables}
+    unknown = reduce(lambda a, b: a | b, open_.values())
+    rest = told.where(unknown)
+    for c, values in light.items():
+        key = F.when(open_[c], F.col(c))
+        salt = F.when(open_[c], F.lit(0)).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(1 << 20)) + 1)
+        found = rest.withColumns({f"_kk_{c}": key, f"_ss_{c}": salt}).join(
+            values.withColumnRenamed(f"_n_{c}", f"_m_{c}"),
+            (F.col(f"_kk_{c}") == F.col(f"_k_{c}")) & (F.col(f"_ss_{c}") == F.col(f"_s_{c}")), "left")
+        rest = found.withColumn(f"_n_{c}", F.coalesce(f"_n_{c}", f"_m_{c}")).drop(f"_kk_{c}", f"_ss_{c}", f"_k_{c}", f"_s_{c}", f"_m_{c}")
+    out = told.where(~unknown).unionByName(rest)
+    return out.select(*df.columns, *[F.col(f"_n_{c}").alias(new) for c, (_, new) in tables.items()])

@@ -3,11 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from probity.session import ensure_checkpoint_dir
-
 POSITIONS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 100_000
-SINGLE_TASK_ROWS = 1_000_000
 HASH_DIGITS = 4
 
 
@@ -16,7 +13,7 @@ def shuffle_key(id_column, seed):
     return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
 
 
-def rank_by_position(df, keys, position, value):
+def rank_by_position(df, keys, position, value, keep=()):
     """Zero-based rank of ``value`` by ``position`` (an integer) within ``keys``.
 
     Positions are cut into ranges; rows are ranked inside their range and the
@@ -38,35 +35,69 @@ def rank_by_position(df, keys, position, value):
     return (
         placed.withColumn("inside", F.row_number().over(inside) - 1)
         .join(offsets, [*keys, "bucket"])
-        .select(*keys, value, (F.col("offset") + F.col("inside")).alias("code"))
+        .select(*keys, value, *keep, (F.col("offset") + F.col("inside")).alias("code"))
     )
 
 
-def rank_distinct(values, column, single_task_rows=SINGLE_TASK_ROWS):
-    """Zero-based rank of the distinct values of ``column`` in value order.
+def in_ranges(rows, order):
+    """``rows`` range partitioned by ``order``, with the number of the range in ``part``.
 
-    Few values (counted first) are ranked in one window. More are range
-    partitioned and sorted, the partitions kept by a checkpoint, and each row
-    numbered from the sizes of the partitions before its own.
+    The number of ranges is stated, so the adaptive optimizer leaves them as they
+    are and every reader of the same shuffle sees the same ranges.
     """
-    distinct = values.select(column).na.drop().distinct()
-    if distinct.limit(single_task_rows + 1).count() <= single_task_rows:
-        return distinct.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("code"))
-    ensure_checkpoint_dir(values.sparkSession)
-    row_id = F.monotonically_increasing_id()
-    placed = (
-        distinct.repartitionByRange(column).sortWithinPartitions(column)
-        .select(column, F.shiftright(row_id, 33).alias("part"), row_id.bitwiseAND((1 << 33) - 1).alias("row"))
-        .checkpoint()
-    )
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
+
+
+def rank_unique(rows, column):
+    """``rows``, of which none has the same ``column`` as another, with the zero-based ``code`` in its order; nulls are left out.
+
+    Rows are range partitioned and sorted; each row's number within its range is
+    added to the sizes of the ranges before it: one plan for any size, in which
+    the only single task sees one number per range.
+    """
+    placed = in_ranges(rows.where(F.col(column).isNotNull()), [column])
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")).select(
-        "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset")
-    )
-    # One row per partition.
-    return placed.join(F.broadcast(offsets), "part").select(
-        column, (F.col("offset") + F.col("row")).alias("code")
-    )
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("_size")).select(
+        "part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    numbered = placed.sortWithinPartitions(column).withColumn("_inside", inside)
+    # One row per range.
+    return numbered.join(F.broadcast(before), "part").select(*rows.columns, (F.col("_before") + F.col("_inside")).alias("code"))
+
+
+def rank_distinct(values, column):
+    """Zero-based rank of the distinct values of ``column`` in value order."""
+    return rank_unique(values.select(column).distinct(), column)
+
+
+def order_statistics(counts, fractions, key="column", value="value", size="n"):
+    """(key, fraction, value): exact quantiles per ``key`` from rows (key, value, size), interpolated between neighbours.
+
+    ``counts`` has one row per different value, ``size`` says how often it
+    occurs; nulls don't count. Values are range partitioned, the sizes of the
+    ranges before each are added up, and only the ranges that hold a wanted rank
+    are looked at row by row. One plan for any size; no value passes through the driver.
+    """
+    placed = in_ranges(counts.where(F.col(value).isNotNull()).select(key, value, size), [key, value])
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy(key, "part").agg(F.sum(size).alias("_size")).select(
+        key, "part", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(key)).alias("_whole"))
+    asked = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
+    position = F.col("fraction") * (F.col("_whole") - 1)
+    wanted = spans.select("*", asked).withColumn("_position", position).withColumn(
+        "_rank", F.explode(F.array(F.floor("_position"), F.ceil("_position")))).where(
+        (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_size"))).drop("_size", "_whole")
+    # Two ranks per key and fraction, in as many ranges at most.
+    upto = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.join(F.broadcast(wanted.select(key, "part").distinct()), [key, "part"], "left_semi").withColumn("_upto", F.sum(size).over(upto))
+    inside = F.col("_rank") - F.col("_before")
+    found = near.join(F.broadcast(wanted), [key, "part"]).where((inside < F.col("_upto")) & (inside >= F.col("_upto") - F.col(size)))
+    low, high = F.min(value), F.max(value)
+    between = F.first("_position") - F.floor(F.first("_position"))
+    return found.groupBy(key, "fraction").agg(
+        F.when(low == high, low).otherwise(low + (high - low) * between).alias(value))
 
 
 def split_by_share(df, id_column, share, seed, stratum=None):

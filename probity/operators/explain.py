@@ -1,4 +1,4 @@
-"""Explanations of predictions: Shapley values, local surrogates, model cards."""
+"""Explanations of predictions: Shapley values, model cards and the transparency report."""
 
 from itertools import combinations
 from math import comb, factorial
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from probity.functions.checks import require_columns
 from probity.operators.prep import sample_rows
-from probity.operators.scoring import evaluation
+from probity.operators.scoring import evaluation, sigmoid
+from probity.operators.surrogates import local_surrogates
 
 BACKGROUND_ROWS = 100
 ZERO = 1e-12
@@ -27,11 +28,12 @@ def background(df, id_column, features, rows=BACKGROUND_ROWS, seed=42) -> DataFr
 def linear_shap(df, model, means, keep=()) -> DataFrame:
     """Exact values of a linear score for every row: weight times distance from the mean.
 
-    ``means`` has one row with the background mean of each feature.
+    ``means`` has one row with the background mean of each feature. The
+    predicted class and the probability of class 1 stand beside the score.
     """
     centre = means.select(F.struct(*model.features)).scalar()
     return df.select(
-        *keep, model.score().alias("score"),
+        *keep, model.score().alias("score"), (model.score() >= 0).cast("int").alias("prediction"), sigmoid(model.score()).alias("probability"),
         model.score({f: centre[f] for f in model.features}).alias("base_value"),
         *[(F.lit(float(w)) * (F.col(f) - centre[f])).alias(f"phi_{f}") for f, w in zip(model.features, model.weights)])
 
@@ -94,40 +96,48 @@ def _sampled_coalitions(count, samples, seed):
     return masks + [[False] * count, [True] * count], block.tolist()
 
 
-def shapley_values(df, id_column, features, sample, scorer, samples=None, seed=42) -> DataFrame:
+def shapley_values(df, id_column, features, sample, scorer, samples=None, seed=42, threshold=0.5) -> DataFrame:
     """Shapley values of any model, one row per input row.
 
     ``scorer`` adds a ``score`` column to a DataFrame with the features (a Column
-    expression, a Spark ML model or ``score_with``). Every row is expanded with
+    expression, a Spark ML model or ``score_with``): the probability of class 1, which is
+    predicted from ``threshold`` on. Every row is expanded with
     the coalitions and the background sample inside its task, and all of it is
-    added up before the shuffle, so only one row per input row is sent. Values
+    added up before the shuffle, so only one row per input row is sent. The empty
+    coalition is the same for all rows and the full one needs no background. Values
     are exact unless ``samples`` asks for so many coalitions; ``method`` says which.
+    ``trees.tree_shap`` does the same for tree ensembles without coalitions.
     """
     features = list(features)
     require_columns(df, [id_column, *features])
     spark = df.sparkSession
-    masks, weights = coalitions(len(features), samples, seed)
-    # Rows carry the number of their coalition; what is in it is looked up where it is needed.
+    every, coefficients = coalitions(len(features), samples, seed)
+    of_empty = [sum(x) for x in zip(*[w for m, w in zip(every, coefficients) if not any(m)])]
+    of_full = [sum(x) for x in zip(*[w for m, w in zip(every, coefficients) if all(m)])]
+    mixed_ones = [(m, w) for m, w in zip(every, coefficients) if any(m) and not all(m)]
+    # Rows carry the number of their coalition, the full one last; what is in it is looked up where it is needed.
     plan = spark.createDataFrame(
-        [([list(m) for m in masks], [[float(x) for x in w] for w in weights], [sum(m) for m in masks])],
-        "inside array<array<boolean>>, weight array<array<double>>, size array<int>")
-    inside, weight, sizes = (plan.select(c).scalar() for c in plan.columns)
-    sample_list = sample.agg(
-        F.collect_list(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))).scalar()
-    expanded = (
-        df.select(id_column, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("_c")).select("*", F.explode(sample_list).alias("_b"))
-    )
+        [([list(m) for m, _ in mixed_ones] + [[True] * len(features)], [[float(x) for x in w] for _, w in mixed_ones] + [[float(x) for x in of_full]])],
+        "inside array<array<boolean>>, weight array<array<double>>")
+    inside, weight = (plan.select(c).scalar() for c in plan.columns)
+    doubles = [F.col(f).cast("double").alias(f) for f in features]
+    sample_list = sample.agg(F.collect_list(F.struct(*doubles))).scalar()
+    base = scorer(sample.select(*doubles)).agg(F.avg("score")).scalar()
+    count = F.size(sample_list)
+    expanded = df.select(id_column, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features]).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(len(mixed_ones)) * count)).alias("_i")
+    ).withColumns({"_c": F.floor(F.col("_i") / count).cast("int"), "_b": sample_list[F.col("_i") % count]})
     mixed = expanded.select(id_column, "_c", *[
         F.when(inside[F.col("_c")][j], F.col(f"_x_{f}")).otherwise(F.col("_b")[f]).alias(f) for j, f in enumerate(features)])
-    size = sizes[F.col("_c")]
-    scored = scorer(mixed)
-    rows = F.count_if(size == 0)
-    return scored.groupBy(id_column).agg(
-        F.avg(F.when(size == 0, F.col("score"))).alias("base_value"),
-        F.avg(F.when(size == len(features), F.col("score"))).alias("score"),
-        *[(F.sum(F.col("score") * weight[F.col("_c")][j]) / rows).alias(f"phi_{f}") for j, f in enumerate(features)],
-    ).withColumn("method", F.lit("exact" if samples is None else f"sampled {samples}"))
+    full = F.col("_c") == len(mixed_ones)
+    # A coalition counts by the mean over the background.
+    share = F.when(full, F.col("score")).otherwise(F.col("score") / count)
+    sums = scorer(mixed).groupBy(id_column).agg(
+        F.max(F.when(full, F.col("score"))).alias("score"), *[F.sum(share * weight[F.col("_c")][j]).alias(f"phi_{f}") for j, f in enumerate(features)])
+    return sums.select(
+        id_column, base.alias("base_value"), "score",
+        *[(F.col(f"phi_{f}") + base * F.lit(float(of_empty[j]))).alias(f"phi_{f}") for j, f in enumerate(features)],
+        F.lit("exact" if samples is None else f"sampled {samples}").alias("method"), (F.col("score") >= threshold).cast("int").alias("prediction"))
 
 
 def long_values(values, id_column, features) -> DataFrame:
@@ -170,75 +180,6 @@ def zero_warning(contributions) -> DataFrame:
         "method", F.when(F.col("zero"), ZERO_WARNING).alias("warning"))
 
 
-# --- Local surrogates ---------------------------------------------------------------
-
-def _uniform(*parts):
-    whole = F.shiftrightunsigned(F.xxhash64(*parts), 11)
-    return (whole.cast("double") + 0.5) / F.lit(float(1 << 53))
-
-
-def local_surrogates(df, id_column, features, spread, scorer, perturbations=1000, num_features=10, seed=42, ridge=1.0) -> DataFrame:
-    """Weighted linear surrogates around each row: (id, feature, weight, surrogate, score, rank).
-
-    Each row is perturbed inside its task with noise fixed by its key; the sums
-    of the least-squares equations are added up before the shuffle and a small
-    system is solved per row. ``spread`` has one row with each feature's
-    deviation.
-    """
-    features = list(features)
-    d = len(features)
-    scale = spread.select(F.struct(*features)).scalar()
-    base = df.select(id_column, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
-    drawn = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(perturbations))).alias("_n"))
-
-    def noise(j):
-        u, v = (_uniform(id_column, F.col("_n"), F.lit(2 * j + k), F.lit(seed)) for k in (0, 1))
-        return F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v))
-
-    drawn = drawn.withColumns({f"_z_{f}": noise(j) for j, f in enumerate(features)})
-    moved = drawn.withColumns({
-        f: F.col(f"_x_{f}") + F.col(f"_z_{f}") * F.coalesce(scale[f], F.lit(0.0)) for f in features})
-    scored = scorer(moved)
-    z = [F.col(f"_z_{f}") for f in features]
-    distance = sum((c * c for c in z[1:]), z[0] * z[0])
-    width = 0.75 * np.sqrt(d)
-    weight = F.exp(-distance / F.lit(float(width * width)))
-    terms = [F.lit(1.0), *z]
-    sums = {f"a{i}_{j}": F.sum(weight * terms[i] * terms[j]) for i in range(d + 1) for j in range(i, d + 1)}
-    sums.update({f"b{i}": F.sum(weight * terms[i] * F.col("score")) for i in range(d + 1)})
-    sums["score"] = F.max(F.when(F.col("_n") == 0, F.col("score")))
-    equations = scored.groupBy(id_column).agg(*[v.alias(k) for k, v in sums.items()])
-    id_type = df.schema[id_column].dataType.simpleString()
-
-    def solve(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                a = np.empty((d + 1, d + 1))
-                for i in range(d + 1):
-                    for j in range(i, d + 1):
-                        a[i, j] = a[j, i] = getattr(row, f"a{i}_{j}")
-                b = np.array([getattr(row, f"b{i}") for i in range(d + 1)])
-                penalty = ridge * np.eye(d + 1)
-                penalty[0, 0] = 0.0
-                beta = np.linalg.solve(a + penalty, b)
-                order = np.argsort(-np.abs(beta[1:]), kind="stable")[:num_features]
-                out += [(getattr(row, id_column), features[k], float(beta[k + 1]), float(beta[0]), row.score, r + 1)
-                        for r, k in enumerate(order)]
-            yield type(batch)(out, columns=[id_column, "feature", "weight", "surrogate", "score", "rank"])
-
-    return equations.mapInPandas(
-        solve, f"`{id_column}` {id_type}, feature string, weight double, surrogate double, score double, rank int")
-
-
-def fidelity(surrogates, id_column) -> DataFrame:
-    """1 - mean distance of model and surrogate, within [0, 1]; 0 when there is nothing to compare."""
-    per_row = surrogates.groupBy(id_column).agg(F.first("score").alias("f"), F.first("surrogate").alias("g"))
-    distance = F.avg(F.abs(F.col("f") - F.col("g")))
-    # least and greatest skip nulls, so the distance must be filled in first.
-    return per_row.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(distance, F.lit(1.0)))).alias("fidelity"))
-
-
 # --- Model card and transparency checks --------------------------------------------------
 
 def model_card(train_rows, test, features, y_true, y_pred, info=None) -> DataFrame:
@@ -285,9 +226,8 @@ def transparency_report(df, id_column, features, scorer, y_true=None, y_pred="pr
     card = model_card(df if training is None else training, df, features, y_true, y_pred)
     surrogates = None
     if with_surrogates:
-        spread = df.agg(*[F.stddev_samp(f).alias(f) for f in features])
         near = df if surrogate_rows is None else sample_rows(df, id_column, surrogate_rows, seed)
-        surrogates = local_surrogates(near, id_column, features, spread, scorer)
+        surrogates = local_surrogates(near, id_column, features, df if training is None else training, scorer, seed=seed)
     return {
         "status": "completed", "values": values, "importance": importance, "card": card, "surrogates": surrogates,
         "checks": transparency_checks(importance, values, card, surrogates),

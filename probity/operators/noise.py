@@ -73,7 +73,11 @@ def noise_scales(df, quasi_identifiers, target_epsilon=1.0) -> DataFrame:
 
 def uniform(id_columns, salt):
     """A number in (0, 1) fixed by the row's key and the salt."""
-    text = F.concat_ws(":", *[F.col(c).cast("string") for c in id_columns], F.lit(str(salt)))
+    return uniform_of(F.concat_ws(":", *[F.col(c).cast("string") for c in id_columns], F.lit(str(salt))))
+
+
+def uniform_of(text):
+    """A number in (0, 1) fixed by a text."""
     whole = F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
     return (whole + 0.5) / F.lit(float(1 << HASH_BITS))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.checks import numeric_columns, require_columns, string_columns
-from probity.functions.ordering import rank_by_position, rank_distinct, shuffle_key, split_by_share
+from probity.functions.lookup import looked_up, looked_up_all
+from probity.functions.ordering import rank_by_position, rank_unique, shuffle_key, split_by_share
 from probity.operators.profile import medians
 
 # Words that mark a positive text label, and the benchmark label words.
@@ -37,28 +38,30 @@ def incomplete_count(df, columns) -> DataFrame:
 
 
 def first_appearance_codes(df, columns, order_by) -> DataFrame:
-    """(column, value, code): codes in the order values first appear by ``order_by``."""
+    """(column, value, rows, code): codes in the order values first appear by ``order_by``, and how many rows have the value."""
     if dict(df.dtypes)[order_by] not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError("order_by must be an integer column")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
     firsts = (
         df.select(order_by, F.inline(pairs)).where("value IS NOT NULL")
-        .groupBy("column", "value").agg(F.min(order_by).cast("bigint").alias("first_position"))
+        .groupBy("column", "value").agg(F.min(order_by).cast("bigint").alias("first_position"), F.count(F.lit(1)).alias("rows"))
     )
-    return rank_by_position(firsts, ["column"], "first_position", "value")
+    return rank_by_position(firsts, ["column"], "first_position", "value", ["rows"])
 
 
 def encode_first_appearance(df, order_by, columns=None, null_code=-1) -> DataFrame:
-    """String columns replaced by first-appearance codes, missing values by ``null_code``."""
+    """String columns replaced by first-appearance codes, missing values by ``null_code``.
+
+    The codes of all columns come from one pass. Frequent values are looked up
+    where the rows are; only rows with a rare value are shuffled.
+    """
     columns = string_columns(df) if columns is None else columns
     if not columns:
         return df
-    out = df
-    for c in columns:
-        # One column at a time, so that each scan reads the key and that column only.
-        mine = first_appearance_codes(df, [c], order_by).select(
-            F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        out = out.join(mine, F.col(c) == F.col(f"_v_{c}"), "left")
+    codes = first_appearance_codes(df, columns, order_by)
+    out = looked_up_all(df, {
+        c: (codes.where(F.col("column") == c).select(F.col("value").alias(c), "rows", F.col("code").alias(f"_c_{c}")), f"_c_{c}")
+        for c in columns}, order_by)
     return out.select(*[
         F.coalesce(F.col(f"_c_{c}"), F.lit(null_code)).cast("bigint").alias(c) if c in columns else F.col(c)
         for c in df.columns
@@ -66,13 +69,13 @@ def encode_first_appearance(df, order_by, columns=None, null_code=-1) -> DataFra
 
 
 def alphabetical_codes(df, column) -> DataFrame:
-    """(value, code) with codes in value order."""
-    return rank_distinct(df.select(F.col(column).alias("value")), "value")
+    """(value, rows, code) with codes in value order."""
+    return rank_unique(df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows")), "value")
 
 
 def encode_alphabetical(df, column) -> DataFrame:
-    codes = alphabetical_codes(df, column).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
-    return df.join(codes, F.col(column) == F.col("_v"), "left").select(*[
+    codes = alphabetical_codes(df, column).select(F.col("value").alias(column), "rows", F.col("code").alias("_c"))
+    return looked_up(df, codes, [column]).select(*[
         F.coalesce(F.col("_c"), F.lit(-1)).cast("bigint").alias(c) if c == column else F.col(c)
         for c in df.columns
     ])

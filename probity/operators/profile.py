@@ -1,23 +1,26 @@
 """Column profiles.
 
-``value_counts`` turns the columns into rows (column, value) and counts them
-once; distinct counts, top values and small-domain counts are all read from it,
-so a profile costs one shuffle however many columns it covers. Numeric
-statistics are one wide aggregate without a shuffle of the data.
+Columns are turned into rows and counted once per different value, numbers as
+numbers and texts by keys of bounded length; distinct counts, medians, top
+values and small-domain counts are all read from these counts. A long text is
+never shuffled for its own sake: its key is its beginning and a digest, and the
+few texts that a result shows are fetched by key.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions import checks
+from probity.functions.ordering import order_statistics
 from probity.functions.partitioning import spread_small
 
 NULL_DISPLAY = "<NULL>"
 LIKELY_SENSITIVE_RATIO = 0.7
 SMALL_DOMAIN = 20
-QUANTILE_STEPS = 100
-QUANTILE_ACCURACY = 2000
-RANKED_ROWS = 200_000
+#: Characters of a text that its key keeps; a longer one goes on with a digest of the whole text.
+KEY_CHARACTERS = 64
+#: Most keys that every task compares its rows with before it shuffles them.
+LISTED_KEYS = 256
 
 
 def first_rows(df, order_by, max_rows=10_000) -> DataFrame:
@@ -35,24 +38,97 @@ def column_kinds(df):
     }
 
 
-def _as_text(df, column):
+def _counted_as_number(df, column):
+    """Whether the column's values fit eight bytes, so that they are counted without a text."""
     dtype = dict(df.dtypes)[column]
-    value = F.col(f"`{column}`")
-    # Adding 0.0 makes the two zeros one value.
-    return (value + F.lit(0.0)).cast("string") if dtype in ("float", "double") else value.cast("string")
+    return dtype in ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "date")
 
 
-def value_counts(df, columns=None) -> DataFrame:
-    """Rows per (column, value); a null value is kept as null."""
-    columns = list(column_kinds(df)) if columns is None else columns
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in columns])
-    return spread_small(df.select(*columns)).select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def _number(df, column):
+    """(key, value) of a number, time or date: the key tells all values apart, the value is a double."""
+    dtype, value = dict(df.dtypes)[column], F.col(f"`{column}`")
+    if dtype in ("float", "double"):
+        value = value.cast("double") + F.lit(0.0)  # the two zeros are one value
+        # One to one on eight bytes.
+        return F.when(value.isNotNull(), F.xxhash64(value)), value
+    if dtype == "timestamp":
+        value = F.unix_micros(value)
+    elif dtype == "date":
+        value = F.unix_date(value)
+    return value.cast("bigint"), value.cast("double")
 
 
-def column_counts(df, approximate=False) -> DataFrame:
+def _text_of_number(df, column, key, value):
+    """A counted number as the cast of the column itself would write it."""
+    dtype = dict(df.dtypes)[column]
+    if dtype in ("float", "double"):
+        return value.cast(dtype).cast("string")
+    if dtype == "timestamp":
+        return F.timestamp_micros(key).cast("string")
+    return F.date_from_unix_date(key.cast("int")).cast("string") if dtype == "date" else key.cast("string")
+
+
+def number_counts(df, columns) -> DataFrame:
+    """(column, key, value, n): rows per different value of columns of numbers, times and dates; nulls as null."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), k.alias("key"), v.alias("value")) for c in columns for k, v in [_number(df, c)]])
+    return spread_small(df.select(*[F.col(f"`{c}`") for c in columns])).select(F.inline(pairs)).groupBy("column", "key", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _text_key(value):
+    text = value.cast("string")
+    # No short text is as long as a key with a digest.
+    return F.when(F.length(text) <= KEY_CHARACTERS, text).otherwise(F.concat(F.substring(text, 1, KEY_CHARACTERS), F.md5(text.cast("binary"))))
+
+
+def _text_pairs(df, columns, *more):
+    return F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _text_key(F.col(f"`{c}`")).alias("key"), *[m(c) for m in more]) for c in columns]))
+
+
+def text_counts(df, columns) -> DataFrame:
+    """(column, key, n): rows per different value of other columns; a key holds the whole text or its beginning and a digest."""
+    return spread_small(df.select(*[F.col(f"`{c}`") for c in columns])).select(_text_pairs(df, columns)).groupBy("column", "key").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _is_short(key):
+    return F.length(key) <= KEY_CHARACTERS
+
+
+def shown_texts(df, columns, wanted) -> DataFrame:
+    """``wanted`` (column, key, ...) with ``value``, the text that each key stands for (null for a null key).
+
+    Short keys are the texts. For the others the table is read again; if few keys are
+    wanted, as for a list of top values, all other rows are dropped where they are.
+    """
+    long = wanted.where(~_is_short("key")).select("column", "key")
+    listed = long.limit(LISTED_KEYS + 1).agg(F.collect_list("key").alias("keys")).select(
+        F.when(F.size("keys") <= LISTED_KEYS, F.col("keys"))).scalar()
+    # Only where there is a long text at all is its digest compared.
+    rows = df.select(_text_pairs(df, columns, lambda c: F.col(f"`{c}`").cast("string").alias("value"))).where(
+        ~_is_short("key") & (listed.isNull() | F.array_contains(listed, F.col("key"))))
+    texts = rows.join(long, ["column", "key"], "left_semi").groupBy("column", "key").agg(F.min("value").alias("value"))
+    return wanted.where(_is_short("key") | F.col("key").isNull()).withColumn("value", F.col("key")).unionByName(
+        wanted.where(~_is_short("key")).join(texts, ["column", "key"]))
+
+
+def _split(df, columns):
+    numbers = [c for c in columns if _counted_as_number(df, c)]
+    return numbers, [c for c in columns if c not in numbers]
+
+
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def column_counts(df, approximate=False, numbers=None) -> DataFrame:
     """Distinct and missing values of every column.
 
     The approximate form needs no shuffle of values and suits very wide tables.
+    ``numbers`` are the counts of the columns of numbers, where the caller has them.
     """
     kinds = column_kinds(df)
     kind_map = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])
@@ -67,11 +143,14 @@ def column_counts(df, approximate=False) -> DataFrame:
             ) for c in kinds
         ])))
     else:
-        counts = value_counts(df).groupBy("column").agg(
+        of_numbers, of_texts = _split(df, list(kinds))
+        parts = [] if not of_numbers else [(number_counts(df, of_numbers) if numbers is None else numbers)]
+        parts += [] if not of_texts else [text_counts(df, of_texts)]
+        counts = _union([p.groupBy("column").agg(
             F.sum("n").alias("rows"),
-            F.count("value").alias("unique_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        )
+            F.count("key").alias("unique_count"),
+            F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        ) for p in parts])
     share = F.coalesce(F.try_divide(F.col("null_count").cast("double"), F.col("rows").cast("double")), F.lit(0.0))
     return counts.select(
         "column", kind_map[F.col("column")].alias("kind"), "rows", "unique_count", "null_count",
@@ -79,81 +158,16 @@ def column_counts(df, approximate=False) -> DataFrame:
     )
 
 
-def _bracket_facts(df, brackets):
-    """Per column: values below the bracket, values inside it, and quantiles of those inside."""
-    grid = F.array(*[F.lit(i / QUANTILE_STEPS) for i in range(QUANTILE_STEPS + 1)])
-    return df.agg(*[
-        F.struct(
-            F.count_if(_below(c, low)).alias("below"),
-            F.count(_inside(c, low, high)).alias("inside"),
-            F.percentile_approx(_inside(c, low, high), grid, QUANTILE_ACCURACY).alias("quantiles"),
-        ).alias(c) for c, (low, high) in brackets.items()
-    ]).first()
-
-
-def _below(column, low):
-    return F.lit(False) if low is None else F.col(column) < F.lit(low)
-
-
-def _inside(column, low, high):
-    value = F.col(column)
-    for bound, ok in ((low, value >= F.lit(low)), (high, value <= F.lit(high))):
-        if bound is not None:
-            value = F.when(ok, value)
-    return value
-
-
-def _narrowed(bracket, low_rank, high_rank, facts):
-    """The quantiles around the wanted ranks, a step of margin on both sides for their error."""
-    step = QUANTILE_STEPS / facts["inside"]
-    lower = int((low_rank - facts["below"]) * step) - 1
-    upper = int((high_rank - facts["below"]) * step) + 2
-    low, high = bracket
-    return (facts["quantiles"][lower] if lower > 0 else low,
-            facts["quantiles"][upper] if upper < QUANTILE_STEPS else high)
-
-
-def medians(df, columns, ranked_rows=RANKED_ROWS) -> DataFrame:
-    """Exact medians without bringing a column into one task.
-
-    A pass counts the values of every column and takes approximate quantiles; the
-    next looks only between the quantiles around the middle, until at most
-    ``ranked_rows`` values of a column are left or a bracket cannot shrink
-    because one value fills it. What is left is counted by value and ranked.
-    Each pass keeps some four percent, so a few passes do for any size; only
-    the bounds, a few numbers per column, come to the driver.
-    """
-    names = [f"c{i}" for i in range(len(columns))]
-    values = spread_small(df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)]))
-    brackets, ranks = {n: (None, None) for n in names}, None
-    while True:
-        facts = _bracket_facts(values, brackets)
-        if ranks is None:
-            ranks = {n: ((facts[n]["inside"] - 1) // 2, facts[n]["inside"] // 2) for n in names if facts[n]["inside"]}
-        narrowed = {
-            n: _narrowed(brackets[n], *ranks[n], facts[n]) if facts[n]["inside"] > ranked_rows else brackets[n] for n in ranks}
-        if all(narrowed[n] == brackets[n] for n in ranks):
-            break
-        brackets = narrowed
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(
-        [(columns[names.index(n)], low - facts[n]["below"], high - facts[n]["below"]) for n, (low, high) in ranks.items()],
-        "column string, low_rank bigint, high_rank bigint")
-    if not ranks:
-        return wanted.select("column", F.lit(None).cast("double").alias("median"))
-    rows = F.array(*[
-        F.struct(F.lit(columns[names.index(n)]).alias("column"), _inside(n, *brackets[n]).alias("value")) for n in ranks])
-    counted = values.select(F.inline(rows)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(wanted), "column")
-    first_above = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("value")))
-    return ranked.groupBy("column").agg(
-        ((first_above("low_rank") + first_above("high_rank")) / 2).alias("median")
-    )
+def medians(df, columns, numbers=None) -> DataFrame:
+    """Exact medians without bringing a column into one task; see ``order_statistics``."""
+    if numbers is None:
+        numbers = number_counts(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), columns)
+    else:
+        numbers = numbers.where(F.col("column").isin(list(columns)))
+    return order_statistics(numbers, [0.5]).select("column", F.col("value").alias("median"))
 
 
-def numeric_stats(df, columns=None, approximate=False) -> DataFrame:
+def numeric_stats(df, columns=None, approximate=False, numbers=None) -> DataFrame:
     """Minimum, maximum, mean, median and sample deviation of numeric columns."""
     columns = checks.numeric_columns(df) if columns is None else columns
     wide = df.agg(*[
@@ -169,7 +183,11 @@ def numeric_stats(df, columns=None, approximate=False) -> DataFrame:
         F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`")[f].alias(f) for f in fields]) for c in columns
     ])))
     if not approximate:
-        stats = stats.join(F.broadcast(medians(df, columns)), "column", "left")
+        # Columns that are counted as texts (decimals) are counted once more as numbers.
+        others = [c for c in columns if not _counted_as_number(df, c)]
+        known = [c for c in columns if c not in others]
+        parts = ([medians(df, known, numbers)] if known else []) + ([medians(df, others)] if others else [])
+        stats = stats.join(F.broadcast(_union(parts)), "column", "left")  # one row per column
     return stats.select("column", "min", "max", "mean", "median", "std")
 
 
@@ -177,31 +195,63 @@ def top_values(df, columns=None, limit=10) -> DataFrame:
     """Most frequent values of the non-numeric columns, ties in value order."""
     kinds = column_kinds(df)
     columns = [c for c, k in kinds.items() if k != "numeric"] if columns is None else columns
-    shown = value_counts(df, columns).select(
-        "column", F.coalesce("value", F.lit(NULL_DISPLAY)).alias("value"), F.col("n").alias("count")
-    )
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    return shown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    of_numbers, of_texts = _split(df, columns)
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "shown")
+    parts = []
+    if of_numbers:
+        # Their texts are short.
+        parts.append(_number_texts(df, of_numbers, number_counts(df, of_numbers)).select(
+            "column", F.coalesce("value", F.lit(NULL_DISPLAY)).alias("shown"), "n"))
+    if of_texts:
+        # All that can be among the first by count and the beginning of the text; only those that begin alike need the rest.
+        begins = Window.partitionBy("column").orderBy(F.desc("n"), F.coalesce(F.substring("key", 1, KEY_CHARACTERS), F.lit(NULL_DISPLAY)))
+        first = text_counts(df, of_texts).withColumn("place", F.rank().over(begins)).where(F.col("place") <= limit)
+        parts.append(shown_texts(df, of_texts, first).select("column", F.coalesce("value", F.lit(NULL_DISPLAY)).alias("shown"), "n"))
+    return _union(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
+        "column", F.col("shown").alias("value"), F.col("n").alias("count"), "rank")
+
+
+def _number_texts(df, columns, counts):
+    """(column, value as text, n) of counted numbers."""
+    text = F.lit(None).cast("string")
+    for c in columns:
+        text = F.when(F.col("column") == c, _text_of_number(df, c, F.col("key"), F.col("value"))).otherwise(text)
+    return counts.select("column", text.alias("value"), "n")
 
 
 def small_domain_counts(df, max_values=SMALL_DOMAIN) -> DataFrame:
-    """All counts of the columns that have at most ``max_values`` distinct values."""
-    counts = value_counts(df)
-    small = counts.groupBy("column").agg(F.count("value").alias("distinct")).where(F.col("distinct") <= max_values)
-    return (
-        counts.where(F.col("value").isNotNull())
-        .join(F.broadcast(small.select("column")), "column", "left_semi")
-        .select("column", "value", F.col("n").alias("count"))
-    )
+    """All counts of the columns that have at most ``max_values`` distinct values.
+
+    A column leaves as soon as it has more: each task and each reducer sends at most one value more than that.
+    """
+    of_numbers, of_texts = _split(df, list(column_kinds(df)))
+
+    def small(counts):
+        least = Window.partitionBy("column").orderBy("key")
+        known = counts.where(F.col("key").isNotNull())
+        some = known.withColumn("place", F.row_number().over(least)).where(F.col("place") <= max_values + 1)
+        every = Window.partitionBy("column")
+        return some.withColumn("distinct", F.max("place").over(every)).where(F.col("distinct") <= max_values).drop("place", "distinct")
+
+    parts = []
+    if of_numbers:
+        parts.append(_number_texts(df, of_numbers, small(number_counts(df, of_numbers))))
+    if of_texts:
+        parts.append(shown_texts(df, of_texts, small(text_counts(df, of_texts))).select("column", "value", "n"))
+    return _union(parts).select("column", "value", F.col("n").alias("count"))
 
 
 def column_profile(df, approximate=False) -> DataFrame:
     """Counts of every column with the statistics of the numeric ones."""
-    counts = column_counts(df, approximate)
+    numbers = None
+    if not approximate:
+        of_numbers, _ = _split(df, list(column_kinds(df)))
+        numbers = number_counts(df, of_numbers) if of_numbers else None
+    counts = column_counts(df, approximate, numbers)
     if not checks.numeric_columns(df):
         empty = [F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean", "median", "std")]
         return counts.select("*", *empty)
-    return counts.join(F.broadcast(numeric_stats(df, approximate=approximate)), "column", "left")
+    return counts.join(F.broadcast(numeric_stats(df, approximate=approximate, numbers=numbers)), "column", "left")
 
 
 def likely_sensitive(profile) -> DataFrame:

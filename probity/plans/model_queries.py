@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import constants as C
 from probity.functions import template_catalog as catalog
-from probity.operators import elicit, explain, scoring, templates, training
+from probity.operators import elicit, explain, scoring, surrogates, templates, training, trees
 from probity.operators.prep import sample_rows
 from probity.plans.registry import register
 from probity.sources import benchmarks
@@ -117,7 +117,7 @@ def linear_values(spark, directory):
 @register("shap_linear", loans_sql(MEANS_SQL + f"""
     SELECT row_id, ROUND(z, 6) AS score, ROUND(-1.0::DOUBLE + 0.4 * mp + -0.2 * mb + 0.05 * mn, 6)::DOUBLE AS base_value,
            ROUND(0.4 * (price - mp), 6)::DOUBLE AS phi_price, ROUND(-0.2 * (balance - mb), 6)::DOUBLE AS phi_balance,
-           ROUND(0.05 * (nation - mn), 6)::DOUBLE AS phi_nation FROM scored, means"""))
+           ROUND(0.05 * (nation - mn), 6)::DOUBLE AS phi_nation, prediction, ROUND(probability, 6)::DOUBLE AS probability FROM scored, means"""))
 def shap_linear(spark, directory):
     out = linear_values(spark, directory)
     return out.select("row_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "row_id"])
@@ -157,10 +157,53 @@ def game_values(spark, directory):
 
 @register("shap_any_model", GAME_SQL + """
     SELECT row_id, ROUND(base_value, 6)::DOUBLE AS base_value, ROUND(score, 6)::DOUBLE AS score, ROUND(phi_price, 6)::DOUBLE AS phi_price,
-           ROUND(phi_balance, 6)::DOUBLE AS phi_balance, ROUND(phi_nation, 6)::DOUBLE AS phi_nation, 'exact' AS method FROM phi""")
+           ROUND(phi_balance, 6)::DOUBLE AS phi_balance, ROUND(phi_nation, 6)::DOUBLE AS phi_nation, 'exact' AS method,
+           CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM phi""")
 def shap_any_model(spark, directory):
     out = game_values(spark, directory)
-    return out.select("row_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("row_id", "method")], "method")
+    return out.withColumns({c: F.round(c, 6) for c in ("base_value", "score", *[f"phi_{f}" for f in FEATURES])})
+
+
+#: Three small trees: (value, feature, threshold, left, right) by node.
+OWN_TREES = (
+    {0: (0, 0, 1.2, 1, 2), 1: (0, 1, 3.0, 3, 4), 2: (0.5, -1, 0, -1, -1), 3: (0.05, -1, 0, -1, -1), 4: (0.2, -1, 0, -1, -1)},
+    {0: (0, 2, 11.5, 1, 2), 1: (0, 0, 0.9, 3, 4), 2: (0, 0, 1.8, 5, 6), 3: (0.02, -1, 0, -1, -1), 4: (0.25, -1, 0, -1, -1),
+     5: (0.1, -1, 0, -1, -1), 6: (0.3, -1, 0, -1, -1)},
+    {0: (0, 1, 5.0, 1, 2), 1: (0.08, -1, 0, -1, -1), 2: (0, 1, 8.0, 3, 4), 3: (0.15, -1, 0, -1, -1), 4: (0.2, -1, 0, -1, -1)},
+)
+TREES_SQL = """CASE WHEN {price} <= 1.2 THEN CASE WHEN {balance} <= 3 THEN 0.05 ELSE 0.2 END ELSE 0.5 END::DOUBLE
+    + CASE WHEN {nation} <= 11.5 THEN CASE WHEN {price} <= 0.9 THEN 0.02 ELSE 0.25 END WHEN {price} <= 1.8 THEN 0.1 ELSE 0.3 END::DOUBLE
+    + CASE WHEN {balance} <= 5 THEN 0.08 WHEN {balance} <= 8 THEN 0.15 ELSE 0.2 END::DOUBLE"""
+_LOGISTIC = GAME_SQL[GAME_SQL.index("1 / (1 + EXP(-(-1.0::DOUBLE + 0.4 * CASE"):GAME_SQL.index(" AS v\n        FROM chosen")]
+TREE_GAME_SQL = GAME_SQL.replace(_LOGISTIC, TREES_SQL.format(
+    price="CASE WHEN m.mask & 1 = 1 THEN c.price ELSE b.price END", balance="CASE WHEN m.mask & 2 = 2 THEN c.balance ELSE b.balance END",
+    nation="CASE WHEN m.mask & 4 = 4 THEN c.nation ELSE b.nation END"))
+
+
+@register("shap_tree_ensemble", TREE_GAME_SQL + """
+    SELECT row_id, ROUND(base_value, 6)::DOUBLE AS base_value, ROUND(score, 6)::DOUBLE AS score, ROUND(phi_price, 6)::DOUBLE AS phi_price,
+           ROUND(phi_balance, 6)::DOUBLE AS phi_balance, ROUND(phi_nation, 6)::DOUBLE AS phi_nation,
+           CASE WHEN ROUND(score, 6) >= 0.5 THEN 1 ELSE 0 END AS prediction, ROUND(score, 6)::DOUBLE AS probability FROM phi""")
+def shap_tree_ensemble(spark, directory):
+    df = loans(spark, directory)
+    ensemble = trees.TreeEnsemble.of_nodes(FEATURES, OWN_TREES)
+    out = trees.tree_shap(df, "row_id", ensemble, explain.background(df, "row_id", FEATURES), threshold=0.5 - 1e-9)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("row_id", "prediction")})
+
+
+@register("shap_forest", "SELECT o_orderkey AS row_id, TRUE AS adds_up, TRUE AS same_probability, TRUE AS same_class FROM orders JOIN customer ON o_custkey = c_custkey")
+def shap_forest(spark, directory):
+    """Every loan's values under a trained forest of 200 trees, held against the model's own scores."""
+    df = loans(spark, directory).select("row_id", "y_true", *FEATURES)
+    model = training.estimators(FEATURES, "y_true")["random_forest"].fit(df)
+    ensemble = trees.TreeEnsemble.of_model(model.stages[-1], FEATURES, spark)
+    values = trees.tree_shap(scoring.score_pipeline(df, model), "row_id", ensemble, explain.background(df, "row_id", FEATURES),
+                             keep={"prediction": "model_class", "probability": "model_probability"})
+    total = sum((F.col(f"phi_{f}") for f in FEATURES), F.col("base_value"))
+    return values.select(
+        "row_id", (F.abs(total - F.col("score")) < 1e-9).alias("adds_up"),
+        (F.abs(F.col("probability") - F.col("model_probability")) < 1e-9).alias("same_probability"),
+        ((F.col("prediction") == F.col("model_class")) | (F.abs(F.col("probability") - 0.5) < 1e-9)).alias("same_class"))
 
 
 @register("shap_global_importance", GAME_SQL + """
@@ -207,20 +250,87 @@ def explain_zero_warning(spark, directory):
     return explain.zero_warning(both)
 
 
-@register("explain_local_surrogates")
+def _hash_sql(text):
+    return f"((('0x' || SUBSTRING(MD5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+_Z = ("price", "balance", "nation")
+#: The perturbed rows, the sums over them per cell of bins, and every row's system with the row itself as one more sample.
+SURROGATE_SQL = f"""
+    , long AS (""" + " UNION ALL ".join(f"SELECT row_id, '{f}' AS f, {f} AS v FROM loans" for f in _Z) + f"""),
+    cuts AS (SELECT f, QUANTILE_CONT(v, [0.25, 0.5, 0.75]) AS q FROM long GROUP BY f),
+    binned AS MATERIALIZED (SELECT row_id, long.f, v, q, (q[1] < v)::INT + (q[2] < v)::INT + (q[3] < v)::INT AS bin FROM long JOIN cuts ON long.f = cuts.f),
+    bins AS (SELECT f, bin, COUNT(*) AS size, AVG(v) AS mean, STDDEV_POP(v) AS std,
+               CASE WHEN bin = 0 THEN MIN(v) ELSE ANY_VALUE(q)[bin] END AS low, CASE WHEN bin = 3 THEN MAX(v) ELSE ANY_VALUE(q)[bin + 1] END AS high
+        FROM binned GROUP BY f, bin),
+    listed AS (SELECT *, SUM(size) OVER (PARTITION BY f ORDER BY bin) AS upto, SUM(size) OVER (PARTITION BY f) AS total FROM bins),
+    asked AS (SELECT n, f, {_hash_sql("n || ':' || f || ':bin:42'")} AS u FROM (SELECT UNNEST(RANGE(1, 5001)) AS n), cuts),
+    picked AS MATERIALIZED (SELECT n, l.* FROM asked JOIN listed l ON asked.f = l.f AND l.upto > u * l.total AND l.upto - l.size <= u * l.total),
+    tried AS (SELECT n, f, k, mean + std * (SQRT(-2 * LN({_hash_sql("n || ':' || f || ':' || k || ':u:42'")})) * COS(2 * PI() * {_hash_sql("n || ':' || f || ':' || k || ':v:42'")})) AS v,
+               low, high FROM picked, (SELECT UNNEST(RANGE(1, 17)) AS k)),
+    firsts AS (SELECT n, f, ARG_MIN(v, k) AS v FROM tried WHERE v BETWEEN low AND high GROUP BY n, f),
+    drawn AS (SELECT p.n, p.f, p.bin, COALESCE(firsts.v, (p.low + p.high) / 2) AS v FROM picked p LEFT JOIN firsts ON p.n = firsts.n AND p.f = firsts.f),
+    draws AS MATERIALIZED (SELECT *, 1 / (1 + EXP(-(-1.0::DOUBLE + 0.4 * price + -0.2 * balance + 0.05 * nation))) AS y FROM (
+        SELECT n, """ + ", ".join(f"MAX(CASE WHEN f = '{f}' THEN v END) AS {f}, MAX(CASE WHEN f = '{f}' THEN bin END) AS b{i}" for i, f in enumerate(_Z)) + f"""
+        FROM drawn GROUP BY n)),
+    own AS MATERIALIZED (SELECT s.row_id, s.probability AS y, """ + ", ".join(
+        f"MAX(CASE WHEN f = '{f}' THEN bin END) AS b{i}" for i, f in enumerate(_Z)) + """ FROM scored s JOIN binned b ON s.row_id = b.row_id GROUP BY s.row_id, s.probability),
+    weighted AS (SELECT b0, b1, b2, z0, z1, z2, y, EXP(-(3 - z0 - z1 - z2) / (2 * 0.5625 * 3)) AS w FROM (
+        SELECT c.*, d.y, (d.b0 = c.b0)::INT::DOUBLE AS z0, (d.b1 = c.b1)::INT::DOUBLE AS z1, (d.b2 = c.b2)::INT::DOUBLE AS z2
+        FROM (SELECT DISTINCT b0, b1, b2 FROM own) c, draws d)),
+    cells AS MATERIALIZED (SELECT b0, b1, b2, SUM(w) AS s, SUM(w * y) AS t, SUM(w * y * y) AS tt,
+        """ + ", ".join(f"SUM(w * z{i}) AS s{i}, SUM(w * z{i} * y) AS t{i}" for i in range(3)) + """,
+        SUM(w * z0 * z1) AS s01, SUM(w * z0 * z2) AS s02, SUM(w * z1 * z2) AS s12 FROM weighted GROUP BY b0, b1, b2),
+    joined AS (SELECT o.row_id, o.y, o.b0, o.b1, o.b2, s + 1 AS s, t + y AS t, tt + y * y AS tt, """ + ", ".join(
+        f"s{i} + 1 AS s{i}, t{i} + y AS t{i}" for i in range(3)) + """, s01 + 1 AS s01, s02 + 1 AS s02, s12 + 1 AS s12
+        FROM own o JOIN cells c ON o.b0 = c.b0 AND o.b1 = c.b1 AND o.b2 = c.b2),
+    gram AS (SELECT *, """ + ", ".join(f"s{i} - s{i} * s{i} / s AS a{i}{i}, t{i} - s{i} * t / s AS y{i}" for i in range(3)) + """,
+        s01 - s0 * s1 / s AS a01, s02 - s0 * s2 / s AS a02, s12 - s1 * s2 / s AS a12, tt - t * t / s AS spread FROM joined)"""
+
+#: All three features: the ridge system by determinants.
+THREE_SQL = """
+    , det AS (SELECT *, a00 + 1 AS r0, a11 + 1 AS r1, a22 + 1 AS r2 FROM gram),
+    solved AS (SELECT *, (y0 * (r1 * r2 - a12 * a12) - a01 * (y1 * r2 - a12 * y2) + a02 * (y1 * a12 - r1 * y2)) / d AS w0,
+        (r0 * (y1 * r2 - a12 * y2) - y0 * (a01 * r2 - a12 * a02) + a02 * (a01 * y2 - y1 * a02)) / d AS w1,
+        (r0 * (r1 * y2 - y1 * a12) - a01 * (a01 * y2 - y1 * a02) + y0 * (a01 * a12 - r1 * a02)) / d AS w2
+        FROM (SELECT *, r0 * (r1 * r2 - a12 * a12) - a01 * (a01 * r2 - a12 * a02) + a02 * (a01 * a12 - r1 * a02) AS d FROM det)),
+    ready AS (SELECT *, (t - w0 * s0 - w1 * s1 - w2 * s2) / s AS c, CASE WHEN y >= 0.5 THEN 1 ELSE 0 END AS label,
+        1 - (spread - 2 * (w0 * y0 + w1 * y1 + w2 * y2) + w0 * w0 * a00 + w1 * w1 * a11 + w2 * w2 * a22
+             + 2 * (w0 * w1 * a01 + w0 * w2 * a02 + w1 * w2 * a12)) / spread AS fit FROM solved)"""
+
+
+@register("explain_local_surrogates", loans_sql(SURROGATE_SQL + THREE_SQL + """
+    SELECT row_id, label, ROUND(ABS(1 - label - y), 6)::DOUBLE AS score, ROUND(ABS(1 - label - (c + w0 + w1 + w2)), 6)::DOUBLE AS surrogate,
+           ROUND(CASE label WHEN 1 THEN c ELSE 1 - c END, 6)::DOUBLE AS intercept, ROUND(fit, 6)::DOUBLE AS r2,
+           CAST(ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY ABS(w) DESC) AS INTEGER) AS "rank", feature, bin,
+           ROUND((2 * label - 1) * w, 6)::DOUBLE AS weight
+    FROM (SELECT *, UNNEST(['price', 'balance', 'nation']) AS feature, UNNEST([b0, b1, b2]) AS bin, UNNEST([w0, w1, w2]) AS w FROM ready)"""))
 def explain_local_surrogates(spark, directory):
-    return surrogates_of(spark, directory)
+    out = surrogates_of(spark, directory)
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "surrogate", "intercept", "r2", "weight")})
 
 
-def surrogates_of(spark, directory):
+def surrogates_of(spark, directory, **options):
     df = loans(spark, directory)
-    spread = df.agg(*[F.stddev_samp(f).alias(f) for f in FEATURES])
-    return explain.local_surrogates(df, "row_id", FEATURES, spread, probability)
+    return surrogates.local_surrogates(df, "row_id", FEATURES, df, probability, **options)
+
+
+#: One feature chosen by the fit it gives, then its ridge weight.
+@register("explain_surrogate_feature", loans_sql(SURROGATE_SQL + """
+    , gains AS (SELECT row_id, y, s, t, feature, bin, a, b, m FROM (
+        SELECT row_id, y, s, t, UNNEST(['price', 'balance', 'nation']) AS feature, UNNEST([b0, b1, b2]) AS bin, UNNEST([a00, a11, a22]) AS a,
+               UNNEST([y0, y1, y2]) AS b, UNNEST([s0, s1, s2]) AS m, UNNEST([1, 2, 3]) AS place FROM gram)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY b * b / a DESC, place) = 1)
+    SELECT row_id, feature, bin, ROUND(CASE WHEN y >= 0.5 THEN b / (a + 1) ELSE -b / (a + 1) END, 6)::DOUBLE AS weight FROM gains"""))
+def explain_surrogate_feature(spark, directory):
+    out = surrogates_of(spark, directory, num_features=1)
+    return out.select("row_id", "feature", "bin", F.round("weight", 6).alias("weight"))
 
 
-@register("explain_fidelity")
+@register("explain_fidelity", loans_sql(SURROGATE_SQL + THREE_SQL + """
+    SELECT ROUND(GREATEST(0, LEAST(1, 1 - AVG(ABS(y - (c + w0 + w1 + w2))))), 6)::DOUBLE AS fidelity FROM ready"""))
 def explain_fidelity(spark, directory):
-    return explain.fidelity(surrogates_of(spark, directory), "row_id")
+    return surrogates.fidelity(surrogates_of(spark, directory)).select(F.round("fidelity", 6).alias("fidelity"))
 
 
 @register("explain_model_card", loans_sql("""

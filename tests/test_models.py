@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probity.operators import elicit, explain, scoring, templates, training
+from probity.operators import elicit, explain, scoring, surrogates, templates, training
 
 FEATURES = ("a", "b", "c")
 MODEL = scoring.LinearModel(FEATURES, (2.0, -1.0, 0.5), 0.25)
@@ -59,20 +59,6 @@ def test_sampled_coalitions_run_in_spark(spark):
         assert r["phi_x13"] == pytest.approx(want[r["id"]]["phi_x13"], abs=1e-4)
 
 
-def test_surrogates_find_linear_weights_and_fit_them(spark, data):
-    spread = data.agg(*[F.stddev_samp(f).alias(f) for f in FEATURES])
-    scorer = lambda d: d.withColumn("score", MODEL.score())
-    out = explain.local_surrogates(data.where("id < 3"), "id", FEATURES, spread, scorer, perturbations=800, ridge=0.0)
-    deviation = spread.first()
-    for r in out.collect():
-        weight = dict(zip(FEATURES, MODEL.weights))[r["feature"]]
-        assert r["weight"] == pytest.approx(weight * deviation[r["feature"]], rel=1e-6)
-    assert explain.fidelity(out, "id").first()["fidelity"] == pytest.approx(1.0, abs=1e-6)
-    top = explain.local_surrogates(data.where("id < 3"), "id", FEATURES, spread, scorer, num_features=1)
-    assert {r["feature"] for r in top.collect()} == {"a"}
-    assert explain.fidelity(out.limit(0), "id").first()["fidelity"] == 0.0
-
-
 def test_python_and_spark_models_score_the_same(data):
     batch = scoring.score_with(data, FEATURES, lambda x: 2 * x["a"] - x["b"] + 0.5 * x["c"] + 0.25, "score double")
     both = batch.join(MODEL.transform(data).select("id", F.col("score").alias("other")), "id")
@@ -95,7 +81,7 @@ def test_registered_model_queries_do_their_whole_job(spark, small, monkeypatch):
     from probity.plans import model_queries
 
     asked, explained = [], []
-    plain, own = signature(training.train_zoo), explain.local_surrogates
+    plain, own = signature(training.train_zoo), surrogates.local_surrogates
 
     def zoo(*args, **kwargs):
         call = plain.bind(*args, **kwargs)
@@ -103,12 +89,12 @@ def test_registered_model_queries_do_their_whole_job(spark, small, monkeypatch):
         asked.append((call.arguments["trees"], call.arguments["boosting_rounds"]))
         return {}, None, {}
 
-    def surrogates(df, *args, **kwargs):
+    def counted(df, *args, **kwargs):
         explained.append(df.count())
         return own(df, *args, **kwargs)
 
     monkeypatch.setattr(training, "train_zoo", zoo)
-    monkeypatch.setattr(explain, "local_surrogates", surrogates)
+    monkeypatch.setattr(surrogates, "local_surrogates", counted)
     model_queries.train_model_zoo(spark, small)
     assert asked == [(200, 100)]
     rows = model_queries.loans(spark, small).count()
