@@ -8,9 +8,9 @@ bytes; results are remembered per worker as far as a bounded table goes.
 """
 
 import base64
-import heapq
 import os
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,13 @@ MOST_BYTES = 64 << 20
 #: Slots for each key that is still without a place, per level of the perfect hash.
 SLOTS_PER_KEY = 2
 #: Bytes of merged pre-tokens that a worker remembers, with their ids, before it starts anew.
-POOL = 1 << 20
+POOL = 3 << 20
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 18
 #: Bytes of a pre-token from which the links are kept in arrays.
 LONG = 1 << 14
+#: Bits of a heap entry that hold the place.
+PLACE = 40
 
 
 def index_of_ranges(starts, sizes):
@@ -120,6 +122,7 @@ class Vocabulary:
         """What only workers need, made there once."""
         raw = self.flat.tobytes()
         self._ranks = {raw[a:a + n]: i for a, n, i in zip(self.starts.tolist(), self.sizes.tolist(), self.ids.tolist(), strict=True)}
+        self._tables = byte_tables(self._ranks)
         # White space as Unicode has it, which some libraries widen by four control characters.
         self._split = regex.compile(self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self._tiled = self.pattern == TILED
@@ -200,7 +203,7 @@ class Vocabulary:
         """The ids of a pre-token, four bytes each."""
         known = self._known.get(piece)
         if known is None:
-            known = self._known[piece] = array("i", merged(piece, self._ranks, self.longest)).tobytes()
+            known = self._known[piece] = array("i", merged(piece, self._ranks, self.longest, self._tables)).tobytes()
             self._bytes += len(piece)
         return known
 
@@ -223,32 +226,48 @@ class Vocabulary:
 TILED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def merged(piece, ranks, longest):
+def byte_tables(ranks):
+    """The ids of single bytes, and the ranks of all pairs of bytes (-1: none) at 256 * first + second."""
+    pairs = [-1] * 65_536
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            pairs[token[0] << 8 | token[1]] = rank
+    return [ranks[bytes([b])] for b in range(256)], pairs
+
+
+def merged(piece, ranks, longest, tables=None):
     """Ids of ``piece`` after all merges: a heap of (rank, place) over parts linked by where they end and begin.
 
-    A heap entry is one integer. It counts only while the pair that starts at
-    its place has its rank: a merge changes the ranks of the two pairs beside it.
+    A heap entry is one integer, the rank above the place. It counts only while the pair that
+    starts at its place has its rank: a merge changes the ranks of the two pairs beside it.
+    The merged part's id is that rank.
     """
     size, get = len(piece), ranks.get
-    many = list if size < LONG else lambda values: array("q", values)  # arrays take a fifth of the memory of lists
-    after, before = many(range(1, size + 1)), many(range(-1, size - 1))
-    rank = many([get(piece[i:i + 2], -1) for i in range(size - 1)])
-    heap = [r * size + i for i, r in enumerate(rank) if r >= 0]
-    heapq.heapify(heap)
-    pop, push = heapq.heappop, heapq.heappush
+    single, pairs = byte_tables(ranks) if tables is None else tables
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    rank = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    ids = [single[b] for b in piece]
+    if size >= LONG:  # arrays take a fifth of the memory of lists
+        after, before, rank, ids = array("q", after), array("q", before), array("q", rank), array("q", ids)
+    heap = [r << PLACE | i for i, r in enumerate(rank) if r >= 0]
+    heapify(heap)
+    mask = (1 << PLACE) - 1
     while heap:
-        r, i = divmod(pop(heap), size)
-        if rank[i] != r:
+        entry = heappop(heap)
+        i = entry & mask
+        r = rank[i]
+        if r != entry >> PLACE:
             continue
         gone = after[i]
         stop = after[i] = after[gone]
+        ids[i] = r
         if stop < size:
             rank[gone] = -1
             before[stop] = i
             end = after[stop]
             rank[i] = r = get(piece[i:end], -1) if end - i <= longest else -1
             if r >= 0:
-                push(heap, r * size + i)
+                heappush(heap, r << PLACE | i)
         else:
             rank[i] = -1
             if gone < size - 1:
@@ -257,12 +276,11 @@ def merged(piece, ranks, longest):
             near = before[i]
             rank[near] = r = get(piece[near:stop], -1) if stop - near <= longest else -1
             if r >= 0:
-                push(heap, r * size + near)
+                heappush(heap, r << PLACE | near)
     out, i = [], 0
     while i < size:
-        stop = after[i]
-        out.append(ranks[piece[i:stop]])
-        i = stop
+        out.append(ids[i])
+        i = after[i]
     return out
 
 
