@@ -50,18 +50,19 @@ def in_ranges(rows, order):
 
 
 def rank_unique(rows, column):
-    """``rows``, of which none has the same ``column`` as another, with the zero-based ``code`` in its order; nulls are left out.
+    """``rows``, of which none has the same ``column`` (or columns) as another, with the zero-based ``code`` in its order; nulls are left out.
 
     Rows are range partitioned and sorted; each row's number within its range is
     added to the sizes of the ranges before it: one plan for any size, in which
     the only single task sees one number per range.
     """
-    placed = in_ranges(rows.where(F.col(column).isNotNull()), [column])
+    columns = [column] if isinstance(column, str) else list(column)
+    placed = in_ranges(rows.na.drop(subset=columns), columns)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("_size")).select(
         "part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    numbered = placed.sortWithinPartitions(column).withColumn("_inside", inside)
+    numbered = placed.sortWithinPartitions(*columns).withColumn("_inside", inside)
     # One row per range.
     return numbered.join(F.broadcast(before), "part").select(*rows.columns, (F.col("_before") + F.col("_inside")).alias("code"))
 

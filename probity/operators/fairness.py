@@ -223,17 +223,18 @@ def rules_in_effect(stored, project_id, spark=None, given=None) -> DataFrame:
     )
 
 
-def base_metric_extremes(groups) -> DataFrame:
-    """Lowest and highest group value of each of the nine base metrics."""
+def base_metric_values(groups) -> DataFrame:
+    """(group, base_metric, group_value) of the nine base metrics."""
     values = F.array(*[
         F.struct(F.lit(m).alias("base_metric"), R.base_metric(m).alias("group_value"))
         for m in C.BASE_METRICS
     ])
-    return (
-        groups.select(F.inline(values))
-        .groupBy("base_metric")
-        .agg(F.min("group_value").alias("low"), F.max("group_value").alias("high"))
-    )
+    return groups.select("group", F.inline(values))
+
+
+def base_metric_extremes(groups) -> DataFrame:
+    """Lowest and highest group value of each of the nine base metrics."""
+    return base_metric_values(groups).groupBy("base_metric").agg(F.min("group_value").alias("low"), F.max("group_value").alias("high"))
 
 
 def custom_metrics(groups, rules, thresholds=None, first_position=0) -> DataFrame:
@@ -300,13 +301,18 @@ def overall_verdict(report) -> DataFrame:
 
 
 def fairness_summary(groups) -> DataFrame:
-    """The three ratios at default thresholds and whether all pass, in one row."""
+    """The three ratios at default thresholds and whether all pass, in one row; ``summary_groups`` has the groups."""
     ratios = ["demographic_parity_ratio", "equalized_odds_ratio", "disparate_impact_ratio"]
     report = builtin_metrics(groups, selected=ratios)
     pick = [F.max(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in ratios]
     return report.agg(*pick, F.bool_and("passed").alias("overall_fair"))
 
 
+def summary_groups(groups) -> DataFrame:
+    """What the summary says of each group: its sample size and selection rate."""
+    return groups.select("group", F.col("n").alias("sample_size"), "selection_rate")
+
+
 def by_group(groups) -> DataFrame:
     """The group values behind each built-in metric, as (metric, part, group, value)."""
     sources = {
@@ -345,12 +351,18 @@ def result_rows(validation_id, report, groups) -> DataFrame:
     )
 
 
-def group_value_rows(validation_id, groups) -> DataFrame:
-    """What is stored beside the result rows: (validation_id, metric_name, part, group, value) of every group, matrices included."""
+def group_value_rows(validation_id, groups, rules=None) -> DataFrame:
+    """What is stored beside the result rows: (validation_id, metric_name, part, group, value) of every group,
+    matrices and the base metrics of usable custom rules included."""
     cells = [F.struct(F.lit("group_confusion_matrices").alias("metric_name"), F.lit(c).alias("part"), F.col(c).cast("double").alias("value"))
              for c in ("tn", "fp", "fn", "tp")]
     matrices = groups.select("group", F.inline(F.array(*cells)))
-    return by_group(groups).unionByName(matrices).select(F.lit(validation_id).alias("validation_id"), "metric_name", "part", "group", "value")
+    rows = by_group(groups).unionByName(matrices)
+    if rules is not None:
+        usable = check_rules(rules).where("error IS NULL").select(F.col("name").alias("metric_name"), "base_metric")
+        rows = rows.unionByName(base_metric_values(groups).join(usable, "base_metric").select(
+            "group", "metric_name", F.col("base_metric").alias("part"), F.col("group_value").alias("value")))
+    return rows.select(F.lit(validation_id).alias("validation_id"), "metric_name", "part", "group", "value")
 
 
 def chart_series(groups, report) -> DataFrame:

@@ -255,6 +255,30 @@ def fairness_group_value_rows(spark, directory):
     return rounded(fair.group_value_rows("run-1", fair.group_metrics(orders)), "value")
 
 
+@register("fairness_summary_groups", sql_over(
+    "predictions", """SELECT grp AS "group", n AS sample_size, ROUND(selection_rate, 6) AS selection_rate FROM groups"""))
+def fairness_summary_groups(spark, directory):
+    return rounded(fair.summary_groups(groups_of(spark, directory)), "selection_rate")
+
+
+@register("fairness_rule_group_values", sql_over(
+    "predictions",
+    """, each AS (
+        SELECT grp, 'accuracy_score' AS base_metric, accuracy AS v FROM groups UNION ALL SELECT grp, 'precision_score', prec FROM groups
+        UNION ALL SELECT grp, 'recall_score', tpr FROM groups UNION ALL SELECT grp, 'f1_score', f1 FROM groups
+        UNION ALL SELECT grp, 'selection_rate', selection_rate FROM groups UNION ALL SELECT grp, 'true_positive_rate', tpr FROM groups
+        UNION ALL SELECT grp, 'false_positive_rate', fpr FROM groups UNION ALL SELECT grp, 'true_negative_rate', tnr FROM groups
+        UNION ALL SELECT grp, 'false_negative_rate', fnr FROM groups)
+       SELECT 'run-1' AS validation_id, name AS metric_name, c.base_metric AS part, grp AS "group", ROUND(v, 6) AS value
+       FROM checked c JOIN each e ON c.base_metric = e.base_metric WHERE fault IS NULL""",
+    RULES_SQL, views=("predictions", "g_rules")))
+def fairness_rule_group_values(spark, directory):
+    groups, rules = groups_of(spark, directory), view(spark, directory, "g_rules")
+    built_in = fair.by_group(groups).select("metric_name").distinct()  # seven names
+    rows = fair.group_value_rows("run-1", groups, rules).where("metric_name <> 'group_confusion_matrices'")
+    return rounded(rows.join(F.broadcast(built_in), "metric_name", "left_anti").select(*rows.columns), "value")
+
+
 @register("fairness_chart_series", sql_over(
     "predictions",
     """SELECT 'selection_rate' AS chart, 'selection_rate' AS series, grp AS label, ROUND(selection_rate, 6) AS value FROM groups

@@ -382,49 +382,115 @@ def elicit_proxies(spark, directory):
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
-DATASET_CHECKS_SQL = """
-    WITH shares AS (
-        SELECT 'c_mktsegment' AS a, 1 AS position, 1 - MIN(n)::DOUBLE / SUM(n) AS v FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_mktsegment)
-        UNION ALL SELECT 'c_nationkey', 2, 1 - MIN(n)::DOUBLE / SUM(n) FROM (SELECT COUNT(*) AS n FROM customer GROUP BY c_nationkey)),
+def dataset_checks_sql(source, attributes, numeric, limit, columns, most_columns):
+    """The checks of ``source``; ``attributes`` is {name: is text}, ``numeric`` the numeric columns in order."""
+    parts = []
+    for position, (a, text) in enumerate(attributes.items(), 1):
+        code = f"DENSE_RANK() OVER (ORDER BY {a}) - 1" if text else f"{a}::DOUBLE"
+        pairs = " UNION ALL ".join(
+            f"SELECT {i} AS i, '{c}' AS c, CORR(code, {c}) AS r, COUNT({c}) AS n FROM (SELECT *, {code} AS code FROM {source} WHERE {a} IS NOT NULL)"
+            for i, c in enumerate(numeric) if c != a)
+        parts.append(f"""SELECT {position} AS position, '{a}' AS a, (SELECT 1 - MIN(n)::DOUBLE / SUM(n) FROM (
+                SELECT COUNT(*) AS n FROM {source} WHERE {a} IS NOT NULL GROUP BY {a})) AS v,
+            (SELECT COALESCE(LIST(c ORDER BY i), []::VARCHAR[]) FROM ({pairs}) WHERE ABS(r) > 0.5 AND n >= 10) AS proxies""")
+    return f"""
+    shares AS ({" UNION ALL ".join(parts)}),
     checks AS (
-        SELECT 0 AS position, 'dataset_pii_detection' AS check_id, 'triggered' AS status, 1.0::DOUBLE AS value, NULL::DOUBLE AS threshold
-        UNION ALL SELECT position, 'dataset_imbalance_' || a, CASE WHEN v > 0.4 THEN 'triggered' ELSE 'not_triggered' END, ROUND(v, 4)::DOUBLE, 0.4 FROM shares
-        UNION ALL SELECT 3, 'dataset_sensitive_attr_missing', 'skipped', NULL, NULL
-        UNION ALL SELECT 4, 'dataset_feature_count', 'not_triggered', 5, 20
-        UNION ALL SELECT 5, 'dataset_accountability_baseline', 'triggered', NULL, NULL)"""
+        SELECT 0 AS position, 'dataset_pii_detection' AS check_id, 'triggered' AS status, 1.0::DOUBLE AS value, NULL::DOUBLE AS threshold,
+               'Detected potential PII columns: c_name' AS reason, '{{"pii_columns":["c_name"]}}' AS metadata
+        UNION ALL SELECT position, 'dataset_imbalance_' || a, CASE WHEN v > {limit} THEN 'triggered' ELSE 'not_triggered' END, ROUND(v, 4)::DOUBLE, {limit},
+               CASE WHEN v > {limit} THEN printf('Imbalance %.2f exceeded threshold {limit:.2f} for ''%s''.', v, a)
+                    || CASE WHEN LEN(proxies) > 0 THEN ' Columns that may stand in for it: ' || ARRAY_TO_STRING(proxies, ', ') || '.' ELSE '' END
+                    ELSE printf('Imbalance %.2f is within threshold {limit:.2f} for ''%s''.', v, a) END,
+               CASE WHEN v > {limit} THEN '{{"proxy_variables":[' || ARRAY_TO_STRING(LIST_TRANSFORM(proxies, lambda x: '"' || x || '"'), ',') || ']}}' ELSE '{{}}' END
+        FROM shares
+        UNION ALL SELECT 3, 'dataset_sensitive_attr_missing', 'skipped', NULL, NULL, 'Sensitive attribute ''missing'' is not present in dataset columns.', '{{}}'
+        UNION ALL SELECT 4, 'dataset_feature_count', 'not_triggered', {columns}, {most_columns}, 'Feature count {columns} is within threshold {most_columns}.', '{{}}'
+        UNION ALL SELECT 5, 'dataset_accountability_baseline', 'triggered', NULL, NULL, 'Baseline accountability recommendation is always added.', '{{}}')"""
+
+
+DATASET_CHECKS_SQL = "WITH " + dataset_checks_sql(
+    "customer", {"c_mktsegment": True, "c_nationkey": False}, ["c_custkey", "c_nationkey", "c_acctbal"], 0.4, 5, 20)
+#: Columns that follow an attribute: the length of the segment's name, twice the nation's key (with holes).
+PROXY_CHECKS_SQL = """WITH more AS (
+        SELECT *, LENGTH(c_mktsegment) AS segment_size, CASE WHEN c_custkey % 3 > 0 THEN 2 * c_nationkey END AS twice FROM customer), """ + dataset_checks_sql(
+    "more", {"c_mktsegment": True, "c_nationkey": False}, ["c_custkey", "c_nationkey", "c_acctbal", "segment_size", "twice"], 0.2, 7, 10)
+SPEC_SQL = "CASE principle " + " ".join(f"WHEN '{p}' THEN '{elicit.default_specification(p)}'" for p in C.PRINCIPLES) + " END"
+
+
+def dataset_suggestions_sql(name):
+    return f"""
+    SELECT position, check_id, principle, name, description, elicitation_reason, confidence_score,
+           CASE position WHEN 0 THEN REPLACE({SPEC_SQL}, ']}}', '],"pii_columns":["c_name"]}}') ELSE {SPEC_SQL} END AS specification,
+           TRUE AS elicited_automatically, 'draft' AS status
+    FROM (SELECT position, check_id, CASE position WHEN 0 THEN 'privacy' WHEN 5 THEN 'accountability' ELSE 'fairness' END AS principle,
+           CASE position WHEN 0 THEN 'Privacy Protection — {name}' WHEN 5 THEN 'Accountability — Audit Trail for ''{name}'''
+                ELSE 'Fairness — Demographic Parity on ''' || REPLACE(check_id, 'dataset_imbalance_', '') || '''' END AS name,
+           CASE position WHEN 0 THEN '1 column(s) look personal: c_name. Train only on data without them in which every row shares its quasi-identifiers with four others.'
+                WHEN 5 THEN 'Every validation leaves a record of the model, the data, the measured values and the outcome.'
+                ELSE printf('The groups of ''%s'' are uneven (imbalance %.1f%%). Selection and error rates must stay within four fifths of each other.',
+                            REPLACE(check_id, 'dataset_imbalance_', ''), value * 100)
+                     || CASE WHEN metadata = '{{"proxy_variables":[]}}' THEN '' ELSE ' Also watch ' || REPLACE(REPLACE(
+                         SUBSTRING(metadata, 21, LENGTH(metadata) - 22), '","', ', '), '"', '') || '.' END END AS description,
+           reason AS elicitation_reason,
+           CASE position WHEN 0 THEN 0.9 WHEN 5 THEN 1.0 ELSE ROUND(LEAST(0.95, 0.6 + value), 4) END::DOUBLE AS confidence_score
+    FROM checks WHERE status = 'triggered')"""
 
 
 def dataset_checks_of(spark, directory):
     return elicit.dataset_checks(table(spark, directory, "customer"), ["c_mktsegment", "c_nationkey", "missing"], "lenient")
 
 
+def proxy_checks_of(spark, directory):
+    df = table(spark, directory, "customer").withColumns({
+        "segment_size": F.length("c_mktsegment"), "twice": F.when(F.col("c_custkey") % 3 > 0, 2 * F.col("c_nationkey"))})
+    return elicit.dataset_checks(df, ["c_mktsegment", "c_nationkey", "missing"], "strict")
+
+
 @register("elicit_dataset_checks", DATASET_CHECKS_SQL + " SELECT * FROM checks")
 def elicit_dataset_checks(spark, directory):
-    return dataset_checks_of(spark, directory).drop("reason")
+    return dataset_checks_of(spark, directory)
 
 
-@register("elicit_dataset_suggestions", DATASET_CHECKS_SQL + """
-    SELECT position, CASE position WHEN 0 THEN 'privacy' WHEN 5 THEN 'accountability' ELSE 'fairness' END AS principle,
-           CASE position WHEN 0 THEN 'Privacy Protection — customers' WHEN 5 THEN 'Accountability — Audit Trail for ''customers'''
-                ELSE 'Fairness — Demographic Parity on ''' || REPLACE(check_id, 'dataset_imbalance_', '') || '''' END AS name,
-           CASE position WHEN 0 THEN 0.9 WHEN 5 THEN 1.0 ELSE ROUND(LEAST(0.95, 0.6 + value), 4) END::DOUBLE AS confidence_score, 'draft' AS status
-    FROM checks WHERE status = 'triggered'""")
+@register("elicit_dataset_proxies", PROXY_CHECKS_SQL + " SELECT * FROM checks")
+def elicit_dataset_proxies(spark, directory):
+    return proxy_checks_of(spark, directory)
+
+
+@register("elicit_dataset_suggestions", DATASET_CHECKS_SQL + dataset_suggestions_sql("customers"))
 def elicit_dataset_suggestions(spark, directory):
-    out = elicit.dataset_suggestions(dataset_checks_of(spark, directory), "customers")
-    return out.select("position", "principle", "name", "confidence_score", "status")
+    return elicit.dataset_suggestions(dataset_checks_of(spark, directory), "customers")
 
 
-MODEL_CHECKS_SQL = """
-    , gap AS (SELECT (MAX(n) - MIN(n))::DOUBLE / SUM(n) AS v FROM (SELECT COUNT(*) AS n FROM scored GROUP BY prediction)),
-    impacts AS (
-        SELECT 'segment' AS a, 1 AS position, MIN(r) / MAX(r) AS v FROM (SELECT AVG(prediction) AS r FROM scored GROUP BY segment)
-        UNION ALL SELECT 'nation', 2, MIN(r) / MAX(r) FROM (SELECT AVG(prediction) AS r FROM scored GROUP BY nation)),
-    checks AS (
-        SELECT 0 AS position, 'model_prediction_imbalance' AS check_id, CASE WHEN v > 0.2 THEN 'triggered' ELSE 'not_triggered' END AS status,
-               ROUND(v, 4)::DOUBLE AS value, 0.2::DOUBLE AS threshold FROM gap
-        UNION ALL SELECT position, 'model_disparate_impact_' || a, CASE WHEN v < 0.9 THEN 'triggered' ELSE 'not_triggered' END, ROUND(v, 4), 0.9 FROM impacts
-        UNION ALL SELECT 3, 'model_disparate_impact_missing', 'skipped', NULL, NULL
-        UNION ALL SELECT 4, 'model_feature_count', 'not_triggered', 3, 8)"""
+@register("elicit_proxy_suggestions", PROXY_CHECKS_SQL + dataset_suggestions_sql("more"))
+def elicit_proxy_suggestions(spark, directory):
+    return elicit.dataset_suggestions(proxy_checks_of(spark, directory), "more")
+
+
+def model_checks_sql(first, features, attributes, before=""):
+    """Checks of ``judged`` (attribute columns and the prediction) at strict limits, from position ``first`` on."""
+    impacts = " UNION ALL ".join(f"""
+        SELECT '{a}' AS a, {first + i} AS position, MIN(r) / MAX(r) AS v, COUNT(*) AS n, ARG_MIN(g, (r, g)) AS low_g, MIN(r) AS low, ARG_MAX(g, (r, g)) AS high_g, MAX(r) AS high
+        FROM (SELECT {group} AS g, AVG(prediction) AS r FROM judged GROUP BY 1)""" for i, (a, group) in enumerate(attributes.items(), 1))
+    return f"""
+    , gap AS (SELECT (MAX(n) - MIN(n))::DOUBLE / SUM(n) AS v FROM (SELECT COUNT(*) AS n FROM judged GROUP BY prediction)),
+    impacts AS ({impacts}),
+    found AS ({before}
+        SELECT {first} AS position, 'model_prediction_imbalance' AS check_id, CASE WHEN v > 0.2 THEN 'triggered' ELSE 'not_triggered' END AS status,
+               ROUND(v, 4)::DOUBLE AS value, 0.2::DOUBLE AS threshold,
+               printf('Prediction imbalance %.2f ' || CASE WHEN v > 0.2 THEN 'exceeded' ELSE 'is within' END || ' threshold 0.20.', v) AS reason, '{{}}' AS metadata FROM gap
+        UNION ALL SELECT position, 'model_disparate_impact_' || a, CASE WHEN v < 0.9 THEN 'triggered' ELSE 'not_triggered' END, ROUND(v, 4), 0.9,
+               printf('Disparate impact %.3f is ' || CASE WHEN v < 0.9 THEN 'below' ELSE 'within' END || ' threshold 0.90 for ''%s''.', v, a),
+               '{{"groups":' || n || ',"lowest":{{"group":"' || low_g || '","rate":' || ROUND(low, 4)::DOUBLE || '}},"highest":{{"group":"' || high_g || '","rate":' || ROUND(high, 4)::DOUBLE || '}}}}' FROM impacts
+        UNION ALL SELECT {first + 3}, 'model_disparate_impact_missing', 'skipped', NULL, NULL, 'Sensitive attribute ''missing'' not found in dataset.', '{{}}'
+        UNION ALL SELECT {first + 4}, 'model_feature_count', 'not_triggered', {features}, 8, 'Model inference used {features} features, within threshold 8.', '{{}}'),
+    checks AS (SELECT * FROM found UNION ALL SELECT {first + 5}, 'model_baseline_monitoring', 'triggered', NULL, NULL,
+               'No high-risk checks triggered; baseline monitoring recommendation added.', '{{}}'
+        WHERE NOT EXISTS (SELECT 1 FROM found WHERE status = 'triggered' AND check_id <> 'model_feature_compatibility'))"""
+
+
+MODEL_CHECKS_SQL = ", judged AS (SELECT segment, nation, prediction FROM scored)" + model_checks_sql(
+    0, 3, {"segment": "segment", "nation": "nation::VARCHAR"})
 
 
 def model_checks_of(spark, directory):
@@ -432,21 +498,44 @@ def model_checks_of(spark, directory):
     return elicit.model_checks(scored, FEATURES, ["segment", "nation", "missing"], "strict")
 
 
-@register("elicit_model_checks", loans_sql(MODEL_CHECKS_SQL + """
-    SELECT * FROM checks UNION ALL SELECT 5, 'model_baseline_monitoring', 'triggered', NULL, NULL
-    WHERE NOT EXISTS (SELECT 1 FROM checks WHERE status = 'triggered')"""))
+@register("elicit_model_checks", loans_sql(MODEL_CHECKS_SQL + " SELECT * FROM checks"))
 def elicit_model_checks(spark, directory):
-    return model_checks_of(spark, directory).drop("reason")
-
-
-@register("elicit_model_suggestions", loans_sql(MODEL_CHECKS_SQL + """
-    SELECT position, 'fairness' AS principle, CASE WHEN position = 0 THEN 'Fairness — Prediction Imbalance Detected'
-           ELSE 'Fairness — Disparate Impact on ''' || REPLACE(check_id, 'model_disparate_impact_', '') || '''' END AS name,
-           ROUND(CASE WHEN position = 0 THEN LEAST(0.92, 0.65 + value) ELSE LEAST(0.95, 0.8 + (0.8 - value)) END, 4)::DOUBLE AS confidence_score
-    FROM checks WHERE status = 'triggered'"""))
+    return model_checks_of(spark, directory)
+
+
+@register("elicit_model_suggestions", loans_sql(MODEL_CHECKS_SQL + f"""
+    SELECT position, check_id, principle, name, description, elicitation_reason, confidence_score, {SPEC_SQL} AS specification, TRUE AS elicited_automatically, 'draft' AS status
+    FROM (SELECT c.position, check_id, 'fairness' AS principle, CASE WHEN c.position = 0 THEN 'Fairness — Prediction Imbalance Detected'
+           ELSE 'Fairness — Disparate Impact on ''' || a || '''' END AS name,
+           CASE WHEN c.position = 0 THEN printf('The shares of the predicted classes lie %.1f points apart. Check selection and error rates of every group.', value * 100)
+                ELSE printf('Positive predictions range from %s (%.1f%%) to %s (%.1f%%): the lowest rate is %.3f of the highest.',
+                            low_g, ROUND(low, 4) * 100, high_g, ROUND(high, 4) * 100, value) END AS description,
+           reason AS elicitation_reason,
+           ROUND(CASE WHEN c.position = 0 THEN LEAST(0.92, 0.65 + value) ELSE LEAST(0.95, 0.8 + (0.8 - value)) END, 4)::DOUBLE AS confidence_score
+    FROM checks c LEFT JOIN impacts i ON c.position = i.position WHERE status = 'triggered')"""))
 def elicit_model_suggestions(spark, directory):
-    out = elicit.model_suggestions(model_checks_of(spark, directory))
-    return out.select("position", "principle", "name", "confidence_score")
+    return elicit.model_suggestions(model_checks_of(spark, directory))
+
+
+#: A model on raw loans: texts as codes of first appearance, missing values 0.
+RAW_MODEL_SQL = loans_sql("""
+    , raw AS (SELECT row_id, price, CASE WHEN row_id % 10 > 0 THEN balance END AS balance, segment, priority FROM loans),
+    segments AS (SELECT segment, ROW_NUMBER() OVER (ORDER BY MIN(row_id)) - 1 AS code FROM raw GROUP BY segment),
+    priorities AS (SELECT priority, ROW_NUMBER() OVER (ORDER BY MIN(row_id)) - 1 AS code FROM raw GROUP BY priority),
+    judged AS (SELECT r.segment, r.priority, CASE WHEN -0.6::DOUBLE + 0.5 * price + -0.2 * COALESCE(balance, 0) + 0.3 * s.code + -0.1 * p.code > 0 THEN 1 ELSE 0 END AS prediction
+        FROM raw r JOIN segments s ON r.segment = s.segment JOIN priorities p ON r.priority = p.priority)""" + model_checks_sql(
+    1, 4, {"segment": "segment", "priority": "priority"}, """
+        SELECT 0 AS position, 'model_feature_compatibility' AS check_id, 'triggered' AS status, 4.0::DOUBLE AS value, 4.0::DOUBLE AS threshold,
+               'Feature compatibility check passed.' AS reason, '{}' AS metadata UNION ALL"""))
+
+
+@register("elicit_raw_model_checks", RAW_MODEL_SQL + " SELECT * FROM checks")
+def elicit_raw_model_checks(spark, directory):
+    raw = loans(spark, directory).select(
+        "row_id", "price", F.when(F.col("row_id") % 10 > 0, F.col("balance")).alias("balance"), "segment", "priority", "y_true")
+    model = scoring.LinearModel(("price", "balance", "segment", "priority"), (0.5, -0.2, 0.3, -0.1), -0.6)
+    judge = lambda df: df.withColumn("prediction", (model.score() > 0).cast("int"))
+    return elicit.model_elicitation(raw, "row_id", judge, "y_true", ["segment", "priority", "missing"], 4, "strict")
 
 
 @register("elicit_group_rates", loans_sql("""

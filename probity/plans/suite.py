@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from probity.operators import explain, fairness, privacy_report
 from probity.operators.history import suite_verdict, validators_to_run
 
+#: States of a run that came to an end.
+FINISHED = ("completed", "passed", "failed")
+
 
 @dataclass
 class SuiteConfig:
@@ -26,6 +29,11 @@ class SuiteConfig:
     fairness_metrics: tuple = None
     rules: DataFrame = None
     explained_rows: int = None
+    #: The rows the model was trained on, if they are kept apart, and whether local surrogates are made (of so many rows, or all).
+    training: DataFrame = None
+    with_surrogates: bool = False
+    surrogate_rows: int = None
+    #: Run records (suite_id, status, ...) of any number of suites.
     runs: DataFrame = None
     privacy: dict = field(default_factory=dict)
 
@@ -52,7 +60,8 @@ def audit_suite(df, config) -> dict:
         parts.append(fairness.result_rows(f"{config.suite_id}-fairness", report, groups))
     if "transparency" in run:
         found = explain.transparency_report(
-            df, config.id_column, config.features, config.scorer, config.y_true, config.y_pred, rows=config.explained_rows)
+            df, config.id_column, config.features, config.scorer, config.y_true, config.y_pred, rows=config.explained_rows,
+            with_surrogates=config.with_surrogates, surrogate_rows=config.surrogate_rows, training=config.training)
         transparency = "completed" if found["status"] == "completed" else "skipped"
         if transparency == "completed":
             reports["transparency"] = found
@@ -66,8 +75,9 @@ def audit_suite(df, config) -> dict:
         parts.append(_rows(checks, config.suite_id, "privacy", F.col("check"), F.col("measured"), F.col("required"),
                            F.col("passed"), F.col("detail")))
     if "accountability" in run:
-        # Passed only if the suite's runs are on record.
-        runs = df.sparkSession.range(0) if config.runs is None else config.runs
+        # Passed only if a run of this suite is on record and came to an end.
+        runs = df.sparkSession.range(0) if config.runs is None else config.runs.where(
+            (F.col("suite_id").cast("string") == F.lit(str(config.suite_id))) & F.col("status").isin(*FINISHED))
         recorded = runs.agg((F.count(F.lit(1)) > 0).alias("there"))
         parts.append(_rows(recorded, config.suite_id, "accountability", F.lit("audit_trail_exists"), F.col("there").cast("double"), F.lit(1.0),
                            F.col("there"), nothing))
