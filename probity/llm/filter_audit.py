@@ -75,13 +75,10 @@ def survivors(rows, tables):
     return out
 
 
-_COUNTS = (F.count(F.lit(1)), F.count_if("good"), F.count_if("toxic"))
-
-
 def prefix_counts(rows, tables):
     """(part, key, n, good, toxic), small: how many survive the set of filters ``key`` ("AC"),
     and how many of those the next filter removes ("AC>B"); ">B" for no filter before, "!B" for all that fail B."""
-    counts = [c.alias(n) for c, n in zip(_COUNTS, ("n", "good", "toxic"), strict=True)]
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic")]
     alive = survivors(rows, tables)
     out = alive.groupBy(_PART, F.col("before").alias("key")).agg(*counts)
     for name, table in tables.items():
