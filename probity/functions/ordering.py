@@ -13,14 +13,15 @@ def shuffle_key(id_column, seed):
     return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
 
 
-def rank_by_position(df, keys, position, value, keep=()):
-    """Zero-based rank of ``value`` by ``position`` (an integer) within ``keys``.
+def rank_by_position(df, keys, position, value, rows=None):
+    """Zero-based rank of ``value`` by ``position`` (an integer) within ``keys``; with ``rows``, that column and its total per key too.
 
     Positions are cut into ranges; rows are ranked inside their range and the
     sizes of the ranges before it are added, so no task sees more than one range.
     """
-    spread = df.groupBy(*keys).agg(F.min(position).alias("lowest"), F.max(position).alias("highest"))
-    spread = spread.select(*keys, "lowest", F.greatest(
+    keep = [] if rows is None else [rows, "total"]
+    spread = df.groupBy(*keys).agg(F.min(position).alias("lowest"), F.max(position).alias("highest"), *[F.sum(c).alias("total") for c in keep[:1]])
+    spread = spread.select(*keys, *keep[1:], "lowest", F.greatest(
         F.lit(POSITIONS_PER_BUCKET).cast("bigint"),
         F.ceil((F.col("highest").cast("decimal(20,0)") - F.col("lowest")) / MAX_BUCKETS).cast("bigint"),
     ).alias("width"))
@@ -72,35 +73,61 @@ def rank_distinct(values, column):
     return rank_unique(values.select(column).distinct(), column)
 
 
-def order_statistics(counts, fractions, key="column", value="value", size="n"):
+#: Equal parts of a key's span of values that are counted before single values are looked at.
+SPAN_PARTS = 4096
+
+
+def order_statistics(counts, fractions, key="column", value="value", size="n", spans=None):
     """(key, fraction, value): exact quantiles per ``key`` from rows (key, value, size), interpolated between neighbours.
 
     ``counts`` has one row per different value, ``size`` says how often it
-    occurs; nulls don't count. Values are range partitioned, the sizes of the
-    ranges before each are added up, and only the ranges that hold a wanted rank
-    are looked at row by row. One plan for any size; no value passes through the driver.
+    occurs; nulls don't count. ``spans`` (key, low, high) has the least and greatest
+    values if the caller knows them. Each span is cut into equal parts, which are counted;
+    only the values of the parts that hold a wanted rank go on, range partitioned,
+    so that values crowded into one part still are not one task's. One plan for any
+    size; no value passes through the driver.
     """
-    placed = in_ranges(counts.where(F.col(value).isNotNull()).select(key, value, size), [key, value])
-    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = placed.groupBy(key, "part").agg(F.sum(size).alias("_size")).select(
-        key, "part", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+    # Conditions that name the size stay above the aggregate that counts: below it they would make it another one, done again.
+    known = counts.select(key, F.when(F.col(size) > 0, F.col(value)).alias(value), size).where(F.col(value).isNotNull())
+    if spans is None:
+        spans = known.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    width = F.col("high") - F.col("low")
+    share = F.floor((F.col(value) - F.col("low")) / width * SPAN_PARTS)
+    cell = F.when((width > 0) & (width < float("inf")), F.least(F.greatest(share, F.lit(0)), F.lit(SPAN_PARTS - 1))).otherwise(F.lit(0))
+    # One row per key.
+    placed = known.join(F.broadcast(spans.select(key, "low", "high")), key).select(key, value, size, cell.alias("_cell"))
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(key, "_cell").agg(F.sum(size).alias("_size")).select(
+        key, "_cell", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_size").over(Window.partitionBy(key)).alias("_whole"))
     asked = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
-    position = F.col("fraction") * (F.col("_whole") - 1)
-    wanted = spans.select("*", asked).withColumn("_position", position).withColumn(
-        "_rank", F.explode(F.array(F.floor("_position"), F.ceil("_position")))).where(
-        (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_size"))).drop("_size", "_whole")
-    # Two ranks per key and fraction, in as many ranges at most.
-    upto = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    near = placed.join(F.broadcast(wanted.select(key, "part").distinct()), [key, "part"], "left_semi").withColumn("_upto", F.sum(size).over(upto))
     inside = F.col("_rank") - F.col("_before")
-    found = near.join(F.broadcast(wanted), [key, "part"]).where((inside < F.col("_upto")) & (inside >= F.col("_upto") - F.col(size)))
+    wanted = cells.select("*", asked).withColumn("_position", F.col("fraction") * (F.col("_whole") - 1)).withColumn(
+        "_rank", F.explode(F.array(F.floor("_position"), F.ceil("_position")))).where(
+        (inside >= 0) & (inside < F.col("_size"))).select(key, "_cell", "fraction", "_position", inside.alias("_rank"))
+    # Two ranks per key and fraction.
+    near = placed.join(F.broadcast(wanted.select(key, "_cell").distinct()), [key, "_cell"], "left_semi")
+    found = _of_rank(near, [key, "_cell"], value, size, wanted)
     low, high = F.min(value), F.max(value)
     between = F.first("_position") - F.floor(F.first("_position"))
     return found.groupBy(key, "fraction").agg(
         F.when(low == high, low).otherwise(low + (high - low) * between).alias(value))
 
 
+def _of_rank(rows, keys, value, size, wanted):
+    """``wanted`` (keys, _rank, ...) with the value that has this rank among the rows of its keys."""
+    placed = in_ranges(rows.select(*keys, value, size), [*keys, value])
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy(*keys, "part").agg(F.sum(size).alias("_size")).select(
+        *keys, "part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"), F.col("_size").alias("_held"))
+    # As many rows as ``wanted``, which is small.
+    asked = spans.join(F.broadcast(wanted), keys).where((F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_held")))
+    upto = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.withColumn("_upto", F.sum(size).over(upto))
+    rank = F.col("_rank") - F.col("_start")
+    return counted.join(F.broadcast(asked), [*keys, "part"]).where((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col(size)))
+
+
 def split_by_share(df, id_column, share, seed, stratum=None):
     """Column ``in_first``: true for exactly floor(share * rows) rows of every stratum.
 

@@ -38,7 +38,7 @@ def incomplete_count(df, columns) -> DataFrame:
 
 
 def first_appearance_codes(df, columns, order_by) -> DataFrame:
-    """(column, value, rows, code): codes in the order values first appear by ``order_by``, and how many rows have the value."""
+    """(column, value, rows, total, code): codes in the order values first appear by ``order_by``; how many rows have the value, and any."""
     if dict(df.dtypes)[order_by] not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError("order_by must be an integer column")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
@@ -46,7 +46,7 @@ def first_appearance_codes(df, columns, order_by) -> DataFrame:
         df.select(order_by, F.inline(pairs)).where("value IS NOT NULL")
         .groupBy("column", "value").agg(F.min(order_by).cast("bigint").alias("first_position"), F.count(F.lit(1)).alias("rows"))
     )
-    return rank_by_position(firsts, ["column"], "first_position", "value", ["rows"])
+    return rank_by_position(firsts, ["column"], "first_position", "value", "rows")
 
 
 def encode_first_appearance(df, order_by, columns=None, null_code=-1) -> DataFrame:
@@ -60,7 +60,7 @@ def encode_first_appearance(df, order_by, columns=None, null_code=-1) -> DataFra
         return df
     codes = first_appearance_codes(df, columns, order_by)
     out = looked_up_all(df, {
-        c: (codes.where(F.col("column") == c).select(F.col("value").alias(c), "rows", F.col("code").alias(f"_c_{c}")), f"_c_{c}")
+        c: (codes.where(F.col("column") == c).select(F.col("value").alias(c), "rows", "total", F.col("code").alias(f"_c_{c}")), f"_c_{c}")
         for c in columns}, order_by)
     return out.select(*[
         F.coalesce(F.col(f"_c_{c}"), F.lit(null_code)).cast("bigint").alias(c) if c in columns else F.col(c)

@@ -1,10 +1,10 @@
 """Column profiles.
 
 Columns are turned into rows and counted once per different value, numbers as
-numbers and texts by keys of bounded length; distinct counts, medians, top
-values and small-domain counts are all read from these counts. A long text is
-never shuffled for its own sake: its key is its beginning and a digest, and the
-few texts that a result shows are fetched by key.
+numbers and texts by hashes; distinct counts and medians are read from these
+counts. Top values and small domains count texts by keys of bounded length. A
+long text is never shuffled for its own sake: its key is its beginning and a
+digest, and the few texts that a result shows are fetched by key.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -19,6 +19,7 @@ LIKELY_SENSITIVE_RATIO = 0.7
 SMALL_DOMAIN = 20
 #: Characters of a text that its key keeps; a longer one goes on with a digest of the whole text.
 KEY_CHARACTERS = 64
+SECOND_SEED = 0x5DEECE66D
 #: Most keys that every task compares its rows with before it shuffles them.
 LISTED_KEYS = 256
 
@@ -68,11 +69,42 @@ def _text_of_number(df, column, key, value):
     return F.date_from_unix_date(key.cast("int")).cast("string") if dtype == "date" else key.cast("string")
 
 
+def _dealt(df, columns):
+    """The columns, named by their place so that no name gets in the way, of a small input on all cores."""
+    return spread_small(df.select(*columns))
+
+
 def number_counts(df, columns) -> DataFrame:
     """(column, key, value, n): rows per different value of columns of numbers, times and dates; nulls as null."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), k.alias("key"), v.alias("value")) for c in columns for k, v in [_number(df, c)]])
-    return spread_small(df.select(*[F.col(f"`{c}`") for c in columns])).select(F.inline(pairs)).groupBy("column", "key", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+    return _named(value_digests(df, columns), columns).select("column", "key", "value", "n")
+
+
+def value_digests(df, columns) -> DataFrame:
+    """(place, key, more, value, n): rows per different value of any columns, told apart by fixed-width keys.
+
+    Numbers, times and dates are their own keys. Any other value has two 64-bit hashes of its text with different seeds,
+    made where it is read, so that no text is shuffled. ``place`` is the column's place in ``columns``.
+    """
+    numbers = {c for c in columns if _counted_as_number(df, c)}
+    hashed = []
+    for i, c in enumerate(columns):
+        if c in numbers:
+            key, value = _number(df, c)
+            hashed += [key.alias(f"k{i}"), value.alias(f"v{i}")]
+        else:
+            text = F.col(f"`{c}`").cast("string")
+            hashed += [F.when(text.isNotNull(), F.xxhash64(text)).alias(f"k{i}"), F.xxhash64(F.lit(SECOND_SEED), text).alias(f"h{i}")]
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
+    cells = F.array(*[F.struct(
+        F.lit(i).alias("place"), F.col(f"k{i}").alias("key"), (zero if c in numbers else F.when(F.col(f"k{i}").isNotNull(), F.col(f"h{i}"))).alias("more"),
+        (F.col(f"v{i}") if c in numbers else none).alias("value")) for i, c in enumerate(columns)])
+    return _dealt(df, hashed).select(F.inline(cells)).groupBy("place", "key", "more", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _named(counts, columns):
+    # All places count something; said like this, filters on the name stay above the counting, which several readers share.
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("place") + 1)
+    return counts.withColumn("column", F.when(F.col("n" if "n" in counts.columns else "rows") > 0, name))
 
 
 def _text_key(value):
@@ -86,9 +118,10 @@ def _text_pairs(df, columns, *more):
 
 
 def text_counts(df, columns) -> DataFrame:
-    """(column, key, n): rows per different value of other columns; a key holds the whole text or its beginning and a digest."""
-    return spread_small(df.select(*[F.col(f"`{c}`") for c in columns])).select(_text_pairs(df, columns)).groupBy("column", "key").agg(
-        F.count(F.lit(1)).alias("n"))
+    """(column, key, n): rows per different value of columns as texts; a key holds the whole text or its beginning and a digest."""
+    keys = _dealt(df, [_text_key(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("key")) for i, c in enumerate(columns)])
+    return keys.select(F.inline(pairs)).groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _is_short(key):
@@ -124,11 +157,11 @@ def _union(parts):
     return out
 
 
-def column_counts(df, approximate=False, numbers=None) -> DataFrame:
+def column_counts(df, approximate=False, digests=None) -> DataFrame:
     """Distinct and missing values of every column.
 
     The approximate form needs no shuffle of values and suits very wide tables.
-    ``numbers`` are the counts of the columns of numbers, where the caller has them.
+    ``digests`` are the ``value_digests`` of all columns, where the caller has them.
     """
     kinds = column_kinds(df)
     kind_map = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])
@@ -143,14 +176,12 @@ def column_counts(df, approximate=False, numbers=None) -> DataFrame:
             ) for c in kinds
         ])))
     else:
-        of_numbers, of_texts = _split(df, list(kinds))
-        parts = [] if not of_numbers else [(number_counts(df, of_numbers) if numbers is None else numbers)]
-        parts += [] if not of_texts else [text_counts(df, of_texts)]
-        counts = _union([p.groupBy("column").agg(
+        digests = value_digests(df, list(kinds)) if digests is None else digests
+        counts = _named(digests.groupBy("place").agg(
             F.sum("n").alias("rows"),
             F.count("key").alias("unique_count"),
             F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        ) for p in parts])
+        ), list(kinds))
     share = F.coalesce(F.try_divide(F.col("null_count").cast("double"), F.col("rows").cast("double")), F.lit(0.0))
     return counts.select(
         "column", kind_map[F.col("column")].alias("kind"), "rows", "unique_count", "null_count",
@@ -158,36 +189,37 @@ def column_counts(df, approximate=False, numbers=None) -> DataFrame:
     )
 
 
-def medians(df, columns, numbers=None) -> DataFrame:
+def medians(df, columns, numbers=None, spans=None) -> DataFrame:
     """Exact medians without bringing a column into one task; see ``order_statistics``."""
     if numbers is None:
         numbers = number_counts(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), columns)
-    else:
-        numbers = numbers.where(F.col("column").isin(list(columns)))
-    return order_statistics(numbers, [0.5]).select("column", F.col("value").alias("median"))
+    return order_statistics(numbers, [0.5], spans=spans).select("column", F.col("value").alias("median"))
 
 
 def numeric_stats(df, columns=None, approximate=False, numbers=None) -> DataFrame:
-    """Minimum, maximum, mean, median and sample deviation of numeric columns."""
+    """Minimum, maximum, mean, median and sample deviation of numeric columns; ``numbers`` are their ``number_counts``, if known."""
     columns = checks.numeric_columns(df) if columns is None else columns
-    wide = df.agg(*[
+    dealt = _dealt(df, [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    wide = dealt.agg(*[
         F.struct(
             F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std"),
             *([F.percentile_approx(v, 0.5).alias("median")] if approximate else []),
-        ).alias(c)
-        for c in columns for v in [F.col(f"`{c}`").cast("double")]
+        ).alias(v)
+        for v in dealt.columns
     ])
     fields = ["min", "max", "mean", "std"] + (["median"] if approximate else [])
     stats = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}`")[f].alias(f) for f in fields]) for c in columns
+        F.struct(F.lit(c).alias("column"), *[F.col(f"v{i}")[f].alias(f) for f in fields]) for i, c in enumerate(columns)
     ])))
     if not approximate:
-        # Columns that are counted as texts (decimals) are counted once more as numbers.
+        # One row per column. Columns that are not counted as numbers (decimals) are counted once more.
+        spans = stats.select("column", F.col("min").alias("low"), F.col("max").alias("high"))
         others = [c for c in columns if not _counted_as_number(df, c)]
         known = [c for c in columns if c not in others]
-        parts = ([medians(df, known, numbers)] if known else []) + ([medians(df, others)] if others else [])
-        stats = stats.join(F.broadcast(_union(parts)), "column", "left")  # one row per column
+        own = None if numbers is None else numbers.where(F.col("column").isin(known))
+        parts = ([medians(df, known, own, spans)] if known else []) + ([medians(df, others, None, spans)] if others else [])
+        stats = stats.join(F.broadcast(_union(parts)), "column", "left")
     return stats.select("column", "min", "max", "mean", "median", "std")
 
 
@@ -243,11 +275,10 @@ def small_domain_counts(df, max_values=SMALL_DOMAIN) -> DataFrame:
 
 def column_profile(df, approximate=False) -> DataFrame:
     """Counts of every column with the statistics of the numeric ones."""
-    numbers = None
-    if not approximate:
-        of_numbers, _ = _split(df, list(column_kinds(df)))
-        numbers = number_counts(df, of_numbers) if of_numbers else None
-    counts = column_counts(df, approximate, numbers)
+    columns = list(column_kinds(df))
+    digests = None if approximate else value_digests(df, columns)
+    numbers = None if approximate else _named(digests, columns)
+    counts = column_counts(df, approximate, digests)
     if not checks.numeric_columns(df):
         empty = [F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean", "median", "std")]
         return counts.select("*", *empty)

@@ -190,9 +190,9 @@ def encode_first_appearance(spark, directory):
 
 @register("first_appearance_codes", """
     SELECT 'o_orderpriority' AS "column", o_orderpriority AS value,
-           COUNT(*) AS "rows", ROW_NUMBER() OVER (ORDER BY MIN(o_orderkey)) - 1 AS code FROM orders GROUP BY o_orderpriority
+           COUNT(*) AS "rows", CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total, ROW_NUMBER() OVER (ORDER BY MIN(o_orderkey)) - 1 AS code FROM orders GROUP BY o_orderpriority
     UNION ALL
-    SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), COUNT(*), ROW_NUMBER() OVER (ORDER BY MIN(o_orderkey)) - 1
+    SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), COUNT(*), CAST(SUM(COUNT(*)) OVER () AS BIGINT), ROW_NUMBER() OVER (ORDER BY MIN(o_orderkey)) - 1
     FROM orders GROUP BY o_custkey""")
 def first_appearance_codes(spark, directory):
     df = table(spark, directory, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string"))
