@@ -166,3 +166,43 @@ def test_templates(spark):
     made = templates.apply_to_projects(choice, built).orderBy("position").collect()
     assert made[2]["name"] == "pii_in_features (ETH4)" and made[2]["principle"] == "fairness"
     assert made[0]["specification"].startswith('{"rules":[{"metric":"demographic_parity_ratio","operator":">=","value":0.8')
+
+
+def test_elicited_from_a_model_on_raw_data(spark):
+    rows = [(i, "a" if i % 4 else "b", None if i % 5 == 0 else float(i), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y int")
+    seen = []
+
+    def predict(encoded):
+        seen.append(encoded.columns)
+        return encoded.withColumn("prediction", (F.col("x") + 100 * F.col("g") > 110).cast("int"))
+
+    checks = {r["check_id"]: r for r in elicit.model_elicitation(df, "id", predict, "y", ["g"], 2).collect()}
+    assert checks["model_feature_compatibility"]["position"] == 0 and checks["model_feature_compatibility"]["value"] == 2.0
+    # b comes first and is 0, a is 1; a missing x is 0: only an a with x over 10 is predicted.
+    assert checks["model_disparate_impact_g"]["status"] == "triggered" and checks["model_disparate_impact_g"]["value"] == 0.0
+    assert '"lowest":{"group":"b","rate":0.0}' in checks["model_disparate_impact_g"]["metadata"]
+    assert seen[0] == ["id", "g", "x", "_raw_g"]
+    with pytest.raises(ValueError, match="expects 5 features, dataset provides 2"):
+        elicit.model_elicitation(df, "id", predict, "y", ["g"], 5)
+    none = elicit.model_elicitation(df.where("false"), "id", predict, "y", ["g"], 2).collect()
+    assert [r["check_id"] for r in none] == ["model_feature_matrix_non_empty"]
+    assert elicit.model_elicitation(df.select("id", "y"), "id", predict, "y").first()["check_id"] == "model_feature_matrix_non_empty"
+
+
+def test_proxies_of_all_attributes_at_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(("x", "y", "z")[i % 3], i % 7, float(i % 3) + 1e6, float(rng.normal()), 5.0, None if i % 2 else float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows + [(None, None, 1.0, 1.0, 5.0, 1.0)], "g string, k int, near double, far double, same double, hole double")
+    pdf = df.toPandas()
+    pdf["code"] = pdf.g.map({"x": 0, "y": 1, "z": 2})
+    got = {(r["attribute"], r["column"]): r for r in elicit.proxy_matrix(elicit.class_moments(df, ["g", "k"])).collect()}
+    assert set(got) == {(a, c) for a in ("g", "k") for c in ("k", "near", "far", "same", "hole")} - {("k", "k")}
+    for (a, c), r in got.items():
+        both = pdf[["code" if a == "g" else a, c]].dropna()
+        assert r["shared_rows"] == len(both)
+        if c == "same":
+            assert r["correlation"] is None and not r["is_proxy"]
+        else:
+            assert r["correlation"] == pytest.approx(both.iloc[:, 0].corr(both.iloc[:, 1]), abs=1e-9)
+    assert got["g", "near"]["is_proxy"] and got["k", "hole"]["is_proxy"] and not got["g", "far"]["is_proxy"]
