@@ -210,10 +210,10 @@ def duplicate_rules(rules) -> DataFrame:
 
 
 def rules_in_effect(stored, project_id, spark=None, given=None) -> DataFrame:
-    """Rules of the request if there are any, else those stored for the project, newest first."""
+    """Rules of the request if there are any, else those stored for the project, newest first, ties by what they say."""
     if given:
         return rules_frame(spark, given)
-    newest = Window.orderBy(F.desc("created_at"), "name")
+    newest = Window.orderBy(F.desc("created_at"), "name", "base_metric", "aggregation", "comparison", "default_threshold")
     return (
         stored.where((F.col("project_id") == project_id) & (F.col("principle") == "fairness"))
         .select(

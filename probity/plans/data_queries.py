@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from probity.functions import text
 from probity.operators import prep, profile
 from probity.plans.registry import register
 from probity.sources.tables import TABLES, table, view, with_views
@@ -318,6 +319,36 @@ def sample_rows(spark, directory):
     return prep.sample_rows(df, "k", 100)
 
 
+@register("model_features", """
+    SELECT 'target' AS dropped, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT * EXCLUDE (c_acctbal), NULL::DOUBLE AS c_acctbal FROM customer)
+    UNION ALL SELECT 'sensitive', c_custkey, c_name, c_nationkey, c_acctbal, NULL FROM customer""")
+def model_features(spark, directory):
+    """With a target only that is left out, without one the sensitive column."""
+    df = table(spark, directory, "customer")
+    with_target = prep.model_features(df, target="c_acctbal", sensitive="c_mktsegment")
+    without = prep.model_features(df, target="no_such_column", sensitive="c_mktsegment")
+    return with_target.withColumn("dropped", F.lit("target")).unionByName(
+        without.withColumn("dropped", F.lit("sensitive")), allowMissingColumns=True)
+
+
+@register("complete_rows", """
+    SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS o_orderstatus, o_totalprice FROM orders
+    WHERE NULLIF(o_orderstatus, 'P') IS NOT NULL AND o_totalprice > 1000""")
+def complete_rows(spark, directory):
+    df = table(spark, directory, "orders").select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("o_totalprice"))
+    return prep.complete_rows(df, ["o_orderstatus", "o_totalprice"])
+
+
+@register("guarded_cells", """
+    SELECT doc_id, CASE WHEN LEFT(cell, 1) IN ('=', '+', '-', '@', CHR(9), CHR(13)) THEN '''' || cell ELSE cell END AS cell
+    FROM (SELECT doc_id, ['=', '+', '-', '@', CHR(9), CHR(13), ' =', ''][CAST(doc_id % 8 AS INTEGER) + 1] || text AS cell FROM documents)""")
+def guarded_cells(spark, directory):
+    starts = F.array(*[F.lit(c) for c in ("=", "+", "-", "@", "\t", "\r", " =", "")])
+    cell = F.concat(F.element_at(starts, (F.col("doc_id") % 8 + 1).cast("int")), F.col("text"))
+    return text.guard_cells(table(spark, directory, "documents").select("doc_id", cell.alias("cell")))
+
+
 @register("incomplete_rows", with_views("""
     SELECT COUNT(*) AS rows_total, SUM(CASE WHEN requirement_id IS NULL OR status = 'running' THEN 1 ELSE 0 END)::BIGINT
            AS rows_excluded FROM g_validations""", "g_validations"))

@@ -176,6 +176,14 @@ def fairness_rule_checks(spark, directory):
     return checked.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("rules"))
 
 
+@register("fairness_rules_in_effect", with_views("""
+    SELECT CAST(ROW_NUMBER() OVER (
+           ORDER BY created_at DESC, name, base_metric, aggregation, comparison NULLS FIRST, default_threshold) - 1 AS INTEGER) AS position, name, base_metric, aggregation, comparison, default_threshold
+    FROM g_rules WHERE project_id = 4 AND principle = 'fairness'""", "g_rules"))
+def fairness_rules_in_effect(spark, directory):
+    return fair.rules_in_effect(view(spark, directory, "g_rules"), 4)
+
+
 @register("fairness_duplicate_rules", with_views(
     """SELECT project_id, principle, TRIM(name) AS name, COUNT(*) AS uses FROM g_rules
        GROUP BY project_id, principle, TRIM(name) HAVING COUNT(*) > 1""", "g_rules"))

@@ -790,6 +790,22 @@ def project_counts(spark, directory):
     return counts_of(spark, directory).select("project_id", "name", "model_count", "dataset_count", "requirement_count")
 
 
+@register("trace_dataset_impact", with_views("""
+    , uses AS (SELECT requirement_id, COUNT(*) AS validation_count, ARG_MAX(validation_id, (created_at, validation_id)) AS latest_validation_id,
+               ARG_MAX(status, (created_at, validation_id)) AS latest_status
+        FROM g_validations WHERE dataset_id = 3 AND requirement_id IS NOT NULL GROUP BY requirement_id)
+    SELECT r.requirement_id, r.principle, COALESCE(u.validation_count, 0) AS validation_count, u.latest_validation_id, u.latest_status
+    FROM g_requirements r LEFT JOIN uses u ON r.requirement_id = u.requirement_id
+    WHERE r.project_id IN (SELECT project_id FROM g_datasets WHERE dataset_id = 3)""", "g_validations", "g_requirements", "g_datasets"))
+def trace_dataset_impact(spark, directory):
+    return trace.dataset_impact(3, *(view(spark, directory, v) for v in ("g_datasets", "g_requirements", "g_validations")))
+
+
+@register("project_one", with_views(f"SELECT project_id, name, model_count, dataset_count, requirement_count FROM ({COUNTS_SQL}) WHERE project_id = 7", *COUNT_VIEWS))
+def project_one(spark, directory):
+    return catalogue.one_project(counts_of(spark, directory), 7).select("project_id", "name", "model_count", "dataset_count", "requirement_count")
+
+
 @register("project_page", with_views(f"""
     SELECT project_id, model_count FROM ({COUNTS_SQL}) ORDER BY updated_at DESC, project_id DESC LIMIT 10 OFFSET 2""", *COUNT_VIEWS))
 def project_page(spark, directory):
