@@ -1,10 +1,14 @@
 """Registered profiling and preparation queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from probity.functions import text
 from probity.operators import prep, profile
 from probity.plans.registry import register
+from probity.session import ensure_checkpoint_dir
+from probity.sources import datasets
 from probity.sources.tables import TABLES, table, view, with_views
 
 # Comparable columns of the given tables by kind, for the comparison SQL.
@@ -349,6 +353,29 @@ def guarded_cells(spark, directory):
     return text.guard_cells(table(spark, directory, "documents").select("doc_id", cell.alias("cell")))
 
 
+@register("normalised_copies", """
+    SELECT form, p_partkey, p_name, p_size, p_retailprice FROM part, (SELECT UNNEST(['csv', 'parquet']) AS form)
+    UNION ALL SELECT 'lines', item_id, text || CHR(10) || '"quoted", ' || item_id, NULL, NULL FROM benchmark""")
+def normalised_copies(spark, directory):
+    """Tables written as normalised copies to the shared folder and read again: CSV, Parquet, and CSV cells with line breaks and quotes."""
+    folder = f"{ensure_checkpoint_dir(spark)}/normalised-{uuid.uuid4().hex}"
+    part = table(spark, directory, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    lines = table(spark, directory, "benchmark").select(
+        F.col("item_id").alias("p_partkey"), F.concat("text", F.lit('\n"quoted", '), F.col("item_id").cast("string")).alias("p_name"))
+    datasets.normalise(part, f"{folder}/copy", as_csv=True)
+    datasets.normalise(part, f"{folder}/copy.parquet")
+    datasets.normalise(lines, f"{folder}/lines", as_csv=True)
+    read = {
+        "csv": datasets.read_dataset(spark, f"{folder}/copy", part.schema), "parquet": datasets.read_dataset(spark, f"{folder}/copy.parquet"),
+        "lines": datasets.read_dataset(spark, f"{folder}/lines", lines.schema, multi_line=True).withColumns({
+            "p_size": F.lit(None).cast("int"), "p_retailprice": F.lit(None).cast("double")})}
+    out = None
+    for form, df in read.items():
+        rows = df.select(F.lit(form).alias("form"), *part.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("incomplete_rows", with_views("""
     SELECT COUNT(*) AS rows_total, SUM(CASE WHEN requirement_id IS NULL OR status = 'running' THEN 1 ELSE 0 END)::BIGINT
            AS rows_excluded FROM g_validations""", "g_validations"))
