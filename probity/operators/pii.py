@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from probity.functions import constants as C
 from probity.functions.checks import require_columns, string_columns
@@ -80,36 +81,56 @@ def matches(value, pattern_name, regex, digit=None):
     return hit & F.coalesce(digits.try_cast("int").between(*C.ZIP_RANGE), F.lit(False))
 
 
-def text_values(df, columns, keep=()) -> DataFrame:
-    """Rows (column, value) of the named text columns, missing values left out."""
+def cell_rows(df, columns, keep=()) -> DataFrame:
+    """Rows (position, column, value) of the named text columns, missing values included."""
     pairs = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
         for i, c in enumerate(columns)
     ])
-    return spread_small(df.select(*keep, *[f"`{c}`" for c in columns])).select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+    # Keys get names of their own: one of them may be a text column or be called "value".
+    named = [F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keep)]
+    return spread_small(df.select(*named, *[f"`{c}`" for c in columns])).select(*[f"_key{i}" for i in range(len(keep))], F.inline(pairs))
+
+
+def text_values(df, columns, keep=()) -> DataFrame:
+    """Rows (column, value) of the named text columns, missing values left out."""
+    rows = cell_rows(df, columns, keep).where(F.col("value").isNotNull())
+    return rows.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keep)], "position", "column", "value")
+
+
+def _keys(order_by):
+    return [order_by] if isinstance(order_by, str) else list(order_by)
+
+
+def _first(keys, count):
+    """The first ``count`` present values by the keys (equal keys by value) as an array.
+
+    A bounded heap per group, filled in every task before the shuffle: no column
+    is sorted and no other value travels.
+    """
+    entry = F.struct(*[f"_key{i}" for i in range(len(keys))], "value")
+    return InternalFunction.collect_top_k(F.when(F.col("value").isNotNull(), entry), count, True)
 
 
 def first_values(df, columns, order_by, count) -> DataFrame:
-    """The first ``count`` present values of each column by the given key."""
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    out = None
-    for i, c in enumerate(columns):
-        value = F.col(f"`{c}`")
-        part = (
-            df.where(value.isNotNull()).orderBy(*keys).limit(count)
-            .select(F.lit(i).alias("position"), F.lit(c).alias("column"), value.alias("value"))
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The first ``count`` present values of each column by the given key, in one scan."""
+    keys = _keys(order_by)
+    rows = cell_rows(df, columns, keys).where(F.col("value").isNotNull())
+    return rows.groupBy("position", "column").agg(_first(keys, count).alias("first")).select(
+        "position", "column", F.explode("first.value").alias("value"))
 
 
-def pattern_counts(values, patterns) -> DataFrame:
-    """Per column: present values and an array of (pattern, hits) in pattern order."""
-    hits = F.array(*[
+def _hits(patterns):
+    return F.array(*[
         F.struct(F.lit(name).alias("pattern"), F.count_if(matches(F.col("value"), name, regex, F.col("digit"))).alias("hits"))
         for name, regex in patterns.items()
     ])
-    return values.withColumn("digit", F.col("value").rlike("[0-9]")).groupBy("column").agg(F.count(F.lit(1)).alias("present"), hits.alias("hits"))
+
+
+def pattern_counts(values, patterns) -> DataFrame:
+    """Per column: present values and an array of (pattern, hits) in pattern order."""
+    return values.withColumn("digit", F.col("value").rlike("[0-9]")).groupBy("column").agg(
+        F.count("value").alias("present"), _hits(patterns).alias("hits"))
 
 
 def looks_like_date(value):
@@ -119,10 +140,34 @@ def looks_like_date(value):
     return parsed.isNotNull()
 
 
-def date_columns(df, columns, order_by) -> DataFrame:
-    """Whether the first present values of each text column all parse as dates."""
-    return first_values(df, columns, order_by, GUARD_ROWS).groupBy("column").agg(
-        F.bool_and(looks_like_date(F.col("value"))).alias("is_date"))
+def all_dates(values):
+    """Whether an array of texts holds dates alone; an empty one doesn't."""
+    return (F.size(values) > 0) & F.forall(values, looks_like_date)
+
+
+def column_facts(df, columns, order_by, patterns, sample_size=None, approximate=False) -> DataFrame:
+    """Per text column: rows, present values, pattern hits, whether it opens with dates, distinct values.
+
+    One scan gives all but exact distinct counts, which shuffle the distinct
+    values and so take a second one (``approximate`` saves it). ``sample_size``
+    limits the patterns to the first values by ``order_by``.
+    """
+    keys = _keys(order_by)
+    rows = cell_rows(df, columns, keys).withColumn("digit", F.col("value").rlike("[0-9]"))
+    wanted = [F.count(F.lit(1)).alias("rows"), _first(keys, max(GUARD_ROWS, sample_size or 0)).alias("first")]
+    if sample_size is None:
+        wanted += [F.count("value").alias("present"), _hits(patterns).alias("hits")]
+    if approximate:
+        wanted.append(F.approx_count_distinct("value").alias("unique_count"))
+    facts = rows.groupBy("column").agg(*wanted)
+    opening = F.slice("first.value", 1, GUARD_ROWS)
+    out = facts.withColumn("is_date", all_dates(opening))
+    if sample_size is not None:
+        sampled = facts.select("column", F.explode(F.slice("first.value", 1, sample_size)).alias("value"))
+        out = out.join(pattern_counts(sampled, patterns), "column", "left")
+    if not approximate:
+        out = out.join(distinct_counts(text_values(df, columns)), "column", "left")
+    return out.drop("first")
 
 
 def distinct_counts(values, approximate=False) -> DataFrame:
@@ -163,18 +208,11 @@ def pii_report(
 
 
 def _value_rows(df, texts, order_by, sample_size, patterns, approximate):
-    values = text_values(df, texts)
-    scanned = values if sample_size is None else first_values(df, texts, order_by, sample_size)
-    total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
     listed = df.sparkSession.createDataFrame([(c,) for c in texts], "column string")
-    facts = (
-        listed.join(pattern_counts(scanned, patterns), "column", "left")
-        .join(distinct_counts(values, approximate), "column", "left")
-        .join(date_columns(df, texts, order_by), "column", "left")
-    )
-    rate = lambda h: h["hits"] / F.col("present")
+    facts = listed.join(column_facts(df, texts, order_by, patterns, sample_size, approximate), "column", "left")
+    rate = lambda h: F.try_divide(h["hits"], F.col("present"))
     best = F.try_element_at(F.filter("hits", lambda h: rate(h) > C.PII_MATCH_RATE), F.lit(1))
-    facts = facts.withColumn("best", best).withColumn("ratio", F.try_divide("unique_count", total))
+    facts = facts.withColumn("best", best).withColumn("ratio", F.try_divide("unique_count", "rows"))
     empty = F.coalesce(F.col("present"), F.lit(0)) == 0
     by_pattern = F.col("best").isNotNull()
     unique = F.coalesce(F.col("ratio") > C.PII_UNIQUE_RATIO, F.lit(False))
@@ -201,7 +239,7 @@ def _value_rows(df, texts, order_by, sample_size, patterns, approximate):
 
 def pii_samples(df, report, order_by, custom_patterns=None, limit=MAX_SAMPLES) -> DataFrame:
     """The first matching values, cut short, of every column flagged by pattern."""
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    keys = _keys(order_by)
     patterns = merged_patterns(custom_patterns)
     flagged = report.where("detection_method = 'pattern'").select(F.col("column_name").alias("column"), "pii_type")
     hit = F.lit(False)

@@ -194,3 +194,32 @@ def test_presets(spark):
     assert privacy_report.preset_requirements("healthcare", ["q"], "s")["l_diversity"]["l"] == 3
     with pytest.raises(ValueError):
         privacy_report.preset_requirements("nope", ["q"])
+
+
+def test_first_values_come_from_a_bounded_heap_in_one_scan(spark):
+    df = spark.range(0, 1000, 1, 4).select(
+        F.col("id").alias("value"), F.when(F.col("id") >= 3, F.concat(F.lit("2020-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"))).alias("seen"),
+        F.when(F.col("id") != 5, "2021-05-05").otherwise("x").alias("odd"), F.lit(None).cast("string").alias("none"))
+    rows = pii.first_values(df, ["seen", "odd", "none"], "value", 4).orderBy("position", "value").collect()
+    assert [r["value"] for r in rows if r["column"] == "seen"] == ["2020-01-04", "2020-01-05", "2020-01-06", "2020-01-07"]
+    assert [r["column"] for r in rows] == ["seen"] * 4 + ["odd"] * 4
+    facts = {r["column"]: r for r in pii.column_facts(df, ["seen", "odd", "none"], "value", {"year": "^20"}).collect()}
+    assert {c: f["is_date"] for c, f in facts.items()} == {"seen": True, "odd": False, "none": False}
+    assert {c: (f["rows"], f["present"]) for c, f in facts.items()} == {"seen": (1000, 997), "odd": (1000, 1000), "none": (1000, 0)}
+    report = pii.pii_report(df, "value", custom_patterns={"year": "^1999"}, approximate=True)
+    text = report._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "TakeOrdered" not in text and text.count("Range (") == 1
+    exact = pii.pii_report(df, "value")._jdf.queryExecution().executedPlan().toString()
+    assert exact.count("Range (") == 2
+
+
+def test_metric_rows_run_the_checks_once(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 5.0)], "k int, g string, x double")
+    checks = privacy_report.privacy_checks(df, "k", {"pii_detection": False, "k_anonymity": {"k": 2, "quasi_identifiers": ["g"]}})
+    rows = privacy_report.metric_rows(checks)
+    scans = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert scans(rows) == scans(checks) == 1
+    assert {r["metric"]: r["value"] for r in rows.collect()} == {
+        "k_anonymity_satisfied": 0.0, "overall_passed": 0.0, "privacy_risk_score": 100.0}
+    none = privacy_report.metric_rows(checks.limit(0)).collect()
+    assert {r["metric"]: r["value"] for r in none} == {"overall_passed": 1.0, "privacy_risk_score": 0.0}
