@@ -19,6 +19,11 @@ def say(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def first_of(array, count):
+    """The first entries of an array, all of them without a count."""
+    return F.slice(array, 1, count) if count is not None else F.col(array) if isinstance(array, str) else array
+
+
 def has(column, *words):
     found = F.lit(False)
     for w in words:

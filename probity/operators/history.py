@@ -83,11 +83,12 @@ def latest_pairs(suites) -> DataFrame:
 
 def compare_runs(metrics, pairs) -> DataFrame:
     """All metrics of either run with B - A where both have it and whether that is better."""
-    side = lambda run, value: pairs.join(
-        metrics.withColumnRenamed("suite_id", run), run
-    ).select("run_a", "run_b", "principle", "metric_name", F.col("value").alias(value))
-    joined = side("run_a", "value_a").join(
-        side("run_b", "value_b"), ["run_a", "run_b", "principle", "metric_name"], "full_outer")
+    # Each pair stands under both of its suites, so the metrics are read once and the sides meet in one aggregate.
+    sides = pairs.select("run_a", "run_b", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_side"), F.col(c).alias("suite_id")) for c in ("run_a", "run_b")])))
+    of = lambda run: F.max(F.when(F.col("_side") == run, F.col("value")))
+    joined = sides.join(metrics.select("suite_id", "principle", "metric_name", "value"), "suite_id").groupBy(
+        "run_a", "run_b", "principle", "metric_name").agg(of("run_a").alias("value_a"), of("run_b").alias("value_b"))
     delta = F.col("value_b") - F.col("value_a")
     lower = F.col("metric_name").rlike(LOWER_IS_BETTER)
     return joined.withColumn("delta", delta).withColumn(

@@ -4,15 +4,14 @@ The steps of a suite and principle are built as one array: there is one latest
 result per metric, so the array has as many steps as a validation has metrics.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.messages import fixed, say
+from probity.functions.messages import first_of, fixed, say
 from probity.operators.trace import latest_results, suite_validations
 
 NAMED_COLUMNS = 5
+FAILED = "array<struct<result_no:bigint,metric_name:string,metric_value:double,threshold:double>>"
 STEPS = "array<struct<id:string,text:string,link:string,done:boolean>>"
 
 # Closing step and help link per principle.
@@ -31,19 +30,6 @@ def _step(step_id, text, link):
         F.lit(link).alias("link"), F.lit(False).alias("done"))
 
 
-def _closed(df, principle, steps):
-    """(suite, principle, steps) with the closing step; suites without steps have no row."""
-    step_id, text = RERUN[principle]
-    # Exploding an array of one makes the steps be built once, not again in the filter.
-    known = F.explode(F.array(F.coalesce(steps, F.array().cast(STEPS))))
-    return df.select("suite_id", F.lit(principle).alias("principle"), known.alias("steps")).where(
-        F.size("steps") > 0).withColumn("steps", F.concat("steps", F.array(_step(step_id, text, LINKS[principle]))))
-
-
-def _slot(suites, principle):
-    return suite_validations(suites).where(F.col("principle") == principle).select("suite_id", "validation_id")
-
-
 def _failed_metrics(results):
     """The failed latest results of each validation in result order."""
     latest = latest_results(results.select(
@@ -60,41 +46,34 @@ def _metric_steps(prefix, opening, ending, link):
         link))
 
 
-def fairness_steps(suites, results) -> DataFrame:
-    steps = _metric_steps(
+def _fairness():
+    return _metric_steps(
         "fair", "Fix failed fairness metric '", "apply bias mitigation and reassess group impacts.", LINKS["fairness"])
-    return _closed(_slot(suites, "fairness").join(_failed_metrics(results), "validation_id"), "fairness", steps)
 
 
-def transparency_steps(suites, results, artifacts) -> DataFrame:
-    steps = F.coalesce(_metric_steps(
-        "trans", "Fix transparency metric '", "improve explainability artifacts/model-card quality.", LINKS["transparency"],
-    ), F.array().cast(STEPS))
-    warning = F.when(F.coalesce("warning", F.lit("")) != "", F.array(_step(
-        "trans-warning", say("Address transparency warning: ", F.col("warning")), LINKS["transparency"]))).otherwise(
-        F.array().cast(STEPS))
-    warnings = artifacts.select(F.col("run_id").alias("validation_id"), "facts.warning").where("warning IS NOT NULL")
-    joined = _slot(suites, "transparency").join(_failed_metrics(results), "validation_id", "left").join(
-        warnings, "validation_id", "left")
-    return _closed(joined, "transparency", F.concat(steps, warning))
+def _transparency():
+    none = F.array().cast(STEPS)
+    metrics = _metric_steps(
+        "trans", "Fix transparency metric '", "improve explainability artifacts/model-card quality.", LINKS["transparency"])
+    warning = F.when(F.coalesce("facts.warning", F.lit("")) != "", F.array(_step(
+        "trans-warning", say("Address transparency warning: ", F.col("facts.warning")), LINKS["transparency"])))
+    return F.concat(F.coalesce(metrics, none), F.coalesce(warning, none))
 
 
-def privacy_steps(suites, artifacts) -> DataFrame:
-    """Steps from the privacy report of each suite; ``artifacts`` as in ``reports.sections`` plus measured values."""
-    facts = _slot(suites, "privacy").join(
-        artifacts.select(F.col("run_id").alias("validation_id"), "facts.*"), "validation_id")
-    kinds = {f.name: f.dataType for f in facts.schema.fields}
-    k, l, link = F.col("k_anonymity"), F.col("l_diversity"), LINKS["privacy"]  # noqa: E741
+def _privacy(kinds, named):
+    """Steps from the privacy report; what the report doesn't hold is left out."""
+    facts, link = F.col("facts"), LINKS["privacy"]
+    k, l = facts["k_anonymity"], facts["l_diversity"]  # noqa: E741
 
     def part(struct, name):
-        return F.col(struct)[name] if name in kinds[struct].fieldNames() else F.lit(None).cast("double")
+        return facts[struct][name] if name in kinds[struct].fieldNames() else F.lit(None).cast("double")
 
     def missed(struct, flag):
-        return F.col(struct).isNotNull() & ~F.coalesce(F.col(struct)[flag], F.lit(False))
+        return facts[struct].isNotNull() & ~F.coalesce(facts[struct][flag], F.lit(False))
 
     offers = [
-        F.when(F.size("pii_detected") > 0, _step("priv-pii", say(
-            "Mask/remove detected PII columns: ", F.array_join(F.slice("pii_detected", 1, NAMED_COLUMNS), ", "), "."), link)),
+        F.when(F.size(facts["pii_detected"]) > 0, _step("priv-pii", say(
+            "Mask/remove detected PII columns: ", F.array_join(first_of(facts["pii_detected"], named), ", "), "."), link)),
         F.when(missed("k_anonymity", "satisfies_k"), _step("priv-k-anonymity", say(
             "Increase k-anonymity: actual min k=", fixed(part("k_anonymity", "actual_min_k"), 0), ", required k=",
             fixed(k["k_value"], 0), "."), link)),
@@ -103,31 +82,49 @@ def privacy_steps(suites, artifacts) -> DataFrame:
             fixed(l["l_value"], 0), "."), link)),
     ]
     if "differential_privacy" in kinds:
-        dp = F.col("differential_privacy")
+        dp = facts["differential_privacy"]
         offers.append(F.when(missed("differential_privacy", "budget_satisfied"), _step("priv-dp", say(
             "Mitigate DP budget issue: measured ε=", fixed(dp["measured_epsilon"], 4), " exceeds target ε=",
             fixed(dp["target_epsilon"], 4), "."), link)))
     names = F.lit("")
     if "failed_identifiers" in kinds["hipaa"].fieldNames():
-        listed = F.slice(F.col("hipaa")["failed_identifiers"], 1, NAMED_COLUMNS)
+        listed = first_of(facts["hipaa"]["failed_identifiers"], named)
         names = F.when(F.size(listed) > 0, say(" Failed checks: ", F.array_join(listed, ", "), ".")).otherwise("")
     offers.append(F.when(missed("hipaa", "overall_passed"), _step("priv-hipaa", say(
         "Resolve HIPAA Safe Harbor violations by de-identifying flagged identifiers.", names), link)))
-    return _closed(facts, "privacy", F.array_compact(F.array(*offers)))
-
-
-def step_lists(suites, results, artifacts, principles=None) -> DataFrame:
-    """(suite, principle, steps) of the principles asked for; a suite without failures has none."""
-    wanted = set(principles or RERUN)
-    builders = {
-        "fairness": lambda: fairness_steps(suites, results),
-        "privacy": lambda: privacy_steps(suites, artifacts),
-        "transparency": lambda: transparency_steps(suites, results, artifacts),
-    }
-    chosen = [builders[p]() for p in RERUN if p in wanted]
-    if not chosen:
+    return F.array_compact(F.array(*offers))
+
+
+def step_lists(suites, results, artifacts, principles=None, named=NAMED_COLUMNS) -> DataFrame:
+    """(suite, principle, steps) of the principles asked for; a suite without failures has none.
+
+    Suites, results and artifacts are read once for all principles. ``artifacts`` is as in
+    ``reports.sections``, with measured values if there are any; the first ``named`` columns
+    or identifiers are listed in a text (all with None).
+    """
+    wanted = [p for p in RERUN if p in set(principles or RERUN)]
+    if not wanted:
         raise ValueError(f"choose principles from {list(RERUN)}")
-    return reduce(lambda a, b: a.unionByName(b), chosen)
+    kinds = {f.name: f.dataType for f in artifacts.schema["facts"].dataType.fields}
+    slots = suite_validations(suites).where(F.col("principle").isin(*wanted)).select("suite_id", "principle", "validation_id")
+    if wanted == ["privacy"]:
+        joined = slots.withColumn("failed", F.lit(None).cast(FAILED))
+    else:
+        joined = slots.join(_failed_metrics(results), "validation_id", "left")
+    if wanted == ["fairness"]:
+        joined = joined.withColumn("facts", F.lit(None).cast(artifacts.schema["facts"].dataType))
+    else:
+        joined = joined.join(artifacts.select(F.col("run_id").alias("validation_id"), "facts"), "validation_id", "left")
+    builders = {"fairness": _fairness, "privacy": lambda: _privacy(kinds, named), "transparency": lambda: _transparency()}
+    steps, closing = F.lit(None).cast(STEPS), F.lit(None).cast(STEPS)
+    for p in wanted:
+        step_id, text = RERUN[p]
+        steps = F.when(F.col("principle") == p, builders[p]().cast(STEPS)).otherwise(steps)
+        closing = F.when(F.col("principle") == p, F.array(_step(step_id, text, LINKS[p])).cast(STEPS)).otherwise(closing)
+    # Exploding an array of one makes the steps be built once, not again in the filter.
+    known = F.explode(F.array(F.coalesce(steps, F.array().cast(STEPS))))
+    return joined.select("suite_id", "principle", known.alias("steps")).where(F.size("steps") > 0).withColumn(
+        "steps", F.concat("steps", closing))
 
 
 def numbered_steps(lists) -> DataFrame:

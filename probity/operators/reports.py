@@ -7,7 +7,7 @@ sections of a suite, so reports for all suites are one plan.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.messages import fixed, say
+from probity.functions.messages import first_of, fixed, say
 from probity.operators.history import newest_suites
 from probity.operators.trace import latest_results, only, suite_validations
 
@@ -23,8 +23,8 @@ PASS_RATE = 0.8
 NAMED_METRICS = 3
 
 
-def sections(suites, validations, results, artifacts) -> DataFrame:
-    """One row per suite with a struct per section.
+def sections(suites, validations, results, artifacts, named=NAMED_METRICS) -> DataFrame:
+    """One row per suite with a struct per section; the first ``named`` failed metrics are listed (all with None).
 
     ``artifacts`` has one row per run: (run_id, facts) with ``facts`` parsed as
     ``ARTIFACT_FIELDS``; a run without artifacts has empty facts.
@@ -42,7 +42,7 @@ def sections(suites, validations, results, artifacts) -> DataFrame:
         *[of(m, c).alias(f"{m}_{c}") for m in shown for c in ("metric_value", "threshold", "passed")],
     ).select(
         "validation_id", "total", "failed",
-        F.transform(F.slice("failures", 1, NAMED_METRICS), lambda x: x["metric_name"]).alias("failed_names"),
+        F.transform(first_of("failures", named), lambda x: x["metric_name"]).alias("failed_names"),
         *[F.when(F.col(f"{m}_passed").isNotNull(), F.struct(*[
             F.col(f"{m}_{c}").alias(c) for c in ("metric_value", "threshold", "passed")])).alias(m) for m in shown],
     )
@@ -99,8 +99,8 @@ def executive_summary(wide) -> DataFrame:
     return rows.withColumn("executive_summary", text).drop("_failed")
 
 
-def recommendations(wide) -> DataFrame:
-    """Advice lines per suite in order, the same line once, with a fall-back line."""
+def recommendations(wide, named=NAMED_METRICS) -> DataFrame:
+    """Advice lines per suite in order, the same line once, with a fall-back line; the first ``named`` columns are listed."""
     fair, transparent, private = F.col("fairness"), F.col("transparency"), F.col("privacy")
     facts = private["facts"]
     pii = F.coalesce(facts["pii_detected"], F.array().cast("array<string>"))
@@ -118,7 +118,7 @@ def recommendations(wide) -> DataFrame:
               "Run transparency validation and publish model-card evidence for governance reviews."),
         say("Transparency warning: ", transparent["facts"]["warning"]),
         F.when(F.size(pii) > 0, say(
-            "Remove, mask, or tokenize detected PII columns (", F.array_join(F.slice(pii, 1, NAMED_METRICS), ", "),
+            "Remove, mask, or tokenize detected PII columns (", F.array_join(first_of(pii, named), ", "),
             ") before model training/inference.")),
         F.when(k.isNotNull() & ~F.coalesce(k["satisfies_k"], F.lit(False)), say(
             "Improve quasi-identifier generalization/suppression to satisfy k-anonymity (target k=", fixed(k["k_value"], 0), ").")),
@@ -127,10 +127,15 @@ def recommendations(wide) -> DataFrame:
         F.when(_status("privacy") == "not_run",
                "Run privacy validation (PII, anonymity checks) before sharing datasets externally."),
     )
-    kept = F.filter(lines, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    kept = unrepeated(F.filter(lines, lambda x: x.isNotNull() & (F.trim(x) != "")))
     final = F.when(F.size(kept) == 0, F.array(F.lit(FALLBACK))).otherwise(kept)
-    listed = wide.select("suite_id", F.posexplode(final).alias("position", "recommendation"))
-    return first_of_each(listed, ["suite_id"], "recommendation", "position")
+    return wide.select("suite_id", F.posexplode(final).alias("position", "recommendation"))
+
+
+def unrepeated(lines):
+    """An array of texts without repeats (ignoring case and outer blanks), the first one kept; for short lists."""
+    same = lambda x: F.lower(F.trim(x))
+    return F.filter(lines, lambda x, i: F.array_position(F.transform(lines, same), same(x)) == i + 1)
 
 
 def first_of_each(lines, keys, text, position) -> DataFrame:

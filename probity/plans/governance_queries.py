@@ -514,6 +514,28 @@ def report_period_compliance(spark, directory):
     return period["summary"].select("project_id", "total_suites", "passed_suites")
 
 
+CUSTOM_FROM, CUSTOM_TO = "1996-01-01 00:00:00", "1997-12-31 00:00:00"
+
+
+def custom_report_of(spark, directory):
+    """Every section of the custom report over a period, for all projects."""
+    suites, models = views(spark, directory, "g_suites", "g_models")
+    return reports.custom_report(None, suites, models, traces_of(spark, directory), date_from=CUSTOM_FROM, date_to=CUSTOM_TO)
+
+
+@register("report_custom_history", with_views("""
+    SELECT project_id, suite_id, status, COALESCE(overall_passed, FALSE) AS overall_passed, STRFTIME(started_at, '%Y-%m-%d %H:%M:%S') AS started_at
+    FROM g_suites s JOIN g_models m ON s.model_id = m.model_id
+    WHERE started_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31'""", "g_suites", "g_models"))
+def report_custom_history(spark, directory):
+    return custom_report_of(spark, directory)["history"].withColumn("started_at", stamp("started_at"))
+
+
+@register("report_custom_traceability", trace_sql(" SELECT * FROM traces"))
+def report_custom_traceability(spark, directory):
+    return custom_report_of(spark, directory)["traceability"]
+
+
 # --- Remediation ---------------------------------------------------------------------
 
 STEPS_SQL = SLOTS_SQL + f""", {LATEST_SQL},

@@ -232,3 +232,17 @@ def test_projects(spark):
     gone = catalogue.soft_delete(projects, [1], "2024-06-01 00:00:00")
     assert catalogue.live(gone).count() == 0 and gone.columns == projects.columns
     assert catalogue.dashboard_totals(counts).first()["total_assets"] == 2
+
+
+def test_named_metrics_and_columns_are_an_argument(spark):
+    lines = spark.createDataFrame([([" A", "b", "a ", None, "B", "c"],)], "x array<string>")
+    assert lines.select(reports.unrepeated(F.array_compact("x")).alias("x")).first()["x"] == [" A", "b", "c"]
+    suites = spark.createDataFrame([(1, None, None, 12)], "suite_id int, fairness_validation_id int, transparency_validation_id int, privacy_validation_id int")
+    columns = [f"col{i}" for i in range(9)]
+    facts = spark.createDataFrame([(12, columns)], "run_id int, pii array<string>").select("run_id", F.from_json(
+        F.to_json(F.struct(F.col("pii").alias("pii_detected"))), reports.ARTIFACT_FIELDS).alias("facts"))
+    results = spark.createDataFrame([], "validation_id int, result_no bigint, principle string, metric_name string, metric_value double, threshold double, passed boolean")
+    text = lambda **kw: remediation.step_lists(suites, results, facts, **kw).first()["steps"][0]["text"]
+    assert text() == "Mask/remove detected PII columns: col0, col1, col2, col3, col4."
+    assert text(principles=["privacy"], named=None) == f"Mask/remove detected PII columns: {', '.join(columns)}."
+    assert remediation.step_lists(suites, results, facts, ["fairness"]).count() == 0

@@ -70,3 +70,22 @@ def test_large_inputs_are_not_dealt_out(spark, small, monkeypatch):
     assert "RepartitionByExpression" in partitioning.spread_small(df)._jdf.queryExecution().logical().toString()
     monkeypatch.setattr(partitioning, "BYTES_PER_CORE", 1)
     assert partitioning.spread_small(df) is df
+
+
+def scans_of(text, column):
+    return sum(f"{column}:" in schema for schema in re.findall(r"ReadSchema: struct<([^>\n]*)", text))
+
+
+def test_steps_of_all_principles_read_each_table_once(spark, small):
+    # Orders are read once as suites and once for each of the two kinds of artifacts.
+    text = plan(QUERIES["remediation_steps"](spark, small))
+    assert scans_of(text, "l_discount") == 1 and scans_of(text, "o_orderkey") == 3
+
+
+def test_compared_runs_read_the_metrics_once(spark, small):
+    assert scans_of(plan(QUERIES["history_compare_runs"](spark, small)), "l_discount") == 1
+
+
+def test_recommendations_are_listed_without_a_shuffle_of_their_own(spark, small):
+    text = plan(QUERIES["report_recommendations"](spark, small))
+    assert text.count("Exchange hashpartitioning") == plan(QUERIES["report_certificate_checks"](spark, small)).count("Exchange hashpartitioning")
