@@ -1,6 +1,6 @@
 """Projects and their assets."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,9 +65,43 @@ def name_conflicts(candidates, existing, keys, name="name", ignore_case=False) -
     return candidates.withColumn("_name", fold(name)).join(taken, [*keys, "_name"], "left_semi").drop("_name")
 
 
-def newest_assets(df, project_id=None, column="created_at") -> DataFrame:
+# What a name may be used for once: the keys within which it is unique, and whether case and outer blanks count.
+NAME_KEYS = {
+    "datasets": (("project_id",), True),
+    "custom_rules": (("project_id", "principle"), False),
+    "validation_presets": (("project_id", "user_id"), False),
+}
+
+
+def refused_names(kind, candidates, existing) -> DataFrame:
+    """New assets of a kind whose name is taken, with the reason; an unnamed one is not refused here."""
+    keys, ignore_case = NAME_KEYS[kind]
+    word = {"datasets": "Dataset with name", "custom_rules": "Custom rule", "validation_presets": "Preset"}[kind]
+    where = " in this project" if kind == "datasets" else ""
+    taken = name_conflicts(candidates, existing, list(keys), ignore_case=ignore_case)
+    return taken.withColumn("reason", F.concat(F.lit(f"{word} '"), F.trim("name") if ignore_case else F.col("name"), F.lit(f"' already exists{where}")))
+
+
+def newest_assets(df, project_id=None, column="created_at", key=None) -> DataFrame:
+    """Assets, newest first; ``key`` (their id) decides between equal times, so that pages don't change."""
     chosen = df if project_id is None else df.where(F.col("project_id") == project_id)
-    return chosen.orderBy(F.desc(column))
+    return chosen.orderBy(F.desc(column), *([F.desc(key)] if key else []))
+
+
+def ranked_assets(lists, newest) -> DataFrame:
+    """(kind, project_id, rank, asset_id, name, listed_at) of the ``newest`` assets of every kind and project.
+
+    ``lists`` gives by kind a table and its (id, name, time) columns. Ranks are cut in each task before the shuffle.
+    """
+    out = None
+    for kind, (df, key, name, at) in lists.items():
+        rows = df.select(
+            F.lit(kind).alias("kind"), F.col("project_id").cast("string").alias("project_id"), F.col(key).cast("string").alias("asset_id"),
+            F.col(name).alias("name"), F.col(at).cast("timestamp").alias("listed_at"), F.col(key).alias("_key"))
+        order = Window.partitionBy("project_id").orderBy(F.desc("listed_at"), F.desc("_key"))
+        page = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= newest).drop("_key")
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
 def dashboard_totals(counts) -> DataFrame:

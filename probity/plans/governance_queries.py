@@ -1,12 +1,17 @@
 """Registered traceability, history, report, remediation, audit and catalogue queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from probity.functions import text as texts
 from probity.operators import accountability as acc
 from probity.operators import catalogue, history, remediation, reports, trace
 from probity.plans.registry import register
-from probity.sources.artifacts import as_payload, parsed, payload_or_default
+from probity.session import ensure_checkpoint_dir
+from probity.sources.artifacts import (
+    as_payload, export_audit_trail, parsed, payload_or_default, privacy_details, transparency_details, variant_payloads, write_artifacts)
+from probity.sources.datasets import export_trace_matrix, read_dataset
 from probity.sources.tables import view, with_views
 
 AS_OF = "2024-01-20 10:00:00"
@@ -627,6 +632,86 @@ def report_payloads_or_default(spark, directory):
     return out.select("run_id", F.when(F.col("payload") == "{}", "{}").otherwise("stored").alias("payload"))
 
 
+def stored_folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_payloads(spark, directory):
+    """Artifacts of four kinds written to the shared folder and read back, some of them no JSON."""
+    folder = stored_folder(spark, "artifacts")
+    facts = view(spark, directory, "g_artifacts")
+    checked = facts.select(
+        "privacy_run", ((F.col("pii_count") == 0) & F.col("satisfies_k")).alias("overall_passed"),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("pii_count")), lambda i: i > 0), lambda i: F.concat(F.lit("col"), i.cast("string"))).alias("pii_detected"),
+        "readable")
+    privacy = as_payload(checked, "privacy_run", "overall_passed", "pii_detected", "readable")
+    broken = F.get_json_object("payload", "$.readable") == "false"
+    write_artifacts(privacy.withColumn("payload", F.when(broken, "{broken").otherwise(F.col("payload"))), folder, "privacy_report")
+    value = lambda start, step: (F.lit(start) - F.col("features") * step) / 8
+    importance = facts.where("features > 0").select("transparency_run", value(6, 4).alias("balance"), value(-4, 1).alias("price"), F.lit(0.25).alias("nation"))
+    write_artifacts(as_payload(importance, "transparency_run"), folder, "feature_importance")
+    write_artifacts(as_payload(facts.where("features = 2"), "transparency_run", "features"), folder, "model_card")
+    write_artifacts(as_payload(facts.where("warning IS NOT NULL"), "transparency_run", "warning"), folder, "transparency_warning")
+    return variant_payloads(spark, folder)
+
+
+def suites_and_runs(spark, directory):
+    suites, validations = views(spark, directory, "g_suites", "g_validations")
+    return suites, validations.withColumn("run_id", F.col("validation_id"))
+
+
+@register("report_privacy_details", with_views("""
+    SELECT s.suite_id, v.validation_id, v.status, CASE WHEN readable THEN '{"overall_passed":' || ok || ',"pii_detected":[' || list || '],"readable":true}' ELSE '{}' END AS payload,
+           CASE WHEN readable THEN ok END AS overall_passed, CASE WHEN readable THEN REPLACE(list, '"', '') END AS pii_detected
+    FROM g_suites s JOIN g_validations v ON v.validation_id = s.privacy_validation_id
+    JOIN (SELECT *, pii_count = 0 AND satisfies_k AS ok,
+                 CASE pii_count WHEN 0 THEN '' WHEN 2 THEN '"col1","col2"' ELSE '"col1","col2","col3","col4"' END AS list FROM g_artifacts) a ON a.suite_id = s.suite_id""",
+    "g_suites", "g_validations", "g_artifacts"))
+def report_privacy_details(spark, directory):
+    out = privacy_details(*suites_and_runs(spark, directory), stored_payloads(spark, directory))
+    return out.withColumn("pii_detected", F.array_join("pii_detected", ","))
+
+
+@register("report_transparency_details", with_views("""
+    SELECT s.suite_id, v.validation_id, v.status,
+           CASE features WHEN 1 THEN 'price=-0.625,balance=0.25,nation=0.25' WHEN 2 THEN 'price=-0.75,balance=-0.25,nation=0.25'
+                WHEN 3 THEN 'price=-0.875,balance=-0.75,nation=0.25' END AS importance,
+           CASE features WHEN 2 THEN '{"features":2}' ELSE '{}' END AS model_card, warning,
+           CASE features WHEN 0 THEN 'model_card.json, feature_importance.json' END AS missing
+    FROM g_suites s JOIN g_validations v ON v.validation_id = s.transparency_validation_id JOIN g_artifacts a ON a.suite_id = s.suite_id""",
+    "g_suites", "g_validations", "g_artifacts"))
+def report_transparency_details(spark, directory):
+    out = transparency_details(*suites_and_runs(spark, directory), stored_payloads(spark, directory))
+    shown = F.array_join(F.transform("importance", lambda e: F.concat(e["feature"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumn("importance", shown).drop("sample_predictions")
+
+
+@register("exported_audit_trail", with_views("""
+    SELECT 'runs' AS part, run_id::VARCHAR AS id, model_id, status AS state FROM g_runs
+    UNION ALL SELECT 'versions', model_id::VARCHAR, model_id, version FROM g_models""", "g_runs", "g_models"))
+def exported_audit_trail(spark, directory):
+    """Run records and model versions written as JSON and read back."""
+    runs, models = views(spark, directory, "g_runs", "g_models")
+    folder = stored_folder(spark, "trail")
+    export_audit_trail(runs, models.select("model_id", "version"), folder)
+    back = spark.read.schema("run_id bigint, model_id bigint, status string").json(f"{folder}/runs")
+    versions = spark.read.schema("model_id bigint, version string").json(f"{folder}/versions")
+    return back.select(F.lit("runs").alias("part"), F.col("run_id").cast("string").alias("id"), "model_id", F.col("status").alias("state")).unionByName(
+        versions.select(F.lit("versions").alias("part"), F.col("model_id").cast("string").alias("id"), "model_id", F.col("version").alias("state")))
+
+
+@register("exported_trace_matrix", trace_sql("""
+    SELECT requirement_name AS "Requirement", principle AS "Principle", dataset_name AS "Dataset", model_name AS "Model",
+           metrics_passed AS "Metrics Passed", metrics_total AS "Total Metrics", status AS "Status" FROM traces"""))
+def exported_trace_matrix(spark, directory):
+    """The matrix written as CSV with every cell quoted and read back."""
+    folder = stored_folder(spark, "matrix")
+    export_trace_matrix(traces_of(spark, directory), folder)
+    schema = ("Requirement string, Principle string, Dataset string, Model string, `Metrics Passed` bigint, `Total Metrics` bigint, "
+              "Status string, `Behavior Pattern` string")
+    return read_dataset(spark, folder, schema).drop("Behavior Pattern")
+
+
 # --- Accountability --------------------------------------------------------------------
 
 @register("run_history", with_views("""
@@ -860,6 +945,62 @@ def name_conflicts(spark, directory):
     return catalogue.name_conflicts(rules, requirements, ["project_id"], ignore_case=True).select("position", "name")
 
 
+@register("refused_dataset_names", with_views("""
+    SELECT p_partkey AS upload, p_partkey % 25 AS project_id,
+           'Dataset with name ' || CHR(39) || CASE WHEN p_partkey % 2 = 0 THEN UPPER(s_name) ELSE s_name END || CHR(39) || ' already exists in this project' AS reason
+    FROM part JOIN supplier ON s_suppkey = p_partkey % 50 WHERE EXISTS (
+        SELECT 1 FROM g_datasets d WHERE d.project_id = p_partkey % 25 AND LOWER(TRIM(d.name)) = LOWER(TRIM(s_name)))""", "g_datasets"))
+def refused_dataset_names(spark, directory):
+    """Uploads under the name of a supplier, every other one in capitals, against the datasets of the project."""
+    from probity.sources.tables import table
+
+    parts, suppliers = table(spark, directory, "part"), table(spark, directory, "supplier")
+    key = F.col("p_partkey")
+    uploads = parts.join(suppliers, F.col("s_suppkey") == key % 50).select(
+        key.alias("upload"), (key % 25).alias("project_id"),
+        F.concat(F.lit(" "), F.when(key % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name"))).alias("name"))
+    return catalogue.refused_names("datasets", uploads, view(spark, directory, "g_datasets")).select("upload", "project_id", "reason")
+
+
+@register("refused_preset_names", """
+    SELECT event_id AS request, 'Preset ' || CHR(39) || event_type || CHR(39) || ' already exists' AS reason FROM events e WHERE event_id % 2 = 1 AND EXISTS (
+        SELECT 1 FROM events p WHERE p.event_id % 2 = 0 AND p.user_id = e.user_id AND p.user_id % 25 = e.user_id % 25 AND p.event_type = e.event_type)""")
+def refused_preset_names(spark, directory):
+    """Every other event asks for a preset of its user under a name of the others."""
+    from probity.sources.tables import table
+
+    presets = table(spark, directory, "events").select(
+        F.col("event_id").alias("request"), (F.col("user_id") % 25).alias("project_id"), "user_id", F.col("event_type").alias("name"))
+    return catalogue.refused_names("validation_presets", presets.where("request % 2 = 1"), presets.where("request % 2 = 0")).select("request", "reason")
+
+
+ASSETS = {"rules": ("g_rules", "position", "name", "created_at"), "requirements": ("g_requirements", "requirement_id", "name", None),
+          "models": ("g_models", "model_id", "name", None), "datasets": ("g_datasets", "dataset_id", "name", None),
+          "presets": ("g_notifications", "notification_id", "kind", "created_at")}
+
+
+def asset_sql(kind):
+    source, key, name, at = ASSETS[kind]
+    project = "user_id % 25" if kind == "presets" else "project_id"
+    when = at or f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST({key} % 30 AS INTEGER)"
+    return f"""SELECT '{kind}' AS kind, ({project})::VARCHAR AS project_id, r AS "rank", {key}::VARCHAR AS asset_id, {name} AS name,
+        STRFTIME(listed_at, '%Y-%m-%d %H:%M:%S') AS listed_at FROM (SELECT *, {when} AS listed_at,
+            CAST(ROW_NUMBER() OVER (PARTITION BY {project} ORDER BY {when} DESC, {key} DESC) AS INTEGER) AS r FROM {source}) WHERE r <= 100"""
+
+
+@register("assets_newest_first", with_views(" UNION ALL ".join(asset_sql(k) for k in ASSETS), *[v[0] for v in ASSETS.values()]))
+def assets_newest_first(spark, directory):
+    """The newest 100 assets of every kind and project with their rank."""
+    lists = {}
+    for kind, (source, key, name, at) in ASSETS.items():
+        df = view(spark, directory, source)
+        if kind == "presets":
+            df = df.withColumn("project_id", F.col("user_id") % 25)
+        day = F.timestamp_add("DAY", (F.col(key) % 30).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+        lists[kind] = (df if at else df.withColumn("listed_at", day), key, name, at or "listed_at")
+    return catalogue.ranked_assets(lists, 100).withColumn("listed_at", stamp("listed_at"))
+
+
 @register("rules_newest_first", with_views("""
     SELECT position, project_id, STRFTIME(created_at, '%Y-%m-%d') AS created_on FROM g_rules WHERE principle = 'fairness'""", "g_rules"))
 def rules_newest_first(spark, directory):
