@@ -285,6 +285,29 @@ def column_profile(df, approximate=False) -> DataFrame:
     return counts.join(F.broadcast(numeric_stats(df, approximate=approximate, numbers=numbers)), "column", "left")
 
 
+def registration_profile(df, value_counts=True) -> DataFrame:
+    """One row (row_count, profile_data): types, missing and distinct values of every column as JSON, columns in name order.
+
+    With ``value_counts`` also all counts of the columns with few distinct values. Lists are as long as the table
+    is wide; a table without rows has no entries but its types.
+    """
+    def object_of(key, value):
+        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+
+    kinds = sorted(df.dtypes)
+    types = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.lit(t).alias("v")) for c, t in kinds]))
+    facts = column_counts(df).agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("row_count"),
+        object_of("column", "null_count").alias("missing_values"), object_of("column", "unique_count").alias("unique_counts"))
+    parts = [types.alias("column_types"), "missing_values", "unique_counts"]
+    if value_counts:
+        small = small_domain_counts(df).groupBy("column").agg(object_of("value", "count").alias("values"))
+        entries = small.agg(F.array_sort(F.collect_list(F.struct("column", F.map_entries("values").alias("values")))).alias("entries"))
+        parts.append(entries.select(F.map_from_entries(F.transform("entries", lambda e: F.struct(
+            e["column"].alias("k"), F.map_from_entries(e["values"]).alias("v"))))).scalar().alias("value_counts"))
+    return facts.select("row_count", F.to_json(F.struct(*parts)).alias("profile_data"))
+
+
 def likely_sensitive(profile) -> DataFrame:
     """Text columns whose values are mostly distinct."""
     ratio = F.coalesce(F.try_divide(F.col("unique_count").cast("double"), F.col("rows").cast("double")), F.lit(0.0))

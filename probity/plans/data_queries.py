@@ -376,6 +376,38 @@ def normalised_copies(spark, directory):
     return out
 
 
+REGISTERED = {
+    "customer": [("c_acctbal", "double"), ("c_custkey", "bigint"), ("c_mktsegment", "string"), ("c_name", "string"), ("c_nationkey", "int")],
+    "orders": [("o_custkey", "bigint"), ("o_orderkey", "bigint"), ("o_orderpriority", "string"), ("o_orderstatus", "string")],
+}
+
+
+def registration_sql(name):
+    kinds = REGISTERED[name]
+    types = ",".join(f'"{c}":"{t}"' for c, t in kinds)
+    hole = lambda c: f"NULLIF({c}, 'P')" if c == "o_orderstatus" else c
+    per_column = lambda made: " || ',' || ".join(f"""'"{c}":' || {made(hole(c))}""" for c, _ in kinds)
+    values = ", ".join(f"""(SELECT CASE WHEN COUNT(*) <= 20 THEN '"{c}":{{' || STRING_AGG('"' || v || '":' || n, ',' ORDER BY v) || '}}' END
+        FROM (SELECT {hole(c)}::VARCHAR AS v, COUNT(*) AS n FROM {name} WHERE {hole(c)} IS NOT NULL GROUP BY 1))""" for c, _ in kinds)
+    return f"""SELECT 'p1' AS project_id, '{name}' AS name, '{name}.parquet' AS file_path, COUNT(*) AS row_count, {len(kinds)} AS column_count,
+        '{",".join(c for c, _ in kinds)}' AS columns, '{kinds[-1][0]}' AS target_column, '{{"column_types":{{{types}}},"missing_values":{{'
+        || {per_column(lambda c: f"(COUNT(*) - COUNT({c}))")} || '}},"unique_counts":{{' || {per_column(lambda c: f"COUNT(DISTINCT {c})")}
+        || '}},"value_counts":{{' || CONCAT_WS(',', {values}) || '}}}}' AS profile_data FROM {name}"""
+
+
+@register("dataset_registration", " UNION ALL ".join(registration_sql(n) for n in REGISTERED))
+def dataset_registration(spark, directory):
+    """The rows two tables are registered with, their profiles included."""
+    out = None
+    for name, kinds in REGISTERED.items():
+        df = table(spark, directory, name).select(*[c for c, _ in kinds])
+        if name == "orders":
+            df = df.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+        row = datasets.dataset_record(df, name, "p1", f"{name}.parquet", target=kinds[-1][0], value_counts=True)
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("columns", F.array_join("columns", ",")).drop("sensitive_attributes")
+
+
 @register("incomplete_rows", with_views("""
     SELECT COUNT(*) AS rows_total, SUM(CASE WHEN requirement_id IS NULL OR status = 'running' THEN 1 ELSE 0 END)::BIGINT
            AS rows_excluded FROM g_validations""", "g_validations"))

@@ -25,7 +25,7 @@ def catalogue_with_files(spark, folder) -> DataFrame:
 
 
 def load_benchmark(spark, folder, key, project_id, schema=None):
-    """(rows, registration row) of one benchmark dataset."""
+    """(rows, registration row with the profile and the counts of small domains) of one benchmark dataset."""
     entry = next((e for e in BENCHMARK_DATASETS if e[0] == key), None)
     if entry is None:
         raise ValueError(f"Unknown dataset key: {key}")
@@ -34,7 +34,7 @@ def load_benchmark(spark, folder, key, project_id, schema=None):
     df = read_dataset(spark, path, schema)
     here = [c for c in sensitive if c in df.columns]
     check_dataset(df, sensitive=here)
-    return df, dataset_record(df, name, project_id, path, target if target in df.columns else None, here)
+    return df, dataset_record(df, name, project_id, path, target if target in df.columns else None, here, value_counts=True)
 
 
 def load_all(spark, folder, project_id):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probity.functions.text import guard_cells
 from probity.operators.anonymize import anonymise
+from probity.operators.profile import registration_profile
 from probity.operators.trace import trace_export
 
 
@@ -63,13 +64,17 @@ def export_trace_matrix(traces, path, patterns=None, mode="overwrite"):
         "escape", '"').csv(path)
 
 
-def dataset_record(df, name, project_id, path, target=None, sensitive=()) -> DataFrame:
-    """The row a dataset is registered with."""
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+def dataset_record(df, name, project_id, path, target=None, sensitive=(), profiled=True, value_counts=False) -> DataFrame:
+    """The row a dataset is registered with, its profile (see ``registration_profile``) included unless not wanted."""
+    if profiled:
+        facts = registration_profile(df, value_counts)
+    else:
+        facts = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("profile_data", F.lit(None).cast("string"))
+    return facts.select(
         F.lit(project_id).alias("project_id"), F.lit(name).alias("name"), F.lit(str(path)).alias("file_path"), "row_count",
         F.lit(len(df.columns)).alias("column_count"), F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         F.array(*[F.lit(c) for c in sensitive]).cast("array<string>").alias("sensitive_attributes"),
-        F.lit(target).cast("string").alias("target_column"))
+        F.lit(target).cast("string").alias("target_column"), "profile_data")
 
 
 def files_in(spark, folder) -> DataFrame:

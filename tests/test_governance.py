@@ -246,3 +246,23 @@ def test_named_metrics_and_columns_are_an_argument(spark):
     assert text() == "Mask/remove detected PII columns: col0, col1, col2, col3, col4."
     assert text(principles=["privacy"], named=None) == f"Mask/remove detected PII columns: {', '.join(columns)}."
     assert remediation.step_lists(suites, results, facts, ["fairness"]).count() == 0
+
+
+def test_names_are_taken_by_kind(spark):
+    assets = lambda rows: spark.createDataFrame(rows, "project_id int, user_id int, principle string, name string")
+    there = assets([(1, 7, "fairness", " Loans "), (2, 7, "fairness", None)])
+    new = assets([(1, 8, "privacy", "LOANS"), (1, 7, "fairness", " Loans "), (2, 7, "fairness", "Loans"), (2, 7, "fairness", None)])
+    refused = lambda kind: sorted((r["user_id"], r["name"], r["reason"]) for r in catalogue.refused_names(kind, new, there).collect())
+    said = "Dataset with name '{}' already exists in this project".format
+    assert refused("datasets") == [(7, " Loans ", said("Loans")), (8, "LOANS", said("LOANS"))]
+    assert refused("validation_presets") == [(7, " Loans ", "Preset ' Loans ' already exists")]
+    assert [r[0] for r in refused("custom_rules")] == [7]
+
+
+def test_ranked_assets_decide_ties_by_id(spark):
+    rows = spark.createDataFrame([(1, 10, "a", "2024-01-02"), (1, 11, "b", "2024-01-02"), (1, 9, "c", "2024-01-03"), (2, 1, "d", None)],
+                                 "project_id int, id int, name string, made string")
+    out = catalogue.ranked_assets({"x": (rows, "id", "name", "made")}, 2)
+    assert sorted((r["project_id"], r["rank"], r["name"]) for r in out.collect()) == [("1", 1, "c"), ("1", 2, "b"), ("2", 1, "d")]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["id"] for r in catalogue.newest_assets(rows, 1, "made", "id").collect()] == [9, 11, 10]

@@ -1,5 +1,6 @@
 import csv
 import glob
+import json
 import os
 
 import pytest
@@ -117,6 +118,12 @@ def test_benchmarks(spark, tmp_path):
     assert set(loaded) == {"adult_income"} and set(failures) == {"compas", "german_credit", "bank_marketing", "diabetes_readmission"}
     df, record = loaded["adult_income"]
     row = record.first()
+    assert json.loads(row["profile_data"]) == {
+        "column_types": {"age": "int", "income": "string", "sex": "string"}, "missing_values": {"age": 0, "income": 0, "sex": 0},
+        "unique_counts": {"age": 2, "income": 2, "sex": 2},
+        "value_counts": {"age": {"30": 1, "40": 1}, "income": {"<=50K": 1, ">50K": 1}, "sex": {"F": 1, "M": 1}}}
+    governance.append_rows(record, folder, "datasets")
+    assert governance.read_table(spark, folder, "datasets").first()["profile_data"] == row["profile_data"]
     assert df.count() == 2 and row["row_count"] == 2 and row["sensitive_attributes"] == ["sex"] and row["target_column"] == "income"
     with pytest.raises(ValueError):
         benchmarks.load_benchmark(spark, folder, "nope", "p1")
@@ -126,3 +133,35 @@ def test_benchmarks(spark, tmp_path):
     plan = benchmarks.load_plan(choices, templates.built_in(spark), benchmarks.catalogue(spark), existing, files).collect()
     assert {(r["project_id"], r["dataset_key"]): r["outcome"] for r in plan} == {
         ("p1", "adult_income"): "loaded", ("p1", "german_credit"): "skipped_existing", ("p2", "compas"): "missing_files"}
+
+
+def test_registration_profiles_of_odd_tables(spark):
+    odd = spark.createDataFrame([(None, "x" * 5000, 1.5), (None, 'a"b', None), (None, "x" * 5000, None)], "none string, `a b` string, `v.w` double")
+    named = odd.toDF("none", "a b", "vw")
+    row = datasets.dataset_record(named, "odd", "p", "odd.parquet", value_counts=True).first()
+    facts = json.loads(row["profile_data"])
+    assert row["row_count"] == 3 and facts["missing_values"] == {"none": 3, "a b": 0, "vw": 2}
+    assert facts["unique_counts"] == {"none": 0, "a b": 2, "vw": 1}
+    assert facts["value_counts"] == {"a b": {'a"b': 1, "x" * 5000: 2}, "vw": {"1.5": 1}}
+    none = datasets.dataset_record(named.limit(0), "odd", "p", "odd.parquet", value_counts=True).first()
+    assert none["row_count"] == 0 and json.loads(none["profile_data"])["unique_counts"] == {}
+    assert datasets.dataset_record(named, "odd", "p", "odd.parquet", profiled=False).first()["profile_data"] is None
+
+
+def test_details_by_suite_take_any_artifact(spark, tmp_path):
+    suites = spark.createDataFrame([(1, "t1", "p1"), (2, "t2", None), (3, None, "p3")], "suite_id int, transparency_validation_id string, privacy_validation_id string")
+    validations = spark.createDataFrame([(v, "completed", f"run-{v}") for v in ("t1", "t2", "p1", "p3")], "validation_id string, status string, run_id string")
+    path = str(tmp_path / "artifacts")
+    stored = lambda *rows: spark.createDataFrame(list(rows), "run_id string, payload string")
+    artifacts.write_artifacts(stored(("run-p1", '{"pii_detected": ["a"], "own field": {"deep": [1]}}'), ("run-p3", "{torn")), path, "privacy_report")
+    artifacts.write_artifacts(stored(("run-t1", '{"b": -2, "a": 2.0, "c": 0.5, "d": "no number", "e": null}')), path, "feature_importance")
+    artifacts.write_artifacts(stored(("run-t1", '[1, 2]')), path, "sample_predictions")
+    found = artifacts.variant_payloads(spark, path)
+    privacy = {r["suite_id"]: r for r in artifacts.privacy_details(suites, validations, found).collect()}
+    assert json.loads(privacy[1]["payload"]) == {"pii_detected": ["a"], "own field": {"deep": [1]}}
+    assert privacy[1]["overall_passed"] is None and privacy[3]["payload"] == "{}" and set(privacy) == {1, 3}
+    shown = {r["suite_id"]: r for r in artifacts.transparency_details(suites, validations, found).collect()}
+    assert [tuple(e) for e in shown[1]["importance"]] == [("a", 2.0), ("b", -2.0), ("c", 0.5)]
+    assert shown[1]["sample_predictions"] == "[1,2]" and shown[1]["missing"] is None and shown[1]["model_card"] == "{}"
+    assert shown[2]["importance"] is None and shown[2]["missing"] == "model_card.json, feature_importance.json"
+    assert set(shown) == {1, 2}
