@@ -16,16 +16,19 @@ def run_records(starts, metrics, ends) -> DataFrame:
     """Runs as recorded: one row per start with its metrics and how it ended.
 
     ``metrics`` holds (run_id, metric, value, logged_at); the latest value of a
-    metric counts. A run without an end is ``running``; errors are cut short.
+    metric counts, and a missing name is the empty one. A run without an end is
+    ``running``; errors are cut short.
     """
-    latest = metrics.withColumn("metric", clean_metric_name("metric")).groupBy("run_id", "metric").agg(
+    name = F.coalesce(clean_metric_name("metric"), F.lit(""))
+    latest = metrics.withColumn("metric", name).groupBy("run_id", "metric").agg(
         F.max_by("value", "logged_at").alias("value"))
     merged = latest.groupBy("run_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
     ended = ends.select(
         "run_id", "completed_at", F.substring("error", 1, MAX_ERROR).alias("error"),
         F.when(F.col("error").isNotNull(), "error").when(F.col("passed"), "passed").otherwise("failed").alias("status"))
-    return starts.join(merged, "run_id", "left").join(ended, "run_id", "left").withColumn(
+    # Size estimates do not see how long the error texts are, so these must not be broadcast.
+    return starts.join(merged, "run_id", "left").join(ended.hint("merge"), "run_id", "left").withColumn(
         "status", F.coalesce("status", F.lit("running")))
 
 

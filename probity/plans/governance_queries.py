@@ -738,9 +738,9 @@ def run_records(spark, directory):
     starts = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("model_id"))
     metrics = lines.select(
         F.col("l_orderkey").alias("run_id"),
-        F.concat(F.lit("loss "), "l_returnflag", F.lit("-"), "l_linestatus").alias("metric"),
+        F.concat(F.lit("loss "), F.coalesce("l_returnflag", F.lit("")), F.lit("-"), F.coalesce("l_linestatus", F.lit(""))).alias("metric"),
         F.col("l_extendedprice").alias("value"), F.struct("l_shipdate", "l_extendedprice").alias("logged_at"))
-    ends = orders.where("o_orderstatus <> 'P'").select(
+    ends = orders.where(~F.col("o_orderstatus").eqNullSafe("P")).select(
         F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("completed_at"),
         F.when(F.col("o_orderstatus") == "O", F.repeat(F.lit("x"), 3000)).alias("error"),
         (F.col("o_totalprice") > 200000).alias("passed"))
@@ -748,7 +748,7 @@ def run_records(spark, directory):
     values = F.map_values(F.coalesce("metrics", F.create_map().cast("map<string,double>")))
     return runs.select(
         "run_id", F.size(values).alias("metrics"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 2).alias("total"), "status",
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 2).alias("total"), "status",
         F.length("error").alias("error_length"))
 
 

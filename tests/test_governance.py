@@ -205,6 +205,16 @@ def test_runs(spark):
     assert rows["r2"]["status"] == "running"
 
 
+def test_long_errors_of_runs_are_not_broadcast(spark):
+    starts = spark.createDataFrame([("r1", "m")], "run_id string, model_id string")
+    metrics = spark.createDataFrame([("r1", "a", 1.0, 1), ("r1", None, 2.0, 2)], "run_id string, metric string, value double, logged_at int")
+    ends = spark.createDataFrame([("r1", DAY(2024, 1, 1), "e", None)], "run_id string, completed_at timestamp, error string, passed boolean")
+    runs = acc.run_records(starts, metrics, ends)
+    joins = [x for x in runs._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert "SortMergeJoin" in joins[0]  # the last join brings the errors
+    assert runs.first()["metrics"] == {"": 2.0, "a": 1.0}
+
+
 def test_log_page_keeps_entries_of_unknown_users(spark):
     logs = spark.createDataFrame([(i, DAY(2024, 1, i), i, "x", "y") for i in range(1, 6)], "audit_id int, event_time timestamp, user_id int, action string, resource_type string")
     users = spark.createDataFrame([(4, "d@e.org")], "user_id int, email string")
