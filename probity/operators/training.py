@@ -7,6 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
+from probity.functions.partitioning import packed
 from probity.operators.prep import stratified_split
 from probity.operators.scoring import evaluation, score_pipeline
 
@@ -33,7 +34,13 @@ def train_zoo(df, features, label, id_column, seed=42, trees=200, boosting_round
     """
     if df.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2:
         return {}, None, {}
-    split = stratified_split(df.select(id_column, label, *features), label, id_column, seed=seed).persist()
+    marked = stratified_split(df.select(id_column, label, *features), label, id_column, seed=seed).persist()
+    marked.count()  # the size of what is persisted is known only then
+    split = packed(marked)
+    if split is not marked:
+        split = split.persist()
+        split.count()
+        marked.unpersist()
     models, failures, rows = {}, {}, []
     for name, pipeline in estimators(features, label, seed, trees, boosting_rounds).items():
         if names is not None and name not in names:

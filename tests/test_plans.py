@@ -72,6 +72,16 @@ def test_large_inputs_are_not_dealt_out(spark, small, monkeypatch):
     assert partitioning.spread_small(df) is df
 
 
+def test_rows_of_an_iterative_fit_are_packed_into_few_tasks(spark):
+    rows = spark.range(0, 1000, 1, 300).select("id", (F.col("id") % 2).alias("y")).persist()
+    assert rows.count() == 1000
+    few = partitioning.packed(rows)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, rows.collect()))
+    coarse = spark.range(0, 1000, 1, 8).persist()
+    assert coarse.count() == 1000 and partitioning.packed(coarse) is coarse
+
+
 def scans_of(text, column):
     return sum(f"{column}:" in schema for schema in re.findall(r"ReadSchema: struct<([^>\n]*)", text))
 
