@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 BYTES_PER_CORE = 16 << 20
 FEW = 4
+BYTES_PER_PART = 4 << 20
+#: Estimates over joins can be far too high.
+MOST_PARTS = 10_000
 
 
 def spread_small(df):
@@ -37,6 +40,17 @@ def packed(df):
     return df.repartition(tasks, *[F.col(f"`{c}`") for c in df.columns])
 
 
+def parted_by(df, *keys):
+    """Rows dealt out by their keys into parts whose number grows with the input, so that a part does not.
+
+    The adaptive optimizer joins parts by their compressed bytes, which says little of what a sort
+    or a hash table of them takes; it leaves a stated number of parts alone.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(math.ceil(estimated_bytes(df) / BYTES_PER_PART), MOST_PARTS)
+    return df.repartition(max(least, parts), *[F.col(k) for k in keys])
+
+
 def estimated_bytes(df):
     """The optimizer's estimate of a DataFrame's size; nothing is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

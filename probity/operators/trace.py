@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions import messages as M
+from probity.functions.partitioning import parted_by
 
 NO_RESULTS = "No validation results available."
 NO_PATTERN = "No measurable behavior patterns detected."
@@ -130,7 +131,7 @@ def requirement_history(validations, results, models, datasets, requirement_id=N
 
 def requirement_history_results(history, results) -> DataFrame:
     """The results behind a history, one row each."""
-    return history.select("requirement_id", "validation_id", "created_at").join(results, "validation_id")
+    return history.select("requirement_id", "validation_id", "created_at").join(parted_by(results, "validation_id"), "validation_id")
 
 
 def decided_history(history) -> DataFrame:

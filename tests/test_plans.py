@@ -82,6 +82,16 @@ def test_rows_of_an_iterative_fit_are_packed_into_few_tasks(spark):
     assert coarse.count() == 1000 and partitioning.packed(coarse) is coarse
 
 
+def test_parts_grow_in_number_with_the_input(spark, small, monkeypatch):
+    results = view(spark, small, "g_results")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitioning.parted_by(results, "validation_id").rdd.getNumPartitions() == least
+    monkeypatch.setattr(partitioning, "BYTES_PER_PART", partitioning.estimated_bytes(results) // 50)
+    assert partitioning.parted_by(results, "validation_id").rdd.getNumPartitions() in (50, 51)
+    text = plan(QUERIES["trace_history_results"](spark, small))
+    assert re.search(r"hashpartitioning\(validation_id#\d+L, 5[01]\), REPARTITION_BY_NUM", text)
+
+
 def scans_of(text, column):
     return sum(f"{column}:" in schema for schema in re.findall(r"ReadSchema: struct<([^>\n]*)", text))
 
