@@ -166,9 +166,12 @@ def dataset_usage(validations) -> DataFrame:
 
 
 def latest_results(results) -> DataFrame:
-    """One result per validation and metric: the one with the highest ``result_no``."""
+    """One result per validation and metric: the one with the highest ``result_no``.
+
+    Few results share both, so combining them before the shuffle would only fill and spill hash tables.
+    """
     others = [c for c in results.columns if c not in ("validation_id", "metric_name", "result_no")]
-    return results.groupBy("validation_id", "metric_name").agg(
+    return parted_by(results, "validation_id").groupBy("validation_id", "metric_name").agg(
         F.max("result_no").alias("result_no"), *[F.max_by(c, "result_no").alias(c) for c in others])
 
 
