@@ -26,6 +26,16 @@ def spread_small(df):
     return df.repartition(cores, *[F.col(f"`{c}`") for c in df.columns])
 
 
+def dealt_out(df):
+    """Slim rows dealt out evenly to at least as many tasks as a shuffle has, for work that expands each of them.
+
+    Files and joins split by bytes, which says nothing of such work. The number is stated, so that the adaptive
+    optimizer does not join the parts by their bytes either.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *[F.col(f"`{c}`") for c in df.columns])
+
+
 def packed(df):
     """A persisted, computed input dealt out to fewer tasks, where each would have next to nothing to do.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.checks import require_columns
+from probity.functions.partitioning import dealt_out
 from probity.operators.prep import sample_rows
 from probity.operators.scoring import evaluation, sigmoid
 from probity.operators.surrogates import local_surrogates
@@ -101,7 +102,7 @@ def shapley_values(df, id_column, features, sample, scorer, samples=None, seed=4
 
     ``scorer`` adds a ``score`` column to a DataFrame with the features (a Column
     expression, a Spark ML model or ``score_with``): the probability of class 1, which is
-    predicted from ``threshold`` on. Every row is expanded with
+    predicted from ``threshold`` on. Rows are dealt out to all tasks, and every row is expanded with
     the coalitions and the background sample inside its task, and all of it is
     added up before the shuffle, so only one row per input row is sent. The empty
     coalition is the same for all rows and the full one needs no background. Values
@@ -124,7 +125,8 @@ def shapley_values(df, id_column, features, sample, scorer, samples=None, seed=4
     sample_list = sample.agg(F.collect_list(F.struct(*doubles))).scalar()
     base = scorer(sample.select(*doubles)).agg(F.avg("score")).scalar()
     count = F.size(sample_list)
-    expanded = df.select(id_column, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features]).select(
+    own = dealt_out(df.select(id_column, *[F.col(f).cast("double").alias(f"_x_{f}") for f in features]))
+    expanded = own.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(len(mixed_ones)) * count)).alias("_i")
     ).withColumns({"_c": F.floor(F.col("_i") / count).cast("int"), "_b": sample_list[F.col("_i") % count]})
     mixed = expanded.select(id_column, "_c", *[

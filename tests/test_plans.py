@@ -92,6 +92,19 @@ def test_parts_grow_in_number_with_the_input(spark, small, monkeypatch):
     assert re.search(r"hashpartitioning\(validation_id#\d+L, 5[01]\), REPARTITION_BY_NUM", text)
 
 
+def test_rows_are_dealt_out_before_they_are_expanded(spark, small):
+    text = plan(QUERIES["shap_global_importance"](spark, small))
+    expanded = text[text.index("Generate explode(sequence"):]
+    assert re.search(r"Exchange hashpartitioning\(.*, 4\), REPARTITION_BY_NUM", expanded)
+
+
+def test_latest_results_are_combined_after_the_shuffle(spark, small):
+    text = plan(QUERIES["remediation_checklists"](spark, small))
+    latest = next(x for x in text.splitlines() if "partial_max_by(" in x)
+    below = text[text.index(latest) + len(latest):]
+    assert "REPARTITION_BY_NUM" in below.split("FileScan")[0]
+
+
 def scans_of(text, column):
     return sum(f"{column}:" in schema for schema in re.findall(r"ReadSchema: struct<([^>\n]*)", text))
 
