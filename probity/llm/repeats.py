@@ -14,10 +14,10 @@ repeats are found, since any two equal strings share an anchor.
 """
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -25,15 +25,15 @@ from .spans import blocks, mixed, powers
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of texts around anchors that one suffix array is built over; an anchor of up to HOT_KINDS kinds is not parted.
-ARRAY_BYTES = 1 << 21
+#: Bytes of texts around anchors that one suffix array is built over, few enough for a core's cache; no anchor is parted.
+ARRAY_BYTES = 1 << 18
 #: An anchor of more kinds of texts is not compared in one task: windows that hold it are grouped by their hashes instead.
-HOT_KINDS = ARRAY_BYTES // (2 * LENGTH - GRAM)
+HOT_KINDS = (1 << 21) // (2 * LENGTH - GRAM)
 #: Kinds of texts around one anchor among TEXT_BYTES of texts from which they are dealt out by the texts, not by the anchor.
 HOT_HERE = 32
 #: Bytes of text whose anchors meet in one bucket, on average; the number of buckets grows with the corpus.
 BUCKET_BYTES = 4 << 20
-#: Bytes of texts whose anchors are packed together.
+#: Bytes of texts whose anchors are packed together, or of texts around anchors that are cut out at once.
 TEXT_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 
@@ -45,38 +45,45 @@ def suffix_array(values):
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: values[i:].tolist()), np.int64)
     padded = np.concatenate([values - values.min() + 1, np.zeros(3, np.int64)])
-    start = np.arange(n + (n % 3 == 1))  # one more suffix at the end, so that the halves of the sample don't run together
-    sampled = np.concatenate([start[start % 3 == 1], start[start % 3 == 2]])
-    a, b, c = padded[sampled], padded[sampled + 1], padded[sampled + 2]
+    extra = n % 3 == 1  # one more suffix at the end, so that the halves of the sample don't run together
+    ones, twos = (n + extra + 1) // 3, (n + extra) // 3
+    zero, one, two, three = (np.ascontiguousarray(padded[k::3]) for k in range(4))  # characters by their place modulo 3
     if padded.max() < 1 << 21:  # a triple fits into one number
-        order = np.argsort((a << 42) | (b << 21) | c)
+        triples = np.concatenate([(one[:ones] << 42) | (two[:ones] << 21) | three[:ones], (two[:twos] << 42) | (three[:twos] << 21) | one[1:twos + 1]])
+        order = np.argsort(triples)
+        triples = triples[order]
+        new = triples[1:] != triples[:-1]
     else:
-        order = np.lexsort((c, b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (c[order][1:] != c[order][:-1])
+        triples = [np.concatenate(x) for x in ((one[:ones], two[:twos]), (two[:ones], three[:twos]), (three[:ones], one[1:twos + 1]))]
+        order = np.lexsort(triples[::-1])
+        triples = [x[order] for x in triples]
+        new = np.logical_or.reduce([x[1:] != x[:-1] for x in triples])
     names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new)
-    if names.max() < len(names):
+    names[order] = np.concatenate([[1], 1 + np.cumsum(new)])
+    if not new.all():
         order = suffix_array(names)
-    rank = np.zeros(n + 4, np.int64)
-    rank[sampled[order]] = np.arange(1, len(order) + 1)
-    ranked = sampled[order]
-    ranked = ranked[ranked < n]
-    rest = start[(start % 3 == 0) & (start < n)]
-    base = np.int64(len(rank) + 1)
-    rest = rest[np.argsort(padded[rest] * base + rank[rest + 1])]
-    one, two = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
-    below = np.searchsorted(padded[one] * base + rank[one + 1], padded[rest] * base + rank[rest + 1])
-    # Two characters and a rank in one number: the pairs of characters are named first.
-    top = np.int64(padded.max() + 1)
-    pair = np.unique(np.concatenate([padded[two] * top + padded[two + 1], padded[rest] * top + padded[rest + 1]]), return_inverse=True)[1]
-    below += np.searchsorted(pair[:len(two)] * base + rank[two + 2], pair[len(two):] * base + rank[rest + 2])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    rank_one, rank_two = (np.concatenate([x, np.zeros(2, np.int64)]) for x in (rank[:ones], rank[ones:]))
+    if extra:
+        order = order[order != ones - 1]
+    is_one = order < ones
+    own_one, own_two = order[is_one], order[~is_one] - ones
+    # Two characters and a rank in one number, wherever they fit.
+    rests, base, top = (n + 2) // 3, len(order) + 3, int(padded.max()) + 1
+    rest = zero[:rests] * base + rank_one[:rests]
+    by = np.argsort(rest)
+    below = np.searchsorted(one[own_one] * base + rank_two[own_one], rest[by])
+    pairs = [two[:twos] * top + three[:twos], zero[:rests] * top + one[:rests]]
+    if top * top * base > LAST:  # they don't fit: the pairs are named first
+        pairs = np.split(np.unique(np.concatenate(pairs), return_inverse=True)[1], [twos])
+    below += np.searchsorted((pairs[0] * base + rank_one[1:twos + 1])[own_two], (pairs[1] * base + rank_two[:rests])[by])
     out = np.empty(n, np.int64)
-    at = np.arange(len(rest)) + below
-    out[at] = rest
+    at = np.arange(rests) + below
+    out[at] = 3 * by
     free = np.ones(n, bool)
     free[at] = False
-    out[free] = ranked
+    out[free] = np.where(is_one, 3 * order + 1, 3 * (order - ones) + 2)
     return out
 
 
@@ -105,7 +112,6 @@ def anchors(data, offsets, length=LENGTH, gram=GRAM):
         whole[max(0, edge - length + 1):min(edge, windows)] = False
     chosen = (least[:windows][whole] & np.uint64((1 << 30) - 1)).astype(np.int64)
     chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
-    chosen = np.unique(chosen)
     row = np.searchsorted(offsets, chosen, "right") - 1
     low, high = np.maximum(offsets[row], chosen - (length - gram)), np.minimum(offsets[row + 1], chosen + length)
     shape = ((chosen - low) * (2 * length) + high - low).astype(np.uint64)
@@ -118,13 +124,23 @@ def anchors(data, offsets, length=LENGTH, gram=GRAM):
 PLACE_BITS, HASH_BITS = 28, 35
 
 
+#: Texts and arrays travel compressed, texts a little more tightly; their sizes are told beside them.
+CODEC, TEXT_LEVEL = "zstd", 3
+
+
+def _unpacked(raw, size):
+    return pa.decompress(raw, int(size), CODEC, asbytes=True)
+
+
 def _planes(values):
     """Bytes of an array of numbers, all first bytes, then all second bytes and so on: they pack better so."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), CODEC, asbytes=True)
 
 
-def _unplaned(raw, kind):
-    return np.frombuffer(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).tobytes(), kind)
+def _unplaned(raw, kind, count):
+    width = np.dtype(kind).itemsize
+    raw = _unpacked(raw, width * count)
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).tobytes(), kind)
 
 
 def _packed_anchors(hashes, around, places, keys, ords):
@@ -132,15 +148,16 @@ def _packed_anchors(hashes, around, places, keys, ords):
     order = np.argsort(hashes)
     who, first, own = np.unique(keys[order], return_index=True, return_inverse=True)
     steps = np.diff(hashes[order], prepend=hashes.dtype.type(0))
-    told = [zlib.compress(_planes(x), 1) for x in (steps, places[order].astype(np.int32), own.astype(np.int32), who, ords[order][first])]
+    told = [_planes(x) for x in (steps, places[order].astype(np.int32), own.astype(np.int32), who, ords[order][first])]
     return [around[order].tobytes(), *told]
 
 
 def _unpacked_anchors(row):
     around, *row = row
-    kinds = (np.uint64, np.int32, np.int32, np.int64, np.int64)
-    steps, places, own, who, ords = (_unplaned(zlib.decompress(x), k) for x, k in zip(row, kinds, strict=True))
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(around, np.uint64).copy(), places, who[own], ords[own]
+    around = np.frombuffer(around, np.uint64).copy()
+    steps, places, own = (_unplaned(x, k, len(around)) for x, k in zip(row, (np.uint64, np.int32, np.int32)))
+    who, ords = (_unplaned(x, np.int64, int(own.max()) + 1) for x in row[3:])
+    return np.cumsum(steps, dtype=np.uint64), around, places, who[own], ords[own]
 
 
 COLUMNS = ["around", "steps", "places", "own", "who", "ords"]
@@ -157,15 +174,12 @@ def _anchored(known, bits, here=HOT_HERE):
     """
     def found(batches):
         for batch in batches:
-            sizes = np.cumsum(batch.column(2).to_numpy())
-            # Some megabytes of texts at once, whole texts.
-            edges = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, TEXT_BYTES), "left"))
-            for low, high in zip(edges, [*edges[1:], len(sizes)], strict=True):
-                yield from told(batch.slice(low, high - low))
+            for part in _slices(batch, batch.column(2).to_numpy()):
+                yield from told(part)
 
     def told(batch):
-        key, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        texts = pa.array([zlib.decompress(x.as_buffer()) for x in batch.column(3)], pa.large_binary()).cast(pa.large_string())
+        key, order, sizes = (batch.column(k).to_numpy() for k in range(3))
+        texts = pa.array([_unpacked(x.as_buffer(), n) for x, n in zip(batch.column(3), sizes, strict=True)], pa.large_binary()).cast(pa.large_string())
         parts = []
         for first, data, offsets in blocks(texts):
             if np.diff(offsets).max(initial=0) >> PLACE_BITS:
@@ -257,102 +271,158 @@ def _shared(anchored, bits):
     return anchored.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(told, "key long, done int, open long")
 
 
+def _ranges(starts, sizes):
+    """Places of ``sizes`` consecutive places from each start, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _binaries(data, sizes):
+    """Binary column of consecutive parts of an array of bytes."""
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _lists(column):
+    """(values, sizes) of a column of lists of numbers; a null is an empty list."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slices(batch, sizes):
+    """Slices of whole rows, of about TEXT_BYTES by their ``sizes``."""
+    total = np.cumsum(sizes)
+    edges = [*np.searchsorted(total, np.arange(TEXT_BYTES, total[-1] if len(total) else 0, TEXT_BYTES), "left"), len(total)]
+    for low, high in zip([0, *edges[:-1]], edges, strict=True):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def _around(rows, hot, wanted, length=LENGTH, gram=GRAM):
     """(hash, ord, key, at, left, around): the bytes around every open anchor that strings with it can reach; ``wanted``: of those in ``hot``, else of others."""
+    chosen = np.array(sorted(hot), np.int64)
+
     def cut(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = [number for number in row["open"] if (number >> PLACE_BITS in hot) == wanted]
-                raw = zlib.decompress(row["packed"]) if own else b""
-                for number in own:
-                    at = number & ((1 << PLACE_BITS) - 1)
-                    low = max(0, at - (length - gram))
-                    out.append((number >> PLACE_BITS, row["ord"], row["key"], at, at - low, raw[low:at + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
-                                             ["hash", "ord", "key", "at", "left", "around"])
-
-    return rows.select("key", "ord", "packed", "open").mapInArrow(cut, "hash long, ord long, key long, at int, left int, around binary")
-
-
-def _repeats(rows, length):
-    """[(key, start, end)] of the removed strings among the texts around some anchors, whole groups of rows in order of hash and ord."""
-    marks, seen, kept = [], {}, {}
-    for row in rows:
-        own = (row["hash"], row["left"], row["around"])
-        low = row["at"] - row["left"]
-        if own in seen:
-            if seen[own]["ord"] < row["ord"]:
-                if len(row["around"]) >= length:
-                    marks.append((row["key"], low, low + len(row["around"])))
-            elif seen[own]["key"] != row["key"] or seen[own]["at"] != row["at"]:
-                kept.setdefault(own, []).append(row)  # the same ord: it fares as the first one does
-        else:
-            seen[own] = row
-            kept.setdefault(own, []).append(row)
-    groups = {}
-    for own in seen:
-        groups.setdefault(own[0], []).append(own)
-    texts = [own for group in groups.values() if len(group) > 1 for own in group]
-    if not texts:
-        return marks
-    sizes = np.array([len(t[2]) for t in texts])
-    ends = np.cumsum(sizes + 1)
-    begins = ends - sizes - 1
+            for part in _slices(batch, batch.column(2).to_numpy()):
+                yield from one(part)
+
+    def one(batch):
+        numbers, counts = _lists(batch.column(4))
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        own = np.isin(numbers >> PLACE_BITS, chosen) == wanted
+        numbers, row = numbers[own], row[own]
+        needed = np.zeros(batch.num_rows, bool)
+        needed[row] = True
+        sizes = np.where(needed, batch.column(2).to_numpy(), 0)
+        begins = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join([_unpacked(x.as_buffer(), n) for x, n in zip(batch.column(3), sizes, strict=True) if n]), np.uint8)
+        keys, ords = (batch.column(k).to_numpy() for k in range(2))
+        step = TEXT_BYTES // (2 * length - gram)
+        for k in range(0, len(numbers), step):
+            number, who = numbers[k:k + step], row[k:k + step]
+            at = number & ((1 << PLACE_BITS) - 1)
+            low, high = np.maximum(0, at - (length - gram)), np.minimum(at + length, sizes[who])
+            around = _binaries(data[_ranges(begins[who] + low, high - low)], high - low)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number >> PLACE_BITS), pa.array(ords[who]), pa.array(keys[who]), pa.array(at.astype(np.int32)),
+                 pa.array((at - low).astype(np.int32)), around], ["hash", "ord", "key", "at", "left", "around"])
+
+    return rows.select("key", "ord", "size", "packed", "open").mapInArrow(cut, "hash long, ord long, key long, at int, left int, around binary")
+
+
+def _repeats(hashes, ords, left, texts, length=LENGTH):
+    """(row, first, last): places of the first and the last removed string of the texts around some anchors that have one.
+
+    Rows come as whole groups of one hash. All strings of a row hold its anchor,
+    so those from the first to the last leave no byte between them.
+    """
+    texts = texts.cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets, data = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1], np.frombuffer(data, np.uint8)
+    sizes = np.diff(offsets)
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    cuts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    # What has room for a string, in groups where a document has a smaller doc_id than another one.
+    own = np.flatnonzero((sizes >= length) & (np.minimum.reduceat(ords, cuts) != np.maximum.reduceat(ords, cuts))[group])
+    if not len(own):
+        return own, own, own
+    ords, left, sizes = ords[own], left[own].astype(np.int64), sizes[own]
+    data = data[_ranges(offsets[own], sizes)]
+    begins = np.cumsum(sizes) - sizes
     # Every text ends with a number of its own, so that no common prefix goes beyond it.
-    values = np.empty(ends[-1], np.int64)
-    values[ends - 1] = np.arange(len(texts))
-    inside = np.ones(ends[-1], bool)
-    inside[ends - 1] = False
-    values[inside] = np.frombuffer(b"".join(t[2] for t in texts), np.uint8).astype(np.int64) + len(texts)
-    text = np.repeat(np.arange(len(texts)), sizes + 1)
-    order = suffix_array(values)
-    place = order - begins[text[order]]
+    row = np.repeat(np.arange(len(own)), sizes + 1)
+    values = np.empty(len(row), np.int64)
+    ends = begins + sizes + np.arange(len(own))
+    values[ends] = np.arange(len(own))
+    inside = np.ones(len(row), bool)
+    inside[ends] = False
+    values[inside] = data.astype(np.int64) + len(own)
     # Strings that hold the anchor and fit into the text.
-    left = np.array([t[1] for t in texts])
-    fits = (place <= left[text[order]]) & (place + length <= sizes[text[order]])
-    order, place = order[fits], place[fits]
-    if not len(order):
-        return marks
-    same = np.ones(len(order) - 1, bool)
-    for k in range(length):
-        same &= values[order[1:] + k] == values[order[:-1] + k]
+    counts = np.minimum(left, sizes - length) + 1
+    fits = np.zeros(len(row), bool)
+    fits[_ranges(begins + np.arange(len(own)), counts)] = True
+    order = suffix_array(values)
+    order = order[fits[order]]
+    row = row[order]
+    start = order - row
+    # Neighbours are compared eight bytes at once.
+    eights = np.ascontiguousarray(np.ndarray(len(data) - 7, np.uint64, data, strides=(1,)))
+    same = np.ones(len(start) - 1, bool)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        eight = eights[start + k]
+        same &= eight[1:] == eight[:-1]
     run = np.concatenate([[0], np.cumsum(~same)])
-    ords = np.array([seen[t]["ord"] for t in texts])
-    least = np.full(run[-1] + 1, LAST)
-    np.minimum.at(least, run, ords[text[order]])
-    for i in np.flatnonzero(ords[text[order]] > least[run]):
-        for row in kept[texts[text[order[i]]]]:
-            low = row["at"] - row["left"] + int(place[i])
-            marks.append((row["key"], low, low + length))
-    return marks
+    ords = ords[row]
+    least = np.minimum.reduceat(ords, np.flatnonzero(np.concatenate([[True], ~same])))
+    gone = ords > least[run]
+    row, start = row[gone], start[gone]
+    first, last = np.full(len(own), LAST), np.full(len(own), -1)
+    np.minimum.at(first, row, start)
+    np.maximum.at(last, row, start)
+    hit = last >= 0
+    return own[hit], (first - begins)[hit], (last - begins)[hit]
+
+
+#: Bits of the end of a span, beside its start in one number.
+END_BITS = 32
 
 
 def _marks(contexts, length=LENGTH):
+    """(key, span) of the removed strings around the anchors, one span for each anchor of a document."""
     def compared(batches):
         held, size = [], 0
 
-        def marked(rows):
-            found = _repeats(rows, length)
-            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in found], pa.int64()), pa.array([m[1] for m in found], pa.int32()),
-                                               pa.array([m[2] for m in found], pa.int32())], ["key", "s", "e"])
+        def marked(batch):
+            hashes, ords, keys, at, left = (batch.column(k).to_numpy() for k in range(5))
+            row, first, last = _repeats(hashes, ords, left, batch.column(5), length)
+            low = (at - left)[row].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array((low + first << END_BITS) | (low + last + length))], ["key", "span"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if size > ARRAY_BYTES and row["hash"] != held[-1]["hash"]:
-                    yield marked(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["around"])
-        if held:
-            yield marked(held)
-
-    return contexts.repartition("hash").sortWithinPartitions("hash", "ord", "key", "at").mapInArrow(compared, "key long, s int, e int")
+            held.append(batch)
+            size += batch.nbytes
+            if size < ARRAY_BYTES:
+                continue
+            whole = pa.concat_batches(held)
+            hashes = whole.column(0).to_numpy()
+            # Whole groups of about ARRAY_BYTES; the last one may go on in the next batch.
+            cuts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            total = np.cumsum(pc.binary_length(whole.column(5)).to_numpy().astype(np.int64))
+            own = (total[cuts] - total[0]) // ARRAY_BYTES
+            edges = [*cuts[np.concatenate([[True], own[1:] != own[:-1]])], cuts[-1]]
+            for low, high in zip(edges, edges[1:]):
+                if high > low:
+                    yield marked(whole.slice(low, high - low))
+            held = [whole.slice(cuts[-1])]
+            size = held[0].nbytes
+        if held and sum(map(len, held)):
+            yield marked(pa.concat_batches(held))
+
+    return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(compared, "key long, span long")
 
 
 def _hot_marks(contexts, length=LENGTH):
-    """(key, s, e) as of ``_marks``, of anchors with very many kinds: windows with an anchor are equal if their hashes are.
+    """(key, span) as of ``_marks``, of anchors with very many kinds: windows with an anchor are equal if their hashes are.
 
     The least doc_id of a window is found in every task before the shuffle.
     """
@@ -375,24 +445,38 @@ def _hot_marks(contexts, length=LENGTH):
     windows = contexts.select("hash", "ord", "key", "at", "left", "around").mapInArrow(cut, "hash long, window long, ord long, key long, s int")
     least = windows.groupBy("hash", "window").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").drop("most")
     found = windows.join(least.hint("shuffle_hash"), ["hash", "window"]).where("ord > least")
-    return found.select("key", "s", (F.col("s") + length).cast("int").alias("e"))
-
-
-def _told(raw, spans, done, length=LENGTH, gram=GRAM):
-    """(bytes, removed bytes, maximal removed runs, digest of the rest); all bytes around the anchors at ``done`` are removed."""
-    merged = []
-    whole = [(max(0, at - (length - gram)), min(at + length, len(raw))) for at in done]
-    for s, e in sorted(spans + whole):
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(e, merged[-1][1])
-        else:
-            merged.append([s, e])
-    digest, at = hashlib.sha256(), 0
-    for s, e in merged:
-        digest.update(raw[at:s])
-        at = e
-    digest.update(raw[at:])
-    return len(raw), sum(e - s for s, e in merged), len(merged), digest.hexdigest()
+    start = F.col("s").cast("long")
+    return found.select("key", F.shiftleft(start, END_BITS).bitwiseOR(start + length).alias("span"))
+
+
+def _told(texts, sizes, spans, done, length=LENGTH, gram=GRAM):
+    """(removed bytes, maximal removed runs, digest of the rest) of some texts, as columns; all bytes around the anchors at ``done`` are removed.
+
+    ``spans`` and ``done``: the row and the value of each.
+    """
+    # One more byte after every text, so that no run goes beyond it.
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    (row, span), (other, at) = spans, done
+    starts = np.concatenate([begins[row] + (span >> END_BITS), begins[other] + np.maximum(0, at - (length - gram))])
+    ends = np.concatenate([begins[row] + (span & ((1 << END_BITS) - 1)), begins[other] + np.minimum(at + length, sizes[other])])
+    by = np.argsort(starts)
+    starts, ends = starts[by], np.maximum.accumulate(ends[by])
+    new = np.concatenate([[True], starts[1:] > ends[:-1]]) if len(by) else np.zeros(0, bool)
+    starts, ends = starts[new], ends[np.concatenate([new[1:], [True]])] if len(by) else ends
+    row = np.searchsorted(begins, starts, "right") - 1
+    runs = np.bincount(row, minlength=len(sizes))
+    removed = np.bincount(row, ends - starts, minlength=len(sizes)).astype(np.int64)
+    starts, ends, edges = (starts - begins[row]).tolist(), (ends - begins[row]).tolist(), np.cumsum(runs).tolist()
+    digests, k = [], 0
+    for raw, edge in zip(texts, edges, strict=True):
+        digest, at, raw = hashlib.sha256(), 0, memoryview(raw)
+        for k in range(k, edge):
+            digest.update(raw[at:starts[k]])
+            at = ends[k]
+        k = edge
+        digest.update(raw[at:])
+        digests.append(digest.hexdigest())
+    return pa.array(removed), pa.array(runs.astype(np.int64)), pa.array(digests, pa.string())
 
 
 def without_repeats(docs, hot_kinds=HOT_KINDS, hot_here=HOT_HERE):
@@ -407,9 +491,10 @@ def without_repeats(docs, hot_kinds=HOT_KINDS, hot_here=HOT_HERE):
         F.monotonically_increasing_id().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def packed(batches):
+        codec = pa.Codec(CODEC, compression_level=TEXT_LEVEL)
         for batch in batches:
             texts = [t.encode() for t in batch.column(3).to_pylist()]
-            sent = pa.array([zlib.compress(t, 6) for t in texts], pa.binary())
+            sent = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), sent], ["doc_id", "ord", "key", "size", "packed"])
 
@@ -427,15 +512,18 @@ def without_repeats(docs, hot_kinds=HOT_KINDS, hot_here=HOT_HERE):
     marks = _marks(_around(rows, hot, False))
     if hot:
         marks = marks.unionAll(_hot_marks(stored(_around(rows, hot, True), "repeat-hot")))
-    marks = marks.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    marks = marks.groupBy("key").agg(F.collect_set("span").alias("spans"))
 
     def told(batches):
         for batch in batches:
-            out = [(r["doc_id"], *_told(zlib.decompress(r["packed"]), [(x["s"], x["e"]) for x in r["spans"] or []], r["done"] or [])) for r in batch.to_pylist()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for part in _slices(batch, batch.column(1).to_numpy()):
+                sizes = part.column(1).to_numpy()
+                texts = [_unpacked(x.as_buffer(), n) for x, n in zip(part.column(2), sizes, strict=True)]
+                rows = np.arange(len(texts))
+                own = [(np.repeat(rows, counts), values) for values, counts in (_lists(part.column(3)), _lists(part.column(4)))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], *_told(texts, sizes, *own)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     marked = known.join(found.select("key", "done").hint("shuffle_hash"), "key", "left").join(marks.hint("shuffle_hash"), "key", "left")
-    return marked.select("doc_id", "packed", "spans", "done").mapInArrow(told, fields)
+    return marked.select("doc_id", "size", "packed", "spans", "done").mapInArrow(told, fields)

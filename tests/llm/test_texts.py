@@ -184,6 +184,71 @@ def test_hot_anchors_are_split_and_give_the_same_answers(spark, monkeypatch):
         assert got == wanted and (largest.pop() <= 5) == (kinds == 5)
 
 
+@given(st.lists(st.integers(0, 1 << 22), max_size=60), st.integers(1, 3))
+def test_suffix_array_of_large_numbers(values, kinds):
+    values = [v % kinds + (1 << 22) * (v % 2) for v in values] + values[:5]
+    assert repeats.suffix_array(values).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4), st.integers(0, 30), st.integers(0, 50), st.integers(0, 12)), min_size=1, max_size=12))
+def test_one_span_for_every_anchor(drawn):
+    """Of texts around an anchor, the strings that a smaller doc_id has as well, by their first and last place."""
+    draw = np.random.default_rng(7)
+    sides, anchor = draw.integers(97, 99, (2, 80)).astype(np.uint8), b"0123456789" * 2
+    rows = []
+    for group, doc, low, high, other in sorted(drawn, key=lambda x: x[:2]):
+        before, after = sides[0][other // 4:][:30].tobytes()[30 - low:], sides[1][other % 4:][:high].tobytes()[:30]
+        rows.append((group, doc, len(before), before + bytes([48 + group]) + anchor[1:] + after))
+    wanted = []
+    for k, (group, doc, left, text) in enumerate(rows):
+        earlier = [t for g, d, _, t in rows if g == group and d < doc]
+        own = [s for s in range(left + 1) if s + 50 <= len(text) and any(text[s:s + 50] in t for t in earlier)]
+        wanted += [(k, own[0], own[-1])] if own else []
+    found = repeats._repeats(*(np.array([r[k] for r in rows]) for k in range(3)), pa.array([b"cut off", *(r[3] for r in rows)])[1:])
+    assert list(zip(*(x.tolist() for x in found), strict=True)) == wanted
+
+
+def test_arrays_are_built_over_few_bytes(monkeypatch):
+    """Sorted anchors of many batches: every array is over whole groups, of about ARRAY_BYTES."""
+    draw, calls, plain = np.random.default_rng(8), [], repeats._repeats
+    text = "".join(draw.choice(list("abcd"), 80)).encode()
+    hashes = np.sort(draw.integers(0, 400, 20_000))
+    keys = np.arange(len(hashes))
+    table = pa.RecordBatch.from_arrays(
+        [pa.array(hashes), pa.array(keys % 7), pa.array(keys), pa.array(np.full(len(keys), 40, np.int32)), pa.array(np.full(len(keys), 30, np.int32)),
+         pa.array([text[:79] + bytes([65 + k % 5]) for k in keys])], ["hash", "ord", "key", "at", "left", "around"])
+
+    def watched(hashes, *rest):
+        calls.append(hashes)
+        return plain(hashes, *rest)
+
+    class Contexts:
+        """Takes the function that each task runs."""
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, task, schema):
+            return list(task(table.slice(low, 1000) for low in range(0, len(keys), 1000)))
+
+    monkeypatch.setattr(repeats, "_repeats", watched)
+    got = repeats._marks(Contexts())
+    assert np.concatenate(calls).tolist() == hashes.tolist() and len(calls) > 3
+    assert all(a[-1] != b[0] for a, b in zip(calls, calls[1:]))
+    assert max(len(c) * len(text) for c in calls) <= repeats.ARRAY_BYTES + 100 * len(text)
+    # One span for each row: all but the smallest doc_id's have their whole strings elsewhere, up to the last byte at least.
+    spans = {k: (n >> repeats.END_BITS, n & ((1 << repeats.END_BITS) - 1)) for b in got for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert set(spans) == set(keys[keys % 7 > 0].tolist()) | {k for k in spans if k % 7 == 0} and set(spans.values()) <= {(10, 89), (10, 90)}
+
+
+def test_repeats_of_empty_texts_alone(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "")], "doc_id long, text string").coalesce(1)
+    empty = hashlib.sha256().hexdigest()
+    assert sorted((tuple(r) for r in repeats.without_repeats(docs).collect()), key=str) == sorted([(k, 0, 0, 0, empty) for k in (1, 2, 2, None)], key=str)
+
+
 def test_repeats_edge_cases(odd, nothing):
     got = repeats.without_repeats(odd).collect()
     assert len(got) == odd.count()
