@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 COUNTS = ("tp", "fp", "fn", "tn")
 
 
-def confusion_sums(y_true, y_pred):
-    """Aggregates giving n, tp, fp, fn and tn of two 0/1 columns."""
+def confusion_sums(y_true, y_pred, weight=None):
+    """Aggregates giving n, tp, fp, fn and tn of two 0/1 columns; with ``weight``, a whole number of rows that a row stands for."""
     t, p = F.col(y_true) == 1, F.col(y_pred) == 1
     cells = {"tp": t & p, "fp": ~t & p, "fn": t & ~p, "tn": ~t & ~p}
+    if weight is not None:
+        none = F.lit(0).cast("bigint")
+        return [F.coalesce(F.sum(weight), none).alias("n")] + [
+            F.coalesce(F.sum(F.when(cells[c], F.col(weight))), none).alias(c) for c in COUNTS]
     return [F.count(F.lit(1)).alias("n")] + [F.count_if(cells[c]).alias(c) for c in COUNTS]
 
 

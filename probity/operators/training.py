@@ -8,9 +8,14 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
 from probity.functions.partitioning import packed
+from probity.operators.binned import cells_of
 from probity.operators.prep import stratified_split
 from probity.operators.scoring import evaluation, score_pipeline
 
+TREE_ENSEMBLES = ("random_forest", "gradient_boosting")
+#: Fewer rows are fitted as they are.
+MANY_ROWS = 200_000
+
 
 def estimators(features, label="label", seed=42, trees=200, boosting_rounds=100):
     """The pipelines by name: scaled logistic regression, random forest, boosted trees."""
@@ -30,27 +35,37 @@ def train_zoo(df, features, label, id_column, seed=42, trees=200, boosting_round
     """Fits every model on a stratified 80 % and evaluates it on both parts.
 
     Returns (models by name, evaluation rows, failures by name). A target with
-    one class trains nothing.
+    one class trains nothing. Of very many rows the tree ensembles are fitted on and
+    evaluated over counted cells of bins, where these are far fewer (``operators/binned.py``).
     """
-    if df.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2:
+    rows = df.select(id_column, label, *features).persist()
+    if rows.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2:
+        rows.unpersist()
         return {}, None, {}
-    marked = stratified_split(df.select(id_column, label, *features), label, id_column, seed=seed).persist()
-    marked.count()  # the size of what is persisted is known only then
+    marked = stratified_split(rows, label, id_column, seed=seed).select(label, *features, "split").persist()
+    total = marked.count()  # the size of what is persisted is known only then
+    rows.unpersist()
     split = packed(marked)
     if split is not marked:
         split = split.persist()
         split.count()
         marked.unpersist()
-    models, failures, rows = {}, {}, []
-    for name, pipeline in estimators(features, label, seed, trees, boosting_rounds).items():
-        if names is not None and name not in names:
-            continue
+    pipelines = {k: v for k, v in estimators(features, label, seed, trees, boosting_rounds).items() if names is None or k in names}
+    cells = None
+    if total >= MANY_ROWS and set(pipelines) & set(TREE_ENSEMBLES):
+        cells = cells_of(split, features, label, total)
+    models, failures, tables = {}, {}, []
+    for name, pipeline in pipelines.items():
         try:
-            models[name] = pipeline.fit(split.where("split = 'train'"))
+            if cells is not None and name in TREE_ENSEMBLES:
+                fitted = cells.fitted(pipeline.getStages()[-1])
+                models[name], scored, weight = cells.of_values(fitted), cells.scored(fitted), "n"
+            else:
+                models[name] = pipeline.fit(split.where("split = 'train'"))
+                scored, weight = score_pipeline(split, models[name]), None
         except Exception as exc:  # noqa: BLE001 - one model failing must not stop the others
             failures[name] = str(exc)
             continue
-        scored = score_pipeline(split, models[name])
-        rows.append(evaluation(scored, label, "prediction", ["split"]).withColumn("model", F.lit(name)))
-    table = reduce(lambda a, b: a.unionByName(b), rows) if rows else None
+        tables.append(evaluation(scored, label, "prediction", ["split"], weight).withColumn("model", F.lit(name)))
+    table = reduce(lambda a, b: a.unionByName(b), tables) if tables else None
     return models, table, failures

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from probity.operators import elicit, explain, scoring, surrogates, templates, training
+from probity.operators import binned, elicit, explain, scoring, surrogates, templates, training
+from probity.operators.prep import stratified_split
 
 FEATURES = ("a", "b", "c")
 MODEL = scoring.LinearModel(FEATURES, (2.0, -1.0, 0.5), 0.25)
@@ -75,6 +77,60 @@ def test_zoo(spark, data):
     assert training.train_zoo(df.withColumn("y", F.lit(1)), FEATURES, "y", "id")[0] == {}
 
 
+def test_exact_values_at_ranks(spark):
+    rng = np.random.default_rng(1)
+    odd = {"a": np.r_[rng.normal(size=500) * 10.0 ** rng.integers(-200, 200, 500), [0.0, -0.0] * 100],
+           "b.c": rng.integers(-50, 50, 700).astype(float), "d": np.exp(rng.normal(size=700) * 5), "e": np.full(700, -3.5)}
+    df = spark.createDataFrame([tuple(map(float, row)) for row in zip(*odd.values())], [*odd]).repartition(3)
+    ranks = [0, 5, 13, 100, 350, 400, 698, 699]
+    assert binned.values_at_ranks(df, [*odd], ranks) == [[float(np.sort(v)[r]) for r in ranks] for v in odd.values()]
+
+
+def test_cuts_between_bins(spark):
+    rows = [(float(i), float(i % 3) * 10, 7.0, 0.0 if i % 10 else float(i)) for i in range(1000)]
+    many, few, one, tied = binned.cuts_between_bins(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"], 8)
+    assert many == [124.0, 249.0, 374.0, 499.0, 624.0, 749.0, 874.0]
+    assert few == [5.0, 15.0] and one == [] and tied == [0.0]
+
+
+def test_cells_draw_as_their_rows_would(spark):
+    cells = spark.createDataFrame([(float(i), 400) for i in range(300)], "x double, n long").repartition(2, "x")
+    first, again = ([r[2:] for r in sorted(binned.drawn(cells, ["x"], 20, 7).collect())] for _ in range(2))
+    found = np.array(first)
+    assert first == again and abs(found.mean() - 400) < 2 and 340 < found.var() < 460
+
+
+def test_zoo_of_many_rows_is_that_of_its_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = [(int(a), int(b), int(c)) for a, b, c in rng.integers(0, (6, 5, 4), (4000, 3))]
+    rows = [(i, *map(float, v), int(v[0] * v[1] - 3 * v[2] + rng.normal() * 3 > 1)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int")
+    plain, quality, _ = training.train_zoo(df, FEATURES, "y", "id", trees=30, boosting_rounds=6)
+    fitted, own = [], GBTClassifier.fit
+
+    def fit(self, data, params=None):
+        fitted.append(data.count())
+        return own(self, data, params)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    monkeypatch.setattr(training, "MANY_ROWS", 1000)
+    models, counted, failures = training.train_zoo(df, FEATURES, "y", "id", trees=30, boosting_rounds=6)
+    assert not failures and fitted[0] <= 2 * 6 * 5 * 4
+    found, want = ({(r["model"], r["split"]): r for r in q.collect()} for q in (counted, quality))
+    # Boosted trees are the same; a forest's draws are others.
+    assert set(found) == set(want) and all(found[k] == want[k] for k in want if k[0] != "random_forest")
+    for k in want:
+        assert found[k]["accuracy"] == pytest.approx(want[k]["accuracy"], abs=0.03) and found[k]["rows"] == want[k]["rows"]
+    assert len(models["random_forest"].stages[-1].trees) == 30
+    # The models compare the features themselves, and score rows as the cells were scored.
+    both = stratified_split(df, "y", "id")
+    for name, model in models.items():
+        again = scoring.evaluation(scoring.score_pipeline(both, model), "y", "prediction", ["split"]).collect()
+        assert {r["split"]: r for r in again} == {s: type(r)(**{c: v for c, v in r.asDict().items() if c != "model"}) for (m, s), r in found.items() if m == name}
+    rounds = {k: scoring.score_pipeline(df, m["gradient_boosting"]).select("id", F.round("probability", 9)).orderBy("id").collect() for k, m in (("rows", plain), ("cells", models))}
+    assert rounds["rows"] == rounds["cells"]
+
+
 def test_registered_model_queries_do_their_whole_job(spark, small, monkeypatch):
     from inspect import signature
 
