@@ -123,7 +123,7 @@ def align_by_position(df, count) -> DataFrame:
     return df.select(*df.columns[:count], *pads)
 
 
-def _finite_or_zero(value):
+def finite_or_zero(value):
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(math.inf)), F.lit(0.0)).otherwise(value)
 
 
@@ -137,7 +137,7 @@ def numeric_matrix(df, order_by, drop=()) -> DataFrame:
     filled = kept.withColumns({c: F.coalesce(F.col(c), F.lit("nan")) for c in texts})
     coded = encode_first_appearance(filled, order_by, texts)
     return coded.select(order_by, *[
-        _finite_or_zero(F.col(c).try_cast("double")).alias(c) for c in coded.columns if c != order_by
+        finite_or_zero(F.col(c).try_cast("double")).alias(c) for c in coded.columns if c != order_by
     ])
 
 

@@ -131,6 +131,32 @@ def test_zoo_of_many_rows_is_that_of_its_rows(spark, monkeypatch):
     assert rounds["rows"] == rounds["cells"]
 
 
+def test_a_failed_model_is_no_result(data, monkeypatch):
+    df = MODEL.transform(data).select("id", *FEATURES, F.col("prediction").alias("y"))
+    own = training.estimators
+
+    def broken(*args, **kwargs):
+        found = own(*args, **kwargs)
+        found["random_forest"].getStages()[-1].setMaxDepth(31)
+        return found
+
+    monkeypatch.setattr(training, "estimators", broken)
+    some = {"trees": 3, "boosting_rounds": 2, "names": ["logistic_regression", "random_forest"]}
+    with pytest.raises(RuntimeError, match="random_forest: .*maxDepth"):
+        training.train_zoo(df, FEATURES, "y", "id", **some)
+    models, quality, failures = training.train_zoo(df, FEATURES, "y", "id", partial=True, **some)
+    assert set(models) == {r["model"] for r in quality.collect()} == {"logistic_regression"} and set(failures) == {"random_forest"}
+
+
+def test_missing_features_are_zeros_to_the_zoo(data):
+    df = MODEL.transform(data).select("id", *FEATURES, F.col("prediction").alias("y"))
+    odd = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, float("nan")).when(F.col("id") % 7 == 2, float("-inf"))
+    tables = [training.train_zoo(df.withColumn("b", value), FEATURES, "y", "id", trees=3, boosting_rounds=2)[1] for value in (
+        odd.otherwise(F.col("b")), F.when(F.col("id") % 7 > 2, F.col("b")).otherwise(0.0))]
+    holes, zeros = (sorted(t.collect()) for t in tables)
+    assert len(holes) == 6 and holes == zeros
+
+
 def test_registered_model_queries_do_their_whole_job(spark, small, monkeypatch):
     from inspect import signature
 
